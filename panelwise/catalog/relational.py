@@ -250,11 +250,11 @@ def _(s, d):
 
 @query(
     "j2_left_variant",
-    build("ra rb rc", f"SELECT entity, {ym()} AS period, {TOTALS} FROM rb LEFT JOIN ra USING (entity,period) LEFT JOIN rc USING (entity,period)"),
+    build("ra rb rc", f"SELECT entity, {ym()} AS period, {', '.join(c + '::DOUBLE AS ' + c for c in TOTALS.split(','))} FROM rb LEFT JOIN ra USING (entity,period) LEFT JOIN rc USING (entity,period)"),
 )
 def _(s, d):
     j = rollup.join_feeds(rollup.rollup(b.facts_b(s, d), "b"), rollup.rollup(b.facts_a(s, d), "a"), rollup.rollup(b.facts_c(s, d), "c"), "left")
-    return edge(j, "entity", "period", *TOTALS.split(","))
+    return edge(j.select("entity", "period", *[F.col(c).cast("double").alias(c) for c in TOTALS.split(",")]))
 
 
 @query(
@@ -609,11 +609,11 @@ def _(s, d):
     "w6_shifts",
     build(
         "panel",
-        f"SELECT entity, {ym()} AS period, " + ", ".join(f"lag(a_total,{k}) OVER w AS lag_{k}" for k in (1, 2, 3, 6, 12)) + ", " + ", ".join(f"lead(a_total,{k}) OVER w AS lead_{k}" for k in (1, 2)) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY period)",
+        f"SELECT entity, {ym()} AS period, " + ", ".join(f"(lag(a_total,{k}) OVER w)::DOUBLE AS lag_{k}" for k in (1, 2, 3, 6, 12)) + ", " + ", ".join(f"(lead(a_total,{k}) OVER w)::DOUBLE AS lead_{k}" for k in (1, 2)) + " FROM panel WINDOW w AS (PARTITION BY entity ORDER BY period)",
     ),
 )
 def _(s, d):
-    x = stats.shifts(b.panel(s, d), "a_total", lags=(1, 2, 3, 6, 12), leads=(1, 2))
+    x = stats.shifts(b.panel(s, d).withColumn("a_total", F.col("a_total").cast("double")), "a_total", lags=(1, 2, 3, 6, 12), leads=(1, 2))
     return edge(x, "entity", "period", *[f"lag_{k}" for k in (1, 2, 3, 6, 12)], "lead_1", "lead_2")
 
 
@@ -656,11 +656,12 @@ def _(s, d):
     build(
         "panel",
         f"""SELECT entity, {ym()} AS period, d1, d1-lag(d1) OVER w AS d2 FROM (SELECT entity, period,
- b_total-lag(b_total) OVER (PARTITION BY entity ORDER BY period) AS d1 FROM panel) WINDOW w AS (PARTITION BY entity ORDER BY period)""",
+ (b_total-lag(b_total) OVER (PARTITION BY entity ORDER BY period))::DOUBLE AS d1 FROM panel) WINDOW w AS (PARTITION BY entity ORDER BY period)""",
     ),
 )
 def _(s, d):
-    x = stats.difference(stats.difference(b.panel(s, d), "b_total", 1, "d1"), "b_total", 2, "d2")
+    p = b.panel(s, d).withColumn("b_total", F.col("b_total").cast("double"))
+    x = stats.difference(stats.difference(p, "b_total", 1, "d1"), "b_total", 2, "d2")
     return edge(x, "entity", "period", "d1", "d2")
 
 
@@ -720,11 +721,11 @@ def _(s, d):
 
 @query(
     "t6_nulls_last",
-    build("panel", f"SELECT entity, {ym()} AS period, g AS gain FROM (SELECT entity, period, b_total-lag(b_total) OVER (PARTITION BY entity ORDER BY period) AS g FROM panel) ORDER BY g ASC NULLS LAST, entity, period LIMIT 2000"),
+    build("panel", f"SELECT entity, {ym()} AS period, g::DOUBLE AS gain FROM (SELECT entity, period, b_total-lag(b_total) OVER (PARTITION BY entity ORDER BY period) AS g FROM panel) ORDER BY g ASC NULLS LAST, entity, period LIMIT 2000"),
 )
 def _(s, d):
     x = stats.difference(b.panel(s, d), "b_total", 1, "gain").orderBy(F.asc_nulls_last("gain"), "entity", "period").limit(2000)
-    return edge(x, "entity", "period", "gain")
+    return edge(x.select("entity", "period", F.col("gain").cast("double").alias("gain")))
 
 
 @query("t8_best_candidate", "SELECT event_type, user_id, m AS metric FROM (SELECT event_type, user_id, min(round(value*100)::BIGINT) AS m, row_number() OVER (PARTITION BY event_type ORDER BY min(round(value*100)::BIGINT), user_id) AS k FROM events GROUP BY 1,2) WHERE k=1")

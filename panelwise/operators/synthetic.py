@@ -1,6 +1,224 @@
-"""placeholder"""
+"""Counterfactuals: weighted donors imitate a treated entity before an intervention.
+
+Two exact ways lead to the simplex weights. A donor table of a checked size is sent
+to the tasks that solve many treated entities side by side. Beyond that size donors
+stay distributed: each round one pass over the panel finds, per treated entity, the
+donor with the steepest gain, and a small problem over the donors chosen so far is
+solved again, until no donor improves the fit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-def donor_pairs(panel, treated, value):
+
+from panelwise.functions.tails import t_tail
+from panelwise.session import materialize
+
+MAX_CELLS = 2_000_000
+_WEIGHTS = "treated string, donor string, weight double"
+
+
+def donor_pool(panel: DataFrame, treated: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """All entities but the treated and the excluded ones."""
+    spark = panel.sparkSession
+    out = spark.createDataFrame([(e,) for e in [treated, *exclude]], "entity string")
+    return panel.select("entity").distinct().join(out, "entity", "left_anti")
+
+
+def donor_pairs(panel: DataFrame, treated: Sequence[str], value: str) -> DataFrame:
+    """Treated rows beside every donor's row of the same period.
+
+    Linear in the panel for a given list of treated entities.
+    """
     t = panel.where(F.col("entity").isin(list(treated))).select(F.col("entity").alias("treated"), "period", F.col(value).alias("y"))
     d = panel.select(F.col("entity").alias("donor"), "period", F.col(value).alias("x"))
     return t.join(d, "period").where(F.col("treated") != F.col("donor"))
+
+
+def project_simplex(v: np.ndarray) -> np.ndarray:
+    u = np.sort(v)[::-1]
+    cum = np.cumsum(u) - 1.0
+    k = np.flatnonzero(u - cum / np.arange(1, len(v) + 1) > 0)[-1]
+    return np.maximum(v - cum[k] / (k + 1), 0.0)
+
+
+def simplex_fit(x: np.ndarray, y: np.ndarray, rounds: int = 20_000, tol: float = 1e-12) -> np.ndarray:
+    """min ||y - xw||^2 with w >= 0 and sum 1, by accelerated projected gradient."""
+    scale = np.abs(x).max() or 1.0
+    x, y = x / scale, y / scale
+    g, b = x.T @ x, x.T @ y
+    step = 1.0 / max(np.linalg.eigvalsh(g)[-1], 1e-12)
+    w = np.full(x.shape[1], 1.0 / x.shape[1])
+    z, m = w, 1.0
+    for _ in range(rounds):
+        new = project_simplex(z - step * (g @ z - b))
+        if (z - new) @ (new - w) > 0:
+            m = 1.0
+        m2 = (1 + np.sqrt(1 + 4 * m * m)) / 2
+        z = new + (m - 1) / m2 * (new - w)
+        w, m = new, m2
+        grad = g @ w - b
+        if w @ grad - grad.min() < tol * max(1.0, y @ y):
+            break
+    return w
+
+
+def ridge_fit(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, rounds: int = 20_000) -> np.ndarray:
+    """Non-negative ridge without intercept, then scaled to sum 1."""
+    g = x.T @ x + alpha * np.eye(x.shape[1])
+    b = x.T @ y
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            w[j] = max(0.0, w[j] + (b[j] - g[j] @ w) / g[j, j])
+        if np.abs(w - before).max() < 1e-13 * max(1.0, np.abs(w).max()):
+            break
+    total = w.sum()
+    return w / total if total > 0 else w
+
+
+def fit_weights(
+    panel: DataFrame,
+    treated: Sequence[str],
+    value: str,
+    intervention: str,
+    method: str = "simplex",
+    exclude: Sequence[str] = (),
+    max_cells: int | None = None,
+) -> DataFrame:
+    """Weights ``(treated, donor, weight)`` from the periods before the intervention.
+
+    Every treated entity uses all entities but itself and ``exclude`` as donors, on
+    the periods that it and all donors share.
+    """
+    pre = panel.where(F.col("period") < F.to_date(F.lit(intervention))).select(
+        "entity", "period", F.col(value).cast("double").alias("v")
+    )
+    pre = materialize(pre)
+    size = pre.agg(F.count_distinct("entity").alias("e"), F.count_distinct("period").alias("p")).first()
+    limit = MAX_CELLS if max_cells is None else max_cells
+    if method == "simplex" and size["e"] * size["p"] > limit:
+        return _fit_distributed(pre, treated, exclude)
+    if size["e"] * size["p"] > limit:
+        raise ValueError("the ridge variant needs a donor pool that fits a task: narrow it with donor_pool")
+    # a table of at most max_cells cells, checked above
+    wide = pre.toPandas().pivot(index="period", columns="entity", values="v")
+    shared = panel.sparkSession.sparkContext.broadcast((list(wide.columns), wide.to_numpy(dtype=float)))
+    skip = set(exclude)
+
+    def solve(batches):
+        names, m = shared.value
+        for pdf in batches:
+            for unit in pdf["treated"]:
+                donors = [i for i, n in enumerate(names) if n != unit and n not in skip]
+                own = names.index(unit)
+                rows = ~np.isnan(m[:, donors + [own]]).any(axis=1)
+                x, y = m[np.ix_(rows, donors)], m[rows, own]
+                w = simplex_fit(x, y) if method == "simplex" else ridge_fit(x, y)
+                yield pd.DataFrame({"treated": unit, "donor": [names[i] for i in donors], "weight": w})
+
+    units = panel.sparkSession.createDataFrame([(t,) for t in treated], "treated string")
+    return units.repartition(min(len(treated), 64), "treated").mapInPandas(solve, _WEIGHTS)
+
+
+def _solve_active(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Small problem over the donors chosen so far: at most periods x rounds cells."""
+    x = pdf.pivot(index="period", columns="donor", values="x")
+    y = pdf.drop_duplicates("period").set_index("period")["y"].loc[x.index]
+    return pd.DataFrame({"treated": key[0], "donor": list(x.columns), "weight": simplex_fit(x.to_numpy(), y.to_numpy())})
+
+
+def _fit_distributed(pre: DataFrame, treated: Sequence[str], exclude: Sequence[str], max_rounds: int = 60, tol: float = 1e-6) -> DataFrame:
+    """Column generation: donors stay in Spark, one pass over the panel per round."""
+    spark = pre.sparkSession
+    units = spark.createDataFrame([(t,) for t in treated], "treated string")
+    donors = pre.where(~F.col("entity").isin([*exclude])) if exclude else pre
+    # only periods present for every entity take part
+    everyone = pre.agg(F.count_distinct("entity")).first()[0]
+    full = pre.groupBy("period").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == everyone).select("period")
+    y = materialize(pre.join(full, "period").join(units, pre["entity"] == units["treated"]).select("treated", "period", F.col("v").alias("y")))
+    x = materialize(donors.join(full, "period").select(F.col("entity").alias("donor"), "period", F.col("v").alias("x")))
+    energy = y.groupBy("treated").agg(F.sum(F.col("y") * F.col("y")).alias("energy"))
+    # start: the single best donor of each treated entity
+    start = y.join(x, "period").where("treated <> donor").groupBy("treated", "donor").agg(F.sum((F.col("y") - F.col("x")) * (F.col("y") - F.col("x"))).alias("loss"))
+    active = materialize(start.groupBy("treated").agg(F.min_by("donor", F.struct("loss", "donor")).alias("donor")).select("treated", "donor"))
+    weights = active.withColumn("weight", F.lit(1.0))
+    for _ in range(max_rounds):
+        made = weights.join(x, "donor").groupBy("treated", "period").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
+        resid = y.join(made, ["treated", "period"]).select("treated", "period", (F.col("s") - F.col("y")).alias("r"))
+        slope = resid.join(x, "period").where("treated <> donor").groupBy("treated", "donor").agg(F.sum(F.col("r") * F.col("x")).alias("g"))
+        slope = materialize(slope)
+        level = slope.join(weights, ["treated", "donor"]).groupBy("treated").agg(F.sum(F.col("g") * F.col("weight")).alias("gw"))
+        steepest = slope.groupBy("treated").agg(F.min("g").alias("g"), F.min_by("donor", F.struct("g", "donor")).alias("donor"))
+        better = steepest.join(level, "treated").join(energy, "treated").where(F.col("gw") - F.col("g") > F.lit(tol) * F.col("energy"))
+        fresh = materialize(better.select("treated", "donor").join(active, ["treated", "donor"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        active = materialize(active.unionByName(fresh))
+        cells = active.join(x, "donor").join(y, ["treated", "period"]).select("treated", "donor", "period", "x", "y")
+        weights = materialize(cells.groupBy("treated").applyInPandas(_solve_active, _WEIGHTS))
+    return weights
+
+
+def effect_series(panel: DataFrame, weights: DataFrame, value: str, intervention: str) -> DataFrame:
+    """Actual, synthetic, effect and post flag per treated entity and period.
+
+    Periods in which a weighted donor is missing have no synthetic value.
+    """
+    used = weights.where(F.col("weight") > 0)
+    p = panel.select("entity", "period", F.col(value).cast("double").alias("v"))
+    made = used.join(p.withColumnRenamed("entity", "donor"), "donor").groupBy("treated", "period").agg(
+        F.sum(F.col("weight") * F.col("v")).alias("synthetic"), F.count(F.lit(1)).alias("_c")
+    )
+    need = used.groupBy("treated").agg(F.count(F.lit(1)).alias("_need"))
+    made = made.join(need, "treated").where(F.col("_c") == F.col("_need")).select("treated", "period", "synthetic")
+    own = p.select(F.col("entity").alias("treated"), "period", F.col("v").alias("actual"))
+    return own.join(made, ["treated", "period"]).select(
+        "treated", "period", "actual", "synthetic", (F.col("actual") - F.col("synthetic")).alias("effect"),
+        (F.col("period") >= F.to_date(F.lit(intervention))).alias("post"),
+    )
+
+
+def fit_quality(effects: DataFrame) -> DataFrame:
+    return effects.where(~F.col("post")).groupBy("treated").agg(F.sqrt(F.avg(F.col("effect") * F.col("effect"))).alias("pre_rmse"))
+
+
+def average_effect(effects: DataFrame, post_only: bool = True, with_p: bool = True) -> DataFrame:
+    """Mean effect with standard error, t statistic, p-value and total per treated entity."""
+    rows = effects.where("post") if post_only else effects
+    out = rows.groupBy("treated").agg(
+        F.avg("effect").alias("ate"), F.stddev_samp("effect").alias("ate_std"), F.sum("effect").alias("cumulative"), F.count(F.lit(1)).alias("n_periods")
+    )
+    out = out.withColumn("ate_se", F.col("ate_std") / F.sqrt(F.col("n_periods").cast("double")))
+    out = out.withColumn("t_statistic", F.try_divide(F.col("ate"), F.col("ate_se")))
+    if with_p:
+        out = out.withColumn("p_value", t_tail(F.col("t_statistic"), F.col("n_periods") - 1))
+        out = out.withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+    return out
+
+
+def placebo_test(panel: DataFrame, treated: str, value: str, intervention: str, placebos: int = 100, exclude: Sequence[str] = ()) -> DataFrame:
+    """Every (or a hash-ordered share of) donor plays the treated entity once."""
+    panel = materialize(panel.select("entity", "period", value))
+    pool = donor_pool(panel, treated, exclude)
+    units = [r[0] for r in pool.orderBy(F.xxhash64("entity"), "entity").limit(placebos).collect()]
+    real = average_effect(effect_series(panel, fit_weights(panel, [treated], value, intervention, exclude=exclude), value, intervention), with_p=False)
+    fake_w = fit_weights(panel, units, value, intervention, exclude=[treated, *exclude])
+    fake = average_effect(effect_series(panel, fake_w, value, intervention), with_p=False)
+    actual = real.select(F.col("ate").alias("actual_ate"))
+    from panelwise.operators.ordered import with_row
+
+    joined = with_row(fake, actual)
+    return joined.agg(
+        F.first("actual_ate").alias("actual_ate"),
+        F.avg("ate").alias("placebo_mean"),
+        F.stddev_pop("ate").alias("placebo_std"),
+        F.avg((F.abs("ate") >= F.abs("actual_ate")).cast("double")).alias("p_value"),
+        F.count("ate").alias("n_placebos"),
+    ).withColumn("significant", F.col("p_value") < 0.05)
