@@ -116,35 +116,32 @@ EXACT_LIMIT = 10_000
 
 
 def _ks_exact(d: float, n: int, m: int) -> float:
-    """Exact two-sided tail: share of lattice paths that leave the band of width d."""
-    n, m = max(n, m), min(n, m)
+    """Exact two-sided tail by walking a random order of both samples.
+
+    ``mass[i]`` is the chance of having drawn i of n (and k - i of m) after k draws
+    with the gap still below d; mass that reaches the gap is added to the tail.
+    """
     g = math.gcd(n, m)
-    # a path point (i, j) is inside when |i*m - j*n|/g < h
     h = int(round(d * n * m / g))
     if h == 0:
         return 1.0
-    row = np.zeros(m + 1)
-    log_scale = 0.0
-    hi = min(m, (h * g - 1) // n)
-    row[: hi + 1] = 1.0
-    for i in range(1, n + 1):
-        lo = max(0, -((h * g - 1 - i * m) // n))
-        hi = min(m, (h * g - 1 + i * m) // n)
-        fresh = np.zeros(m + 1)
-        if lo <= hi:
-            fresh[lo : hi + 1] = np.cumsum(row[lo : hi + 1])
-        row = fresh
-        top = row.max()
-        if top == 0.0:
-            return 1.0
-        if top > 1e200:
-            row = row / top
-            log_scale += math.log(top)
-    if row[m] == 0.0:
-        return 1.0
-    log_inside = math.log(row[m]) + log_scale
-    log_all = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, -math.expm1(min(0.0, log_inside - log_all)))))
+    total, tail = n + m, 0.0
+    mass = np.zeros(n + 1)
+    mass[0] = 1.0
+    i = np.arange(n + 1)
+    for k in range(1, total + 1):
+        j = k - 1 - i
+        left = total - k + 1
+        stay = np.where((j >= 0) & (j < m), mass * (m - j) / left, 0.0)
+        step = np.where(j >= 0, mass * (n - i) / left, 0.0)
+        mass = stay
+        mass[1:] += step[:-1]
+        j = k - i
+        out = (np.abs(i * m - j * n) >= h * g) & (mass > 0)
+        if out.any():
+            tail += float(mass[out].sum())
+            mass[out] = 0.0
+    return min(1.0, tail)
 
 
 def kolmogorov_sf(x: float) -> float:
@@ -160,9 +157,7 @@ def kolmogorov_sf(x: float) -> float:
 def ks_two_sample_p(d: float, n: int, m: int) -> float:
     """Two-sample p-value: exact up to 10 000 rows per side, asymptotic beyond."""
     if max(n, m) <= EXACT_LIMIT:
-        p = _ks_exact(d, n, m)
-        if p > 1e-9:
-            return p
+        return _ks_exact(d, n, m)
     return kolmogorov_sf(d * math.sqrt(n * m / (n + m)))
 
 

@@ -151,9 +151,9 @@ _LONG = [1, 2, 3, 4, SEASON, SEASON + 1]
 
 def moments(df: DataFrame, keys: list[str], names: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Row count and sums of products (upper triangle) over complete rows, per key."""
-    cells = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
+    cells = F.expr("array(" + ", ".join(f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]) + ")")
     return df.dropna(subset=names).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in carry], F.count(F.lit(1)).alias("rows"), F.array(*cells).alias("gram")
+        *[F.first(c).alias(c) for c in carry], F.count(F.lit(1)).alias("rows"), cells.alias("gram")
     )
 
 
