@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from panelwise.catalog import models, quality, relational, series  # noqa: F401
+from panelwise.catalog import inout, models, quality, relational, series  # noqa: F401
 from panelwise.catalog.registry import QUERIES, SQL  # noqa: F401
