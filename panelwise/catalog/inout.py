@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwise.catalog.registry import edge, query
-from panelwise.catalog.relational import DIRTY_T
+from panelwise.catalog.relational import DIRTY_T, ENTROPY_BINS, ROBUST_COLS, ROBUST_MAD, ROBUST_MED
 from panelwise.catalog.sql import build, r, rs, ym
 from panelwise.operators import indices, rollup, stats
 from panelwise.plans import bindings as b
@@ -80,14 +80,22 @@ def _(s, d):
     return rows.groupBy("area").agg(F.count(F.lit(1)).alias("rows"), F.sum("a_1").alias("a_1"), F.sum("a_2").alias("a_2"))
 
 
-@query("s3_input_audit", "SELECT * FROM (VALUES ('orders', 1::BIGINT, false), ('refunds', 0, true), ('dimensions', 2, false)) t(feed, files, missing) WHERE EXISTS (SELECT 1 FROM orders)")
+@query(
+    "s3_input_audit",
+    "SELECT 'orders' AS feed, 1::BIGINT AS files, false AS missing, (SELECT count(*) FROM orders)::BIGINT AS rows UNION ALL SELECT 'refunds', 0, true, 0"
+    " UNION ALL SELECT 'dimensions', 2, false, (SELECT count(*) FROM customer)+(SELECT count(*) FROM supplier)",
+)
 def _(s, d):
-    return readers.audit_inputs(s, d, {"orders": ["orders*.parquet"], "refunds": ["refund*.zip", "refund*.csv"], "dimensions": ["nation.parquet", "region*.parquet"]})
+    audit = readers.audit_inputs(s, d, {"orders": ["orders*.parquet"], "refunds": ["refund*.zip", "refund*.csv"], "dimensions": ["customer.parquet", "supplier*.parquet"]})
+    feeds = [("orders", "orders"), ("dimensions", "customer"), ("dimensions", "supplier")]
+    rows = stats.union_all([b.table(s, d, t).groupBy(F.lit(f).alias("feed")).agg(F.count(F.lit(1)).alias("rows")) for f, t in feeds])
+    rows = rows.groupBy("feed").agg(F.sum("rows").alias("rows"))
+    return audit.join(rows, "feed", "left").fillna({"rows": 0})
 
 
-@query("s4_first_candidate", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+@query("s4_first_candidate", "SELECT c_custkey, c_mktsegment FROM customer")
 def _(s, d):
-    return edge(readers.read_first(s, [f"{d}/nation_cleaned.csv", f"{d}/nation.parquet", f"{d}/region.parquet"]).select("n_nationkey", "n_name"))
+    return readers.read_first(s, [f"{d}/customer_cleaned.csv", f"{d}/customer.parquet", f"{d}/region.parquet"]).select("c_custkey", "c_mktsegment")
 
 
 @query("s5_output_sink", build("panel", f"SELECT entity, {ym()} AS period, a_total, b_total, c_total FROM panel"))
@@ -219,7 +227,17 @@ def _(s, d):
     return out["cusum"].select("entity", "break_detected").join(g, "entity", "left")
 
 
-@query("r6_robust_job")
+@query(
+    "r6_robust_job",
+    build(
+        "raws",
+        f"SELECT entity, {ROBUST_COLS}, {r('coalesce(e,0)')} AS robust_predictability FROM raws, rmad JOIN ent ON ent.k=raws.entity",
+        rmed=ROBUST_MED,
+        rmad=ROBUST_MAD,
+        bins=ENTROPY_BINS,
+        ent="SELECT entity AS k, CASE WHEN n>=3 THEN 1+sum(c/n::DOUBLE*log2(c/n::DOUBLE))/(CASE WHEN nb>1 THEN log2(nb) ELSE 1 END) END AS e FROM bins GROUP BY entity, n, nb",
+    ),
+)
 def _(s, d):
     p = materialize(b.panel(s, d))
     out = jobs.robust_job(indices.raw_indices(materialize(rollup.entity_profile(p))), p)["robust"]

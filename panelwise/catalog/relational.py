@@ -15,10 +15,10 @@ from panelwise.session import materialize
 TOTALS = "a_total,a_1,a_2,a_3,b_total,b_1,b_2,c_total,c_1,c_2"
 RATIOS = ("update_ratio", "b_ratio", "c_ratio", "a1_share", "a2_share", "b2_share", "c2_share")
 
-# A dirty copy of the nation names, derived from the table itself in both engines.
-DIRTY_SQL = """SELECT n_nationkey AS id, CASE n_nationkey%7 WHEN 0 THEN '  '||lower(n_name)||' ' WHEN 1 THEN 'o''brien-'||n_name
- WHEN 2 THEN '100000' WHEN 3 THEN 'westbengal' WHEN 4 THEN ' Daman & Diu' WHEN 5 THEN 'WEST  BENGAL' ELSE upper(n_name) END AS name
- FROM nation"""
+# A dirty copy of the customers' nation names, derived from the tables in both engines.
+DIRTY_SQL = """SELECT c_custkey AS id, CASE c_custkey%7 WHEN 0 THEN '  '||lower(n_name)||' ' WHEN 1 THEN 'o''brien-'||n_name
+ WHEN 2 THEN '100000' WHEN 3 THEN 'westbengal' WHEN 4 THEN ' Daman & Diu' WHEN 5 THEN 'WEST  BENGAL' ELSE upper(c_name) END AS name
+ FROM customer JOIN nation ON c_nationkey=n_nationkey"""
 TITLE_SQL = (
     "array_to_string(list_transform(regexp_extract_all(lower({x}),'[a-z]+|[^a-z]+'),"
     " lambda v: upper(v[1:1])||v[2:]),'')"
@@ -27,16 +27,17 @@ DIRTY_T = TITLE_SQL.format(x="trim(name)")
 
 
 def dirty(spark, d):
-    n, k = F.col("n_name"), F.col("n_nationkey") % 7
-    return b.table(spark, d, "nation").select(
-        F.col("n_nationkey").cast("long").alias("id"),
+    n, k = F.col("n_name"), F.col("c_custkey") % 7
+    c = b.table(spark, d, "customer").join(b.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(
+        F.col("c_custkey").alias("id"),
         F.when(k == 0, F.concat(F.lit("  "), F.lower(n), F.lit(" ")))
         .when(k == 1, F.concat(F.lit("o'brien-"), n))
         .when(k == 2, F.lit("100000"))
         .when(k == 3, F.lit("westbengal"))
         .when(k == 4, F.lit(" Daman & Diu"))
         .when(k == 5, F.lit("WEST  BENGAL"))
-        .otherwise(F.upper(n))
+        .otherwise(F.upper("c_name"))
         .alias("name"),
     )
 
@@ -94,14 +95,14 @@ def _(s, d):
 
 @query(
     "p6_alias_table",
-    "SELECT n_nationkey::BIGINT AS id, r_name AS name FROM nation JOIN region ON n_regionkey=r_regionkey",
+    "SELECT c_custkey AS id, r_name AS name FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey",
 )
 def _(s, d):
     alias = b.table(s, d, "nation").join(b.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("alias"), F.col("r_name").alias("name")
     )
-    n = b.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    return clean.rename_by_table(n, "name", alias)
+    named = b.table(s, d, "customer").join(b.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return clean.rename_by_table(named.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("name")), "name", alias)
 
 
 @query(
