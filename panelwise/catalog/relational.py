@@ -469,12 +469,14 @@ def _(s, d):
     return edge(stats.share_of_total(b.profile(s, d), "activity"), "entity", "share")
 
 
-@query(
-    "a14_distinct",
-    "SELECT count(DISTINCT o_custkey)::BIGINT AS customers, count(DISTINCT o_orderpriority)::BIGINT AS priorities, array_to_string(list_sort(list(DISTINCT o_orderpriority)),'|') AS names FROM orders",
-)
+@query("a14_distinct_counts", "SELECT count(DISTINCT o_custkey)::BIGINT AS customers, count(DISTINCT o_orderpriority)::BIGINT AS priorities FROM orders")
+def _(s, d):
+    return stats.distinct_counts(b.table(s, d, "orders"), {"o_custkey": "customers", "o_orderpriority": "priorities"})
+
+
+@query("a14_distinct_values", "SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1")
 def _(s, d):
-    return stats.distinct_summary(b.table(s, d, "orders"))
+    return stats.distinct_values(b.table(s, d, "orders"), "o_orderpriority")
 
 
 @query("a15_value_counts", build("idx", "SELECT label, count(*)::BIGINT AS n FROM idx GROUP BY 1"))

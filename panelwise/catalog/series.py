@@ -266,7 +266,7 @@ def _granger(s, d):
 @query("m7_unit_root")
 def _(s, d):
     p = materialize(_panel(s, d).select("entity", "period", *causal.MEASURES))
-    return edge(causal.unit_root(materialize(causal.long_series(p))), "entity", "measure", "d", "n_obs", "lags", "adf", "p_value")
+    return edge(causal.unit_root(p), "entity", "measure", "d", "n_obs", "lags", "adf", "p_value")
 
 
 @query("m8_granger")

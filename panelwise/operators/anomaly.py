@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwise.functions.columns import TINY
-from panelwise.operators.indices import INDICES, zscore
+from panelwise.operators.indices import INDICES, _keep, zscore
 from panelwise.operators.ordered import quantile_row, with_ranks, with_row
 from panelwise.session import materialize
 
@@ -40,16 +40,17 @@ def tail_score(df: DataFrame, columns: list[str] | None = None, share: float = 0
     """
     columns = list(columns or INDICES)
     specs = [(c, f"_{side}_{c}", "cdf", side == "r") for c in columns for side in ("l", "r")]
-    ranked = with_row(with_ranks(df, specs, small_rows), _skew_sign(df, columns))
+    rows = df.count()
+    ranked = with_row(with_ranks(df, specs, small_rows, rows=rows), _skew_sign(df, columns))
     total = F.lit(0.0)
     for c in columns:
         left, right, k = -F.ln(f"_l_{c}"), -F.ln(f"_r_{c}"), F.col(f"_k_{c}")
         chosen = F.when(k < 0, left).when(k > 0, right).otherwise(left + right)
         total = total + F.greatest(left, right, chosen)
     keep = df.columns
-    scored = ranked.withColumn("ecod_raw", total).select(*keep, "ecod_raw")
+    scored = _keep(ranked.withColumn("ecod_raw", total).select(*keep, "ecod_raw"), rows)
     scored = rescale(scored, "ecod_raw", "ecod_score", False)
-    limit = quantile_row(scored, {"_t": ("ecod_raw", 1 - share)})
+    limit = quantile_row(scored, {"_t": ("ecod_raw", 1 - share)}, rows=rows)
     return with_row(scored, limit).withColumn("ecod_label", (F.col("ecod_raw") > F.col("_t")).cast("long")).drop("_t")
 
 
@@ -57,14 +58,15 @@ def rank_tail_score(df: DataFrame, columns: list[str] | None = None, small_rows:
     """Rank-based variant: average rank over n+1, the more extreme tail per column."""
     columns = list(columns or INDICES)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_row(with_ranks(df, [(c, f"_r_{c}", "average", False) for c in columns], small_rows), n)
+    rows = df.count()
+    ranked = with_row(with_ranks(df, [(c, f"_r_{c}", "average", False) for c in columns], small_rows, rows=rows), n)
     total = F.lit(0.0)
     for c in columns:
         share = F.col(f"_r_{c}") / (F.col("_n") + 1)
         total = total + F.greatest(-F.ln(share + F.lit(TINY)), -F.ln(1 - share + F.lit(TINY)))
-    scored = ranked.withColumn("tail_raw", total).select(*df.columns, "tail_raw")
+    scored = _keep(ranked.withColumn("tail_raw", total).select(*df.columns, "tail_raw"), rows)
     scored = rescale(scored, "tail_raw", "tail_score", False)
-    limit = quantile_row(scored, {"_t": ("tail_raw", 0.9)})
+    limit = quantile_row(scored, {"_t": ("tail_raw", 0.9)}, rows=rows)
     return with_row(scored, limit).withColumn("tail_label", (F.col("tail_raw") >= F.col("_t")).cast("long")).drop("_t")
 
 
@@ -174,9 +176,10 @@ def forest_score(df: DataFrame, key: str, features: list[str], trees: int = TREE
 
 def ensemble(df: DataFrame, first: str, second: str, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Weighted score, top-tenth flag and severity rank (1 = most anomalous)."""
-    scored = df.withColumn("ensemble_score", F.lit(weights[0]) * F.col(first) + F.lit(weights[1]) * F.col(second))
-    limit = quantile_row(scored, {"_t": ("ensemble_score", 0.9)})
-    out = with_row(with_ranks(scored, [("ensemble_score", "_sev", "min", True)]), limit)
+    rows = df.count()
+    scored = _keep(df.withColumn("ensemble_score", F.lit(weights[0]) * F.col(first) + F.lit(weights[1]) * F.col(second)), rows)
+    limit = quantile_row(scored, {"_t": ("ensemble_score", 0.9)}, rows=rows)
+    out = with_row(with_ranks(scored, [("ensemble_score", "_sev", "min", True)], rows=rows), limit)
     return out.withColumns(
         {"ensemble_flag": (F.col("ensemble_score") >= F.col("_t")).cast("long"), "severity_rank": F.col("_sev").cast("long")}
     ).drop("_sev", "_t")

@@ -66,116 +66,97 @@ MAX_DIFFS = 2
 MEASURES = ("a_total", "b_total", "c_total")
 
 
-def long_series(panel: DataFrame, measures=MEASURES) -> DataFrame:
-    """One series per (entity, measure, d) for d = 0..2, differenced d times."""
-    tall = panel.unpivot(["entity", "period"], list(measures), "measure", "y").withColumn("y", F.col("y").cast("double"))
-    w = Window.partitionBy("entity", "measure").orderBy("period")
-    d1 = F.col("y") - F.lag("y").over(w)
-    tall = tall.withColumn("y1", d1).withColumn("y2", F.col("y1") - F.lag("y1").over(w))
-    tall = tall.withColumn("t", (F.row_number().over(w) - 1).cast("long"))
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(c).alias("y")) for d, c in enumerate(("y", "y1", "y2"))]))
-    return tall.withColumn("_e", each).select("entity", "measure", "period", "t", F.col("_e.d").alias("d"), F.col("_e.y").alias("y")).where(
-        F.col("y").isNotNull()
-    )
-
-
-KEYS = ["entity", "measure", "d"]
-
-
-def _order(flat) -> int:
-    """Number of columns behind an upper triangle."""
-    return int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
-
-
-@F.pandas_udf(T.IntegerType())
-def _best_lag(gram: pd.Series, rows: pd.Series, top: pd.Series) -> pd.Series:
-    """Lag count with the lowest AIC on the common sample."""
+def series_arrays(panel: DataFrame, measures=MEASURES) -> DataFrame:
+    """``(entity, measure, y)``: one array per series, at most one value per period."""
+    rows = F.sort_array(F.collect_list(F.struct("period", *[F.col(m).cast("double").alias(m) for m in measures])))
+    arrays = panel.groupBy("entity").agg(rows.alias("_h"))
+    field = lambda m: lambda v: v[m]
+    each = [F.struct(F.lit(m).alias("measure"), F.transform("_h", field(m)).alias("y")) for m in measures]
+    return arrays.select("entity", F.inline(F.array(*each)))
+
+
+def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    return beta, float(((y - x @ beta) ** 2).sum())
+
+
+def adf_statistic(y: np.ndarray) -> tuple[int, float]:
+    """Lag count (lowest AIC on a common sample) and t-statistic of the level."""
+    n = len(y)
+    top = min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+    if top < 0 or np.std(y) < 1e-12 * max(1.0, np.abs(y).max()):
+        return 0, np.nan
+    y = (y - y.mean()) / y.std()
+    dy = np.diff(y)
+    columns = np.column_stack([np.ones(len(dy)), y[:-1], *[np.r_[np.full(k, np.nan), dy[:-k]] for k in range(1, top + 1)]])
+    best, lag = np.inf, 0
+    for k in range(top + 1):
+        x, target = columns[top:, : k + 2], dy[top:]
+        if len(target) <= k + 2:
+            break
+        aic = len(target) * np.log(max(_least_squares(x, target)[1], 1e-300) / len(target)) + 2 * (k + 2)
+        if aic < best:
+            best, lag = aic, k
+    x, target = columns[lag:, : lag + 2], dy[lag:]
+    if len(target) <= lag + 2 or np.linalg.matrix_rank(x) < lag + 2:
+        return lag, np.nan
+    beta, rss = _least_squares(x, target)
+    se = np.sqrt(rss / (len(target) - lag - 2) * np.linalg.inv(x.T @ x)[1, 1])
+    return lag, float(beta[1] / se) if se > 0 else np.nan
+
+
+_TEST = T.StructType([T.StructField("d", T.IntegerType()), T.StructField("n_obs", T.LongType()), T.StructField("lags", T.LongType()), T.StructField("adf", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(_TEST))
+def _adf_tests(series: pd.Series) -> pd.Series:
+    """The test on the series and its first two differences."""
     out = []
-    for g, n, m in zip(gram, rows, top):
-        k = _order(g)
-        full = _unpack(g, k)
-        best, pick = np.inf, 0
-        for lag in range(int(m) + 1):
-            cols = list(range(2 + lag))
-            if n <= len(cols):
-                break
-            rss = _ols(full, cols, k - 1)[1]
-            aic = n * np.log(max(rss, 1e-300) / n) + 2 * len(cols)
-            if aic < best - 1e-12:
-                best, pick = aic, lag
-        out.append(pick)
-    return pd.Series(out, dtype="int32")
-
-
-@F.pandas_udf(T.DoubleType())
-def _adf_stat(gram: pd.Series, rows: pd.Series, lag: pd.Series) -> pd.Series:
-    """t-statistic of the level coefficient."""
-    out = []
-    for g, n, m in zip(gram, rows, lag):
-        k = _order(g)
-        cols = list(range(2 + int(m)))
-        if n <= len(cols):
-            out.append(np.nan)
-            continue
-        full = _unpack(g, k)
-        a = full[np.ix_(cols, cols)]
-        if np.linalg.cond(a) > 1e13:
-            out.append(np.nan)
-            continue
-        beta, rss = _ols(full, cols, k - 1)
-        se = np.sqrt(max(rss, 0.0) / (n - len(cols)) * np.linalg.inv(a)[1, 1])
-        out.append(beta[1] / se if se > 0 else np.nan)
+    for y in series:
+        rows = []
+        for d in range(MAX_DIFFS + 1):
+            z = np.diff(np.asarray(y, dtype=float), d)
+            lag, stat = adf_statistic(z)
+            rows.append({"d": d, "n_obs": len(z), "lags": lag, "adf": None if np.isnan(stat) else stat})
+        out.append(rows)
     return pd.Series(out)
 
 
-def unit_root(series: DataFrame) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant and AIC lag choice.
+def unit_root(panel: DataFrame, measures=MEASURES) -> DataFrame:
+    """Augmented Dickey-Fuller tests with a constant, for every series and d = 0..2.
 
-    ``series`` holds ``(entity, measure, d, t, y)``. Spark sums the moment matrices;
-    only the small solves run in numpy. A failed test counts as stationary. The
-    longest series sets how many lag columns are made.
+    One shuffle builds the arrays; a test that cannot run has no p-value.
     """
-    longest = series.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    most = max(0, min(int(np.ceil(12.0 * (longest / 100.0) ** 0.25)), longest // 2 - 2))
-    lag_cols = [f"x_{k}" for k in range(1, most + 1)]
-    columns = ["one", "level", *lag_cols, "dy"]
-    w = Window.partitionBy(*KEYS).orderBy("t")
-    whole = Window.partitionBy(*KEYS)
-    scale = F.stddev_pop("y").over(whole)
-    z = (F.col("y") - F.avg("y").over(whole)) / F.when(scale < 1e-12, F.lit(1.0)).otherwise(scale)
-    n = F.count(F.lit(1)).over(whole)
-    base = series.select(*KEYS, "t", z.alias("z"), n.alias("n"), (scale < 1e-12).alias("flat"))
-    base = base.withColumns({"dy": F.col("z") - F.lag("z").over(w), "level": F.lag("z").over(w), "one": F.lit(1.0)})
-    top = F.least(
-        F.ceil(F.lit(12.0) * F.pow(F.col("n") / 100.0, F.lit(0.25))), F.floor(F.col("n") / 2) - 2
-    ).cast("int")
-    base = base.withColumn("top", top).withColumns({c: F.lag("dy", k + 1).over(w) for k, c in enumerate(lag_cols)})
-    base = base.where(F.col("dy").isNotNull() & (F.col("top") >= 0))
-
-    def sample(upto):
-        """Blank lags beyond ``upto`` and keep rows where the used ones exist."""
-        cols = [F.when(F.lit(k + 1) > upto, F.lit(0.0)).otherwise(F.col(c)).alias(c) for k, c in enumerate(lag_cols)]
-        return [F.col(k) for k in KEYS] + [F.col("top"), F.col("flat"), F.col("n"), F.col("one"), F.col("level"), F.col("dy"), *cols]
-
-    carry = ("top", "flat", "n")
-    common = moments(base.select(*sample(F.col("top"))), KEYS, columns, carry)
-    lags = common.select(*KEYS, _best_lag("gram", "rows", "top").alias("lag"))
-    chosen = moments(base.join(lags, KEYS).select(*sample(F.col("lag")), "lag"), KEYS, columns, (*carry, "lag"))
-    tested = chosen.withColumn("adf", _adf_stat("gram", "rows", "lag"))
-    tested = tested.withColumn("adf", F.when(~F.isnan("adf") & ~F.col("flat"), F.col("adf"))).withColumn("p_value", adf_tail(F.col("adf")))
-    return tested.select(*KEYS, F.col("n").alias("n_obs"), F.col("lag").cast("long").alias("lags"), "adf", "p_value")
-
-
-def differencing_order(series: DataFrame) -> DataFrame:
+    tested = series_arrays(panel, measures).select("entity", "measure", F.explode(_adf_tests("y")).alias("_t"))
+    return tested.select("entity", "measure", "_t.*").withColumn("p_value", adf_tail(F.col("adf")))
+
+
+def differencing_order(panel: DataFrame, measures=MEASURES) -> DataFrame:
     """Smallest d whose test rejects a unit root (or cannot be run); at most 2."""
-    tests = unit_root(series)
-    present = series.select(*KEYS).distinct().join(tests, KEYS, "left")
     ok = F.coalesce(F.col("p_value") < 0.05, F.lit(True))
-    return present.groupBy("entity", "measure").agg(
+    return unit_root(panel, measures).groupBy("entity", "measure").agg(
         F.coalesce(F.min(F.when(ok, F.col("d"))), F.lit(MAX_DIFFS)).cast("int").alias("d")
     )
 
 
+def differenced(panel: DataFrame, measures, diffs: DataFrame) -> DataFrame:
+    """``(entity, t, measures..., dmax, raw)``: each series differenced to its own order,
+    cut to the rows that all series of the entity share.
+    """
+    w = Window.partitionBy("entity").orderBy("period")
+    orders = diffs.groupBy("entity").agg(
+        F.max("d").alias("dmax"), *[F.max(F.when(F.col("measure") == m, F.col("d"))).alias(f"_d_{m}") for m in measures]
+    )
+    x = panel.select("entity", "period", *[F.col(m).cast("double").alias(m) for m in measures]).withColumns(
+        {"t": F.row_number().over(w) - 1, "raw": F.count(F.lit(1)).over(Window.partitionBy("entity"))}
+    )
+    x = x.withColumns({f"_1_{m}": F.col(m) - F.lag(m).over(w) for m in measures})
+    x = x.withColumns({f"_2_{m}": F.col(f"_1_{m}") - F.lag(f"_1_{m}").over(w) for m in measures})
+    x = x.join(orders, "entity").where(F.col("t") >= F.col("dmax"))
+    pick = lambda m: F.when(F.col(f"_d_{m}") == 0, F.col(m)).when(F.col(f"_d_{m}") == 1, F.col(f"_1_{m}")).otherwise(F.col(f"_2_{m}"))
+    return x.select("entity", "t", "raw", "dmax", *[pick(m).alias(m) for m in measures])
+
+
 # ---- lead-lag tests --------------------------------------------------------------------
 
 PAIRS = [("a_total", "b_total"), ("a_total", "c_total"), ("b_total", "c_total")]
@@ -202,15 +183,9 @@ def granger(panel: DataFrame, pairs=PAIRS, max_lag: int = 3, min_obs: int = 6, d
     as ``(entity, measure, d)``.
     """
     measures = sorted({m for p in pairs for m in p})
-    series = long_series(panel, measures)
-    # four joins read the orders
-    diffs = materialize(differencing_order(series)) if diffs is None else diffs
-    kept = series.join(diffs, ["entity", "measure", "d"])
-    # rows of the entity left after the largest differencing
-    sizes = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("raw")).where(F.col("raw") >= min_obs)
-    deepest = diffs.groupBy("entity").agg(F.max("d").alias("dmax"))
-    wide = kept.groupBy("entity", "t").agg(*[F.max(F.when(F.col("measure") == m, F.col("y"))).alias(m) for m in measures])
-    wide = wide.join(sizes.join(deepest, "entity"), "entity").where((F.col("t") >= F.col("dmax")) & (F.col("raw") - F.col("dmax") >= min_obs))
+    # three joins read the orders
+    diffs = materialize(differencing_order(panel, measures)) if diffs is None else diffs
+    wide = differenced(panel, measures, diffs).where((F.col("raw") >= min_obs) & (F.col("raw") - F.col("dmax") >= min_obs))
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("cause"), F.lit(y).alias("effect"), F.col(x).alias("x"), F.col(y).alias("y")) for x, y in pairs]))
     tall = wide.withColumn("_p", each).select("entity", "t", (F.col("raw") - F.col("dmax")).alias("obs"), "_p.cause", "_p.effect", "_p.x", "_p.y")
     w = Window.partitionBy("entity", "cause", "effect").orderBy("t")

@@ -77,7 +77,8 @@ def _binned(pool: DataFrame, bins: int, top: float = 0.0) -> DataFrame:
         (F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")) / bins).alias("_w"),
     )
     number = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("_lo")) / F.col("_w")))
-    counts = pool.join(span.select("feature", "_lo", "_w"), "feature").groupBy("feature", number.alias("bin")).agg(_ref().alias("c_ref"), _cur().alias("c_cur"))
+    # one row per monitored column, so never more rows than a table has columns
+    counts = pool.join(F.broadcast(span.select("feature", "_lo", "_w")), "feature").groupBy("feature", number.alias("bin")).agg(_ref().alias("c_ref"), _cur().alias("c_cur"))
     grid = span.select("feature", "n_ref", "n_cur", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counts, ["feature", "bin"], "left").fillna({"c_ref": 0, "c_cur": 0})
 
@@ -107,7 +108,8 @@ def psi_quantile(pool: DataFrame, bins: int = 10, floor: float = 1e-10, small_ro
     distinct = F.array_distinct("quantiles")
     cuts = cuts.select("feature", F.size(distinct).alias("_k"), F.slice(distinct, 2, F.greatest(F.size(distinct) - 2, F.lit(0))).alias("_edges"))
     sizes = pool.groupBy("feature").agg(_ref().alias("n_ref"), _cur().alias("n_cur"))
-    placed = pool.join(cuts, "feature").withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col("value"))))
+    # one row per monitored column
+    placed = pool.join(F.broadcast(cuts), "feature").withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col("value"))))
     counts = placed.groupBy("feature", "bin").agg(_ref().alias("c_ref"), _cur().alias("c_cur"))
     p = F.greatest(F.try_divide(F.col("c_ref").cast("double"), F.col("n_ref").cast("double")), F.lit(floor))
     q = F.greatest(F.try_divide(F.col("c_cur").cast("double"), F.col("n_cur").cast("double")), F.lit(floor))
@@ -135,7 +137,7 @@ def chi_square(baseline: DataFrame, current: DataFrame, features: Sequence[str],
     rows = tall(baseline, 0).unionByName(tall(current, 1)).where(F.col("category").isNotNull())
     counts = rows.groupBy("feature", "category").agg(_ref().alias("o_0"), _cur().alias("o_1"))
     totals = counts.groupBy("feature").agg(F.sum("o_0").alias("t_0"), F.sum("o_1").alias("t_1"), (F.count(F.lit(1)) - 1).alias("dof"))
-    wide = counts.join(totals, "feature")
+    wide = counts.join(F.broadcast(totals), "feature")  # one row per monitored column
     line, every = F.col("o_0") + F.col("o_1"), (F.col("t_0") + F.col("t_1")).cast("double")
 
     def cell(i):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.columns import EPS, TINY, first_match
 from panelwise.functions.fixed import ACTION_RULES, BANDS, LABEL_RULES, MAD_SIGMA, PRIORITY, QUADRANTS
-from panelwise.operators.ordered import quantile_row, running, with_ranks, with_row
+from panelwise.operators.ordered import SMALL_ROWS, quantile_row, running, with_ranks, with_row
 from panelwise.session import materialize
 
 INDICES = ["maturity", "pressure", "volatility", "predictability"]
@@ -47,9 +47,10 @@ def zscore(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def median_deviation(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: ``med_<c>`` and ``mad_<c>`` per column."""
-    med = quantile_row(df, {f"med_{c}": (c, 0.5) for c in columns})
+    rows = df.count()
+    med = quantile_row(df, {f"med_{c}": (c, 0.5) for c in columns}, rows=rows)
     dev = with_row(df, med).select(*[F.abs(F.col(c) - F.col(f"med_{c}")).alias(f"_d_{c}") for c in columns])
-    mad = quantile_row(dev, {f"mad_{c}": (f"_d_{c}", 0.5) for c in columns})
+    mad = quantile_row(_keep(dev, rows), {f"mad_{c}": (f"_d_{c}", 0.5) for c in columns}, rows=rows)
     return with_row(med, mad)
 
 
@@ -126,8 +127,8 @@ def risk_zones(df: DataFrame) -> DataFrame:
 
 # ---- indices -------------------------------------------------------------------
 
-def raw_indices(profile: DataFrame) -> DataFrame:
-    ranked = with_ranks(profile, [(f"{f}_total", f"{f}_rank", "average", True) for f in "abc"])
+def raw_indices(profile: DataFrame, rows: int | None = None) -> DataFrame:
+    ranked = with_ranks(profile, [(f"{f}_total", f"{f}_rank", "average", True) for f in "abc"], rows=rows)
     return ranked.withColumns(
         {
             "maturity_raw": F.col("a_rank") + F.col("b_rank") + F.col("c_rank"),
@@ -138,9 +139,16 @@ def raw_indices(profile: DataFrame) -> DataFrame:
     )
 
 
+def _keep(df: DataFrame, rows: int) -> DataFrame:
+    """Write an expensive table that is read twice; recompute a small one instead."""
+    return materialize(df) if rows > SMALL_ROWS else df
+
+
 def index_profile(profile: DataFrame) -> DataFrame:
     """Profile with four indices relative to the entities present, labels and actions."""
-    raw = raw_indices(materialize(profile))
+    profile = materialize(profile)
+    rows = profile.count()
+    raw = _keep(raw_indices(profile, rows), rows)
     scaled = minmax(raw, {f"{i}_raw": i for i in INDICES})
     scaled = scaled.withColumn("maturity", F.lit(1.0) - F.col("maturity"))
     return with_action(scaled.withColumn("label", label_column()))
@@ -156,7 +164,8 @@ def anomaly_flags(indexed: DataFrame, ensemble: DataFrame | None = None) -> Data
 
     ``ensemble`` may add ``(entity, ensemble_flag)``; without it that flag is 0.
     """
-    ranked = with_ranks(indexed, [("log_activity", "expected_volatility", "fraction", False)])
+    rows = indexed.count()
+    ranked = with_ranks(indexed, [("log_activity", "expected_volatility", "fraction", False)], rows=rows)
     first = quantile_row(
         indexed,
         {
@@ -167,6 +176,7 @@ def anomaly_flags(indexed: DataFrame, ensemble: DataFrame | None = None) -> Data
             "_mm": ("maturity", 0.5),
             "_pm": ("pressure", 0.5),
         },
+        rows=rows,
     )
     step = with_row(ranked, first).withColumns(
         {
@@ -178,7 +188,8 @@ def anomaly_flags(indexed: DataFrame, ensemble: DataFrame | None = None) -> Data
             ),
         }
     ).drop(*first.columns)
-    second = quantile_row(step, {"_e9": ("volatility_excess", 0.9), "_d9": ("index_distance", 0.9)})
+    step = _keep(step, rows)
+    second = quantile_row(step, {"_e9": ("volatility_excess", 0.9), "_d9": ("index_distance", 0.9)}, rows=rows)
     out = with_row(step, second).withColumns(
         {
             "flag_scale": F.col("volatility_excess") > F.col("_e9"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
 BUCKETS = 128
+BROADCAST_ROWS = 100_000
 _B = "_bucket"
 
 
@@ -31,6 +32,36 @@ def _cut_probs(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
+def _bucket_tree(value: str, cuts: list, kind: str) -> Column:
+    """Number of cuts below the value, as a compiled binary decision."""
+    def text(v) -> str:
+        return f"{v!r}D" if kind == "double" else f"CAST('{v}' AS {kind})"
+
+    def node(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"if(`{value}` <= {text(cuts[mid])}, {node(lo, mid)}, {node(mid + 1, hi)})"
+
+    return F.expr(node(0, len(cuts)))
+
+
+def _two_level(cuts: Column, coarse: Column, block: int, below) -> Column:
+    """Number of cuts for which ``below`` holds: whole blocks first, then one block."""
+    full = F.size(F.filter(coarse, below))
+    return full * block + F.size(F.filter(F.slice(cuts, full * block + 1, F.lit(block)), below))
+
+
+def _blocks(cuts: list) -> tuple[int, list]:
+    block = max(1, round(len(cuts) ** 0.5))
+    return block, cuts[block - 1 :: block]
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a join side whose row count is known and below the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def ladder(
     df: DataFrame,
     value: str,
@@ -63,15 +94,16 @@ def ladder(
     kind = dict(rungs.dtypes)[value]
     if groups:
         # one row of split points per group
-        schema = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in groups) + f", _cuts array<{kind}>"
+        schema = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in groups) + f", _cuts array<{kind}>, _coarse array<{kind}>"
+        block = max(1, round(buckets**0.5))
+        ordered = [(r, sorted(set(r["_cuts"]))) for r in cuts]
         points = df.sparkSession.createDataFrame(
-            [tuple(r[g] for g in groups) + (sorted(set(r["_cuts"])),) for r in cuts], schema
+            [tuple(r[g] for g in groups) + (c, c[block - 1 :: block]) for r, c in ordered], schema
         )
-        rungs = rungs.join(points, groups)
-        bucket = F.size(F.filter("_cuts", lambda s: s < F.col(value)))
+        rungs = rungs.join(small_side(points, len(cuts)), groups)
+        bucket = _two_level(F.col("_cuts"), F.col("_coarse"), block, lambda s: s < F.col(value))
     else:
-        points = F.array(*[F.lit(s).cast(kind) for s in sorted(set(cuts[0]["_cuts"]))])
-        bucket = F.size(F.filter(points, lambda s: s < F.col(value)))
+        bucket = _bucket_tree(value, sorted(set(cuts[0]["_cuts"])), kind)
     rungs = rungs.withColumn(_B, bucket)
     base = Window.partitionBy(*(groups or [F.lit(0)]))
     before = base.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +113,7 @@ def ladder(
         *[F.sum(f"_s_{k}").over(base).alias(f"total_{k}") for k in sums],
     )
     up = Window.partitionBy(*groups, _B).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return rungs.join(per_bucket, groups + [_B]).select(
+    return rungs.join(small_side(per_bucket, len(cuts) * buckets), groups + [_B]).select(
         *groups, value, *sums,
         *[(F.col(f"_off_{k}") + F.sum(k).over(up)).alias(f"cum_{k}") for k in sums],
         *[f"total_{k}" for k in sums],
@@ -95,6 +127,7 @@ def running(
     position: str = "position",
     small_rows: int | None = None,
     buckets: int = BUCKETS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add a 1-based position and running sums under ``order``.
 
@@ -104,7 +137,7 @@ def running(
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     sums = dict(sums or {})
     keys = [(-F.col(c) if desc else F.col(c)).alias(f"_k{i}") for i, (c, desc) in enumerate(order)]
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     names = [f"_k{i}" for i in range(len(order))]
     if rows <= small_rows:
         up = Window.partitionBy(F.lit(0)).orderBy(*[k for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
@@ -117,8 +150,10 @@ def running(
     cuts = picked[:: max(1, len(picked) // buckets)]
     keyed = df.select("*", F.struct(*keys).alias("_key"))
     kind = keyed.schema["_key"].dataType.simpleString()
-    points = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, names)]).cast(kind) for c in cuts])
-    keyed = keyed.withColumn(_B, F.size(F.filter(points, lambda s: s <= F.col("_key"))))
+    block, coarse = _blocks(cuts)
+    literal = lambda some: F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, names)]).cast(kind) for c in some])
+    place = _two_level(literal(cuts), literal(coarse), block, lambda s: s <= F.col("_key")) if cuts else F.lit(0)
+    keyed = keyed.withColumn(_B, place)
     before = Window.partitionBy(F.lit(0)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     agg = keyed.groupBy(_B).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()])
     offsets = agg.select(
@@ -127,7 +162,7 @@ def running(
         *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
     )
     up = Window.partitionBy(_B).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.join(offsets, _B).select(
+    out = keyed.join(small_side(offsets, len(cuts) + 1), _B).select(
         *[F.col(c) for c in df.columns],
         (F.col("_c0") + F.count(F.lit(1)).over(up)).alias(position),
         *[(F.col(f"_o_{k}") + F.sum(e).over(up)).alias(k) for k, e in sums.items()],
@@ -153,6 +188,7 @@ def with_ranks(
     specs: Sequence[tuple[str, str, str, bool]],
     small_rows: int | None = None,
     buckets: int = BUCKETS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add rank columns; each spec is ``(value, output, kind, descending)``.
 
@@ -160,7 +196,7 @@ def with_ranks(
     """
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     values = list(dict.fromkeys(s[0] for s in specs))
-    if df.count() <= small_rows:
+    if (df.count() if rows is None else rows) <= small_rows:
         out = df
         for v in values:
             known = Window.partitionBy(F.col(v).isNotNull())
@@ -183,11 +219,18 @@ def with_ranks(
 
 
 def quantile_row(
-    df: DataFrame, wanted: Mapping[str, tuple[str, float]], small_rows: int | None = None, buckets: int = BUCKETS
+    df: DataFrame,
+    wanted: Mapping[str, tuple[str, float]],
+    small_rows: int | None = None,
+    buckets: int = BUCKETS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """One row of exact quantiles with linear interpolation: ``{name: (column, p)}``."""
+    """One row of exact quantiles with linear interpolation: ``{name: (column, p)}``.
+
+    ``rows`` may pass a known (upper bound of the) row count to save the count.
+    """
     small_rows = SMALL_ROWS if small_rows is None else small_rows
-    if df.count() <= small_rows:
+    if (df.count() if rows is None else rows) <= small_rows:
         return df.agg(*[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
     parts = []
     for c in dict.fromkeys(c for c, _ in wanted.values()):

@@ -43,7 +43,8 @@ def score(levered: DataFrame) -> DataFrame:
 
 def with_presets(indexed: DataFrame) -> DataFrame:
     """Levers by the entity's own action text."""
-    return indexed.join(preset_table(indexed.sparkSession), "action", "left")
+    # five fixed rows
+    return indexed.join(F.broadcast(preset_table(indexed.sparkSession)), "action", "left")
 
 
 def with_scenarios(indexed: DataFrame, scenarios: list[tuple[str, dict[str, float]]]) -> DataFrame:

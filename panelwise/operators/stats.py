@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.columns import EPS, TINY, safe_corr
-from panelwise.operators.ordered import quantile_row, with_ranks, with_row
+from panelwise.operators.ordered import quantile_row, small_side, with_ranks, with_row
+from panelwise.session import materialize
 
 # ---- scope -----------------------------------------------------------------------
 
@@ -36,8 +37,6 @@ def restrict(outputs: dict[str, DataFrame], entities: Sequence[str]) -> dict[str
     The Pareto view is computed again over the entities kept.
     """
     from panelwise.operators.indices import pareto
-    from panelwise.session import materialize
-
     kept = {
         k: (df.where(F.col("entity").isin(list(entities))) if entities and "entity" in df.columns else df) for k, df in outputs.items()
     }
@@ -123,13 +122,14 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     return with_row(df, total).withColumn(name, F.col(value) / (F.col("_total") + F.lit(EPS))).drop("_total")
 
 
-def distinct_summary(orders: DataFrame) -> DataFrame:
-    """Distinct counts, and the sorted list of a low-cardinality column."""
-    return orders.agg(
-        F.count_distinct("o_custkey").alias("customers"),
-        F.count_distinct("o_orderpriority").alias("priorities"),
-        F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "|").alias("names"),
-    )
+def distinct_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Exact distinct counts, ``{column: output}``."""
+    return df.agg(*[F.count_distinct(c).alias(o) for c, o in columns.items()])
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Sorted distinct values, one per row: the list may be long."""
+    return df.select(column).distinct().orderBy(column)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -241,8 +241,8 @@ def group_means(df: DataFrame, value: str) -> DataFrame:
 
     Period means are aggregated and joined back: a period may hold very many rows.
     """
-    per = df.groupBy("period").agg(F.avg(value).alias("period_mean"))
-    out = df.join(per, "period").withColumn("entity_mean", F.avg(value).over(Window.partitionBy("entity")))
+    per = materialize(df.groupBy("period").agg(F.avg(value).alias("period_mean")))
+    out = df.join(small_side(per, per.count()), "period").withColumn("entity_mean", F.avg(value).over(Window.partitionBy("entity")))
     return out.withColumns({"period_gap": F.col(value) - F.col("period_mean"), "entity_gap": F.col(value) - F.col("entity_mean")})
 
 
