@@ -782,9 +782,10 @@ def _(s, d):
     return edge(stats.to_long(b.panel(s, d), ["entity", "period"], ["update_ratio", "b_ratio", "c_ratio"]))
 
 
-@query("u8_long_to_wide", build("panel", f"SELECT {ym()} AS period, " + ", ".join(f"max(activity) FILTER (entity='NATION_{i}') AS NATION_{i}" for i in range(5)) + " FROM panel WHERE entity IN ('NATION_0','NATION_1','NATION_2','NATION_3','NATION_4') GROUP BY period"))
+@query("u8_long_to_wide", build("panel", f"SELECT {ym()} AS period, " + ", ".join(f"max(activity::DOUBLE) FILTER (entity='NATION_{i}') AS NATION_{i}" for i in range(5)) + " FROM panel WHERE entity IN ('NATION_0','NATION_1','NATION_2','NATION_3','NATION_4') GROUP BY period"))
 def _(s, d):
-    return edge(stats.to_wide(b.panel(s, d), "activity", [f"NATION_{i}" for i in range(5)]))
+    p = b.panel(s, d).withColumn("activity", F.col("activity").cast("double"))
+    return edge(stats.to_wide(p, "activity", [f"NATION_{i}" for i in range(5)]))
 
 
 # ---- normalisation -------------------------------------------------------------------

@@ -28,6 +28,9 @@ def build_session(cpus: str | int = "*", app: str = "panelwise", **conf: str) ->
     return spark
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, taken from ``spark.checkpoint.dir``.
 
@@ -39,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="panelwise-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FALLBACK:
+        _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="panelwise-")
+    return _LOCAL_FALLBACK[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
