@@ -162,12 +162,17 @@ def _(s, d):
     return edge(out, "entity", "cluster", "cluster_name", "mahalanobis", "x_1", "x_2")
 
 
+@query("m15_cluster_summary")
+def _(s, d):
+    return edge(cluster.run(_customer_indices(s, d), k_range=(2, 3), seeds=(1,))["summary"])
+
+
 @query(
     "a30_cluster_summary",
     build("idx", f"SELECT label, count(*)::BIGINT AS size, {r('quantile_cont(volatility,0.5)')} AS median FROM idx GROUP BY 1"),
 )
 def _(s, d):
-    from panelwise.operators.drift import group_quantiles
+    from panelwise.operators.ordered import group_quantiles
 
     ix = materialize(b.indexed(s, d))
     med = group_quantiles(ix, "volatility", "label", [0.5]).select("label", F.col("quantiles")[0].alias("median"))

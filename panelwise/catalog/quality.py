@@ -139,6 +139,18 @@ def _(s, d):
     return stats.gap_statistics(b.panel(s, d), "period", ["entity"]).select("entity", "median_gap", "max_gap", "large_gaps", "duplicate_dates", "no_duplicates")
 
 
+@query(
+    "v8_dates_sorted",
+    "SELECT event_type, count(*) FILTER (d<p)=0 AS dates_sorted FROM (SELECT event_type, ts::DATE AS d, lag(ts::DATE) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) GROUP BY 1"
+    " UNION ALL SELECT 'by time', count(*) FILTER (d<p)=0 FROM (SELECT ts::DATE AS d, lag(ts::DATE) OVER (ORDER BY ts) AS p FROM events)",
+)
+def _(s, d):
+    e = b.table(s, d, "events").select("event_id", "event_type", "ts", F.col("ts").cast("date").alias("date"))
+    by_id = stats.sorted_flag(e, "date", "event_id", ["event_type"])
+    by_time = stats.sorted_flag(e.withColumn("event_type", F.lit("by time")), "date", "ts", ["event_type"])
+    return by_id.unionByName(by_time)
+
+
 @query(
     "v9_validation_report",
     build(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.fixed import PROFILE_NAMES
 from panelwise.operators.indices import INDICES, zscore
+from panelwise.operators.ordered import group_quantiles
 from panelwise.session import materialize
 
 VECTOR = "_vec"
@@ -143,10 +144,10 @@ def project_2d(vectors: DataFrame) -> DataFrame:
 
 
 def summary(assigned: DataFrame) -> DataFrame:
-    """Size and median distance per cluster; the median is bounded-memory approximate."""
-    return assigned.groupBy("cluster", "cluster_name").agg(
-        F.count(F.lit(1)).alias("size"), F.percentile_approx("mahalanobis", 0.5, F.lit(10_000)).alias("median_distance")
-    )
+    """Size and median distance per cluster."""
+    median = group_quantiles(assigned, "mahalanobis", "cluster", [0.5]).select("cluster", F.col("quantiles")[0].alias("median_distance"))
+    sizes = assigned.groupBy("cluster", "cluster_name").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(median, "cluster", "left")
 
 
 def centroids(assigned: DataFrame, mix: Mixture, original: DataFrame) -> DataFrame:

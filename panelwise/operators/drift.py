@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.columns import nan_to_null
 from panelwise.functions.tails import chi2_tail, ks_tail
-from panelwise.operators.ordered import ladder, with_row
+from panelwise.operators.ordered import group_quantiles, ladder
 from panelwise.session import materialize
 
 KS_LIMIT, PSI_LIMIT, JS_LIMIT = 0.05, 0.1, 0.1
@@ -90,18 +90,6 @@ def psi_equal_width(pool: DataFrame, bins: int = 10, eps: float = 1e-4) -> DataF
     return _binned(pool, bins, top=1e-10).groupBy("feature").agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
 
 
-def group_quantiles(df: DataFrame, value: str, group: str, probs: Sequence[float], small_rows: int | None = None) -> DataFrame:
-    """Exact quantiles per group as an array; groups may be of any size."""
-    steps = ladder(df, value, None, [group], small_rows)
-    cells = []
-    for p in probs:
-        at = (F.col("total_cnt") - 1) * F.lit(float(p))
-        low = F.min(F.when(F.col("cum_cnt") > F.floor(at), F.col(value)))
-        high = F.min(F.when(F.col("cum_cnt") > F.ceil(at), F.col(value)))
-        cells.append(low + (high - low) * F.max(at - F.floor(at)))
-    return steps.groupBy(group).agg(F.array(*cells).alias("quantiles"))
-
-
 def psi_quantile(pool: DataFrame, bins: int = 10, floor: float = 1e-10, small_rows: int | None = None) -> DataFrame:
     """Stability index over baseline-quantile bins with open ends."""
     cuts = group_quantiles(pool.where("side = 0"), "value", "feature", [i / bins for i in range(bins + 1)], small_rows)

@@ -197,7 +197,7 @@ def with_ranks(
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     values = list(dict.fromkeys(s[0] for s in specs))
     if (df.count() if rows is None else rows) <= small_rows:
-        out = df
+        out = df.repartition(1)  # one small exchange serves every window below
         for v in values:
             known = Window.partitionBy(F.col(v).isNotNull())
             same = Window.partitionBy(v)
@@ -250,6 +250,18 @@ def quantile_row(
     return out.select(*wanted)
 
 
+def group_quantiles(df: DataFrame, value: str, group: str, probs: Sequence[float], small_rows: int | None = None) -> DataFrame:
+    """Exact quantiles per group as an array; few groups, each of any size."""
+    steps = ladder(df, value, None, [group], small_rows)
+    cells = []
+    for p in probs:
+        at = (F.col("total_cnt") - 1) * F.lit(float(p))
+        low = F.min(F.when(F.col("cum_cnt") > F.floor(at), F.col(value)))
+        high = F.min(F.when(F.col("cum_cnt") > F.ceil(at), F.col(value)))
+        cells.append(low + (high - low) * F.max(at - F.floor(at)))
+    return steps.groupBy(group).agg(F.array(*cells).alias("quantiles"))
+
+
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table to every row, as a scalar subquery."""
     names = one_row.columns

@@ -297,9 +297,15 @@ def gap_statistics(df: DataFrame, date: str, groups: Sequence[str]) -> DataFrame
 
 
 def sorted_flag(df: DataFrame, date: str, position: str, groups: Sequence[str]) -> DataFrame:
-    """Whether dates never decrease along ``position``."""
-    w = Window.partitionBy(*groups).orderBy(position)
-    back = df.withColumn("_back", F.col(date) < F.lag(date).over(w))
+    """Whether dates never decrease along ``position``, per group.
+
+    Rows are first reduced to one per date: dates are in order exactly when every
+    date ends before the next one starts.
+    """
+    groups = list(groups)
+    days = df.groupBy(*groups, date).agg(F.min(position).alias("_first"), F.max(position).alias("_last"))
+    w = Window.partitionBy(*groups).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    back = days.withColumn("_back", F.col("_first") < F.max("_last").over(w))
     return back.groupBy(*groups).agg((F.count_if("_back") == 0).alias("dates_sorted"))
 
 
