@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from panelwise.catalog.registry import edge, query
 from panelwise.catalog.relational import DIRTY_T, ENTROPY_BINS, ROBUST_COLS, ROBUST_MAD, ROBUST_MED
+from panelwise.catalog.quality import PSI1, _bins
 from panelwise.catalog.sql import build, r, rs, ym
 from panelwise.operators import indices, rollup, stats
 from panelwise.plans import bindings as b
@@ -190,7 +191,13 @@ def _(s, d):
     return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "cents", "rows")
 
 
-@query("x5_stream_drift")
+X5_POOL = "SELECT 'cents' AS feature, round(value*100)::DOUBLE AS v, 0 AS side FROM events WHERE event_id%2=0 UNION ALL SELECT 'cents', round(value*100)::DOUBLE, 1 FROM events"
+
+
+@query(
+    "x5_stream_drift",
+    build("", "SELECT *, CASE WHEN psi<0.1 THEN 'stable' WHEN psi<0.25 THEN 'warning' ELSE 'critical' END AS severity FROM (" + PSI1 + ")", pool=X5_POOL, bins=_bins(10, "1e-10")),
+)
 def _(s, d):
     hist, ck = scratch_path(s, "drift-history"), scratch_path(s, "drift-ck")
     base = _events(s, d).where("event_id % 2 = 0")

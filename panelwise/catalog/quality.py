@@ -209,7 +209,7 @@ FEATURES = ["value", "user_id"]
 
 
 def _pool(s, d):
-    return materialize(drift.pooled(*_halves(s, d), FEATURES))
+    return drift.pooled(*_halves(s, d), FEATURES)
 
 
 KSQ = f"""SELECT feature, {r('max(abs(fr-fc))')} AS ks, max(nr)::BIGINT AS n_ref, max(nc)::BIGINT AS n_cur FROM (SELECT feature,
@@ -321,6 +321,39 @@ def _(s, d):
     return edge(drift.should_retrain(_history(s, d)))
 
 
+POOLS = f"""SELECT 'first' AS run, feature, v, side FROM pool UNION ALL SELECT 'second', feature, CASE WHEN feature='value' AND side=1 THEN v*2 ELSE v END, side FROM pool"""
+RUNS = PSI2.replace("SELECT feature, (CASE", "SELECT run, feature, (CASE", 1).replace("FROM pool JOIN", "FROM pools pool JOIN").replace("SELECT feature, bin,", "SELECT run, feature, bin,").replace(
+    "SELECT feature, count(*) FILTER (side=0) AS nr", "SELECT run, feature, count(*) FILTER (side=0) AS nr"
+).replace("FROM pool GROUP BY 1)", "FROM pools GROUP BY 1,2)").replace("USING (feature)) GROUP BY 1,2) GROUP BY 1", "USING (run,feature)) GROUP BY 1,2,3) GROUP BY 1,2")
+RUN_ROWS = "SELECT run, feature, psi, psi>0.1 AS drift_detected, CASE WHEN psi<0.1 THEN 'none' WHEN psi<0.2 THEN 'moderate' ELSE 'severe' END AS severity FROM runs"
+
+
+def _psi_history(s, d):
+    """Two runs of the stability index alone, appended to a history table."""
+    from panelwise.session import scratch_path
+
+    path = scratch_path(s, "psi-history")
+    base, cur = _halves(s, d)
+    for name, at, part in (("first", "2024-02-01 00:00:00", cur), ("second", "2024-02-02 00:00:00", cur.withColumn("value", F.col("value") * 2))):
+        psi = drift.psi_quantile(drift.pooled(base, part, FEATURES))
+        report = psi.select("feature", "psi", (F.col("psi") > drift.PSI_LIMIT).alias("drift_detected"), drift.severity_psi(F.col("psi")).alias("severity"))
+        drift.append_history(report, path, name, at)
+    return s.read.parquet(path)
+
+
+@query("q8_history_psi", build("", RUN_ROWS, pool=POOL, pools=POOLS, runs=RUNS))
+def _(s, d):
+    return edge(_psi_history(s, d), "run", "feature", "psi", "drift_detected", "severity")
+
+
+@query(
+    "q9_retrain_psi",
+    build("", "SELECT 'second' AS run, 100*count(*) FILTER (drift_detected)/count(*)::DOUBLE AS drifted_pct, 100*count(*) FILTER (drift_detected)/count(*)>=20 AS retrain FROM rws WHERE run='second'", pool=POOL, pools=POOLS, runs=RUNS, rws=RUN_ROWS),
+)
+def _(s, d):
+    return edge(drift.should_retrain(_psi_history(s, d)))
+
+
 @query("q10_baseline_check")
 def _(s, d):
     from panelwise.operators.anomaly import tail_score

@@ -668,6 +668,19 @@ def _(s, d):
     return edge(x, "entity", "period", "d1", "d2")
 
 
+@query(
+    "w6_densified_lag",
+    build(
+        "panel",
+        f"""SELECT entity, {ym()} AS period, a_total, lag(a_total) OVER (PARTITION BY entity ORDER BY period)::DOUBLE AS lag_1 FROM (
+ SELECT g.entity, g.period, coalesce(panel.a_total,0) AS a_total FROM (SELECT entity, unnest(generate_series(min(period)::TIMESTAMP,max(period)::TIMESTAMP,INTERVAL 1 MONTH))::DATE AS period FROM panel GROUP BY 1) g LEFT JOIN panel USING (entity,period))""",
+    ),
+)
+def _(s, d):
+    full = rollup.densify(b.panel(s, d).select("entity", "period", "a_total"), ["a_total"])
+    return edge(stats.shifts(full, "a_total", lags=(1,)).withColumn("lag_1", F.col("lag_1").cast("double")))
+
+
 @query("w14_percent_below", build("cust", "SELECT entity, floor(100*(rank() OVER (ORDER BY cents)-1)/count(*) OVER ())::BIGINT AS pct FROM cust"))
 def _(s, d):
     return stats.percent_below(materialize(b.customer_profile(s, d)), "cents").select("entity", "pct")

@@ -1,7 +1,9 @@
 """Distribution drift between a baseline and a current table.
 
-Columns are turned into ``(feature, side, value)`` rows once; each test is then one
-grouped job over all features, and only a row per feature reaches a tail function.
+Columns are turned into ``(feature, side, value)`` rows; each test is then one grouped
+job over all features, and only a row per feature reaches a tail function. The tall
+form is a narrow step after the scan, so it is made again per test, not stored: hand
+in stored tables when the inputs themselves are expensive.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from pyspark.sql import functions as F
 from panelwise.functions.columns import nan_to_null
 from panelwise.functions.tails import chi2_tail, ks_tail
 from panelwise.operators.ordered import group_quantiles, ladder
-from panelwise.session import materialize
 
 KS_LIMIT, PSI_LIMIT, JS_LIMIT = 0.05, 0.1, 0.1
 
@@ -170,7 +171,7 @@ def monitor(baseline: DataFrame, current: DataFrame, numeric: Sequence[str], cat
     """Long report: KS and quantile PSI per numeric column, chi-square per category column."""
     parts = []
     if numeric:
-        pool = materialize(pooled(baseline, current, numeric))
+        pool = pooled(baseline, current, numeric)
         ks = ks_distance(pool).withColumn("p_value", ks_tail(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
         parts.append(ks.select("feature", F.lit("KS").alias("test"), F.col("ks").alias("statistic"), "p_value", F.coalesce(F.col("p_value") < KS_LIMIT, F.lit(False)).alias("drift_detected"), severity_p(F.col("p_value")).alias("severity")))
         psi = psi_quantile(pool)
@@ -213,7 +214,7 @@ def baseline_check(baseline: DataFrame | None, current: DataFrame, features: Seq
     if baseline is None:
         return current.sparkSession.createDataFrame([], schema)
     shared = [f for f in features if f in baseline.columns and f in current.columns]
-    pool = materialize(pooled(baseline, current, shared))
+    pool = pooled(baseline, current, shared)
     none = F.lit(None).cast("double")
     out = covariate_drift(pool, alpha).select("feature", F.lit("KS_covariate").alias("check_type"), "ks", "p_value", "drift_detected", "severity", none.alias("psi"))
     if score and score in baseline.columns and score in current.columns:

@@ -64,6 +64,17 @@ def build_panel(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     return with_ratios(join_feeds(rollup(a, "a"), rollup(b, "b"), rollup(c, "c")))
 
 
+def densify(panel: DataFrame, columns: list[str], fill: int = 0) -> DataFrame:
+    """Add the months an entity skips between its first and last one.
+
+    The other operators take rows as consecutive; use this first where lag 1 must
+    mean the month before.
+    """
+    span = panel.groupBy("entity").agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+    months = F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("period")
+    return span.select("entity", months).join(panel.select(*KEYS, *columns), KEYS, "left").fillna(fill, columns)
+
+
 def variation_by_entity(panel: DataFrame) -> DataFrame:
     return panel.groupBy("entity").agg(
         variation("a_total").alias("a_cv"),
