@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
-BUCKETS = 128
+MIN_BUCKETS, MAX_BUCKETS = 128, 1024
+ROWS_PER_BUCKET = 500_000
+TREE_CUTS = 256
 BROADCAST_ROWS = 100_000
 _B = "_bucket"
 
@@ -32,6 +34,17 @@ def _cut_probs(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
+def _bucket_count(rows: int) -> int:
+    """More rows, more buckets: each bucket is one task of the window."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
+
+
+def _thin(cuts: list, keep: int) -> list:
+    """About ``keep`` evenly spaced, distinct cuts."""
+    distinct = sorted(set(cuts))
+    return distinct[:: max(1, len(distinct) // keep)]
+
+
 def _bucket_tree(value: str, cuts: list, kind: str) -> Column:
     """Number of cuts below the value, as a compiled binary decision."""
     def text(v) -> str:
@@ -68,7 +81,7 @@ def ladder(
     sums: Mapping[str, Column] | None = None,
     groups: Sequence[str] = (),
     small_rows: int | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` with ``cum_<k>`` and ``total_<k>`` for each sum.
 
@@ -79,11 +92,14 @@ def ladder(
     groups = list(groups)
     known = df.where(F.col(value).isNotNull())
     rungs = known.groupBy(*groups, value).agg(*[e.alias(k) for k, e in sums.items()])
+    fine = buckets or MAX_BUCKETS
     cuts = known.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, _cut_probs(buckets), F.lit(10 * buckets)).alias("_cuts"),
+        F.percentile_approx(value, _cut_probs(fine), F.lit(10 * fine)).alias("_cuts"),
     ).collect()
-    if sum(r["_n"] for r in cuts) <= small_rows:
+    rows = sum(r["_n"] for r in cuts)
+    buckets = buckets or _bucket_count(rows)
+    if rows <= small_rows:
         base = Window.partitionBy(*(groups or [F.lit(0)]))
         up = base.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         return rungs.select(
@@ -96,14 +112,20 @@ def ladder(
         # one row of split points per group
         schema = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in groups) + f", _cuts array<{kind}>, _coarse array<{kind}>"
         block = max(1, round(buckets**0.5))
-        ordered = [(r, sorted(set(r["_cuts"]))) for r in cuts]
+        ordered = [(r, _thin(r["_cuts"], buckets)) for r in cuts]
         points = df.sparkSession.createDataFrame(
             [tuple(r[g] for g in groups) + (c, c[block - 1 :: block]) for r, c in ordered], schema
         )
         rungs = rungs.join(small_side(points, len(cuts)), groups)
         bucket = _two_level(F.col("_cuts"), F.col("_coarse"), block, lambda s: s < F.col(value))
     else:
-        bucket = _bucket_tree(value, sorted(set(cuts[0]["_cuts"])), kind)
+        every = _thin(cuts[0]["_cuts"], buckets)
+        if len(every) <= TREE_CUTS:
+            bucket = _bucket_tree(value, every, kind)
+        else:
+            block, coarse = _blocks(every)
+            literal = lambda some: F.array(*[F.lit(v).cast(kind) for v in some])
+            bucket = _two_level(literal(every), literal(coarse), block, lambda s: s < F.col(value))
     rungs = rungs.withColumn(_B, bucket)
     base = Window.partitionBy(*(groups or [F.lit(0)]))
     before = base.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +135,7 @@ def ladder(
         *[F.sum(f"_s_{k}").over(base).alias(f"total_{k}") for k in sums],
     )
     up = Window.partitionBy(*groups, _B).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return rungs.join(small_side(per_bucket, len(cuts) * buckets), groups + [_B]).select(
+    return rungs.join(small_side(per_bucket, len(cuts) * 2 * buckets), groups + [_B]).select(
         *groups, value, *sums,
         *[(F.col(f"_off_{k}") + F.sum(k).over(up)).alias(f"cum_{k}") for k in sums],
         *[f"total_{k}" for k in sums],
@@ -126,7 +148,7 @@ def running(
     sums: Mapping[str, Column] | None = None,
     position: str = "position",
     small_rows: int | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Add a 1-based position and running sums under ``order``.
@@ -144,6 +166,7 @@ def running(
         return df.select(
             "*", F.count(F.lit(1)).over(up).alias(position), *[F.sum(e).over(up).alias(k) for k, e in sums.items()]
         )
+    buckets = buckets or _bucket_count(rows)
     # a bounded handful of keys places the split points
     share = min(1.0, 40.0 * buckets / rows)
     picked = sorted(tuple(r) for r in df.select(*keys).dropna().sample(share, seed=7).collect())
@@ -187,7 +210,7 @@ def with_ranks(
     df: DataFrame,
     specs: Sequence[tuple[str, str, str, bool]],
     small_rows: int | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Add rank columns; each spec is ``(value, output, kind, descending)``.
@@ -222,7 +245,7 @@ def quantile_row(
     df: DataFrame,
     wanted: Mapping[str, tuple[str, float]],
     small_rows: int | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """One row of exact quantiles with linear interpolation: ``{name: (column, p)}``.

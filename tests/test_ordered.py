@@ -79,6 +79,17 @@ def test_bucket_placement_spreads_work(spark):
     assert "_bucket" in plan and plan.count("rangepartitioning") == 0
 
 
+def test_bucket_number_grows_with_rows_up_to_a_limit():
+    assert [ordered._bucket_count(n) for n in (10, 10**8, 10**12)] == [128, 200, 1024]
+    assert len(ordered._thin([5, 1, 2, 3, 4, 4], 2)) in (2, 3)
+
+
+def test_many_cuts_are_placed_in_two_levels(spark):
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"))
+    got = ordered.ladder(df, "x", small_rows=0, buckets=600).toPandas().sort_values("x")
+    assert got["cum_cnt"].tolist() == list(range(1, 5001))
+
+
 def test_results_do_not_depend_on_partitioning(skewed):
     df, _ = skewed
     spec = [("x", "r", "average", True)]
