@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwise.catalog.registry import edge, query
 from panelwise.catalog.sql import build, r, rs, ym
-from panelwise.operators import anomaly, attribution, cluster, indices, pooled, stats
+from panelwise.operators import anomaly, attribution, cluster, indices, pooled
 from panelwise.plans import bindings as b
 from panelwise.session import materialize
 

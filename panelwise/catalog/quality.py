@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwise.catalog.registry import edge, query
-from panelwise.catalog.sql import EPS, build, r, rs, ym
+from panelwise.catalog.sql import build, r, rs
 from panelwise.functions.fixed import EFFECTS, LEVERS, PRESETS, SENSITIVITY
 from panelwise.operators import drift, indices, quality, scenario, stats
 from panelwise.operators.ordered import with_row

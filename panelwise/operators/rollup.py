@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.functions.columns import EPS, add_all, month_start, ratio, safe_corr, variation
+from panelwise.functions.columns import add_all, month_start, ratio, safe_corr, variation
 
 BANDS_OF = {"a": ["a_1", "a_2", "a_3"], "b": ["b_1", "b_2"], "c": ["c_1", "c_2"]}
 KEYS = ["entity", "period"]

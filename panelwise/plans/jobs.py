@@ -10,7 +10,6 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from panelwise.operators import anomaly, attribution, causal, clean, cluster, drift, forecast, indices, quality, robust, rollup, stats, synthetic
 from panelwise.operators.rollup import BANDS_OF
@@ -24,14 +23,14 @@ def clean_job(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
     ``raw`` maps feed letters to frames with ``date, entity, area, site`` and bands.
     """
-    out = {}
-    for feed, df in raw.items():
-        bands = BANDS_OF[feed]
-        cleaned = clean.clean_rows(df.select("date", "entity", "area", "site", *bands), bands)
-        out[feed] = clean.dedupe(cleaned)
-    for feed in out:
-        if feed != "a":
-            out[feed] = clean.keep_known(out[feed], out["a"], "entity")
+    cleaned = {
+        feed: clean.clean_rows(df.select("date", "entity", "area", "site", *BANDS_OF[feed]), BANDS_OF[feed]) for feed, df in raw.items()
+    }
+    out = {feed: clean.dedupe(df) for feed, df in cleaned.items()}
+    if len(out) > 1:
+        # written once: feed a is not cleaned again for each other feed
+        known = materialize(cleaned["a"].select("entity").distinct())
+        out |= {feed: clean.keep_known(df, known, "entity") for feed, df in out.items() if feed != "a"}
     return out
 
 

@@ -36,6 +36,15 @@ def test_csv_folder_and_clean_job(spark, folder):
         (dt.date(2025, 2, 1), "West Bengal", "700001", 3), (dt.date(2025, 2, 3), "Odisha", "070002", 1)]
 
 
+def test_other_feeds_keep_only_known_entities(spark, folder):
+    raw = readers.read_csv_feed(spark, str(folder / "feed"), readers.feed_schema(BANDS))
+    other = spark.createDataFrame(
+        [("01-02-2025", " ORISSA", "n", "1", 1, 2), ("01-02-2025", "kerala", "n", "1", 1, 2)], "date string, entity string, area string, site string, b_1 long, b_2 long"
+    )
+    out = jobs.clean_job({"a": raw, "b": other})
+    assert [r["entity"] for r in out["b"].collect()] == ["Odisha"] and out["a"].count() == 2
+
+
 def test_archives(spark, folder):
     rows = readers.read_archives(spark, str(folder / "feed"), readers.feed_schema(BANDS))
     assert rows.count() == 5 and {r["site"] for r in rows.collect()} == {"700001", "1", "070002"}
