@@ -1,10 +1,15 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-The merges of one pre-token are driven by buckets, one per merge rank, that hold positions
-of a linked list of byte spans. A three-level bitmap over the ranks (64 ranks a leaf, 64
-leaves a node, one word of nodes on top) gives the smallest occupied rank by find-first-set.
-A position whose pair has changed since it was filed is stale and skipped. The cost
-of a pre-token is about linear in its bytes, however long it is.
+All pre-tokens of a chunk of texts share one linked list of tokens (a separator between two
+pre-tokens pairs with nothing). Buckets, one per merge rank, hold positions of the list. A
+bitmap over the ranks in three levels (64 ranks a leaf, 64 leaves a node, one word of nodes on
+top) gives the smallest occupied rank by find-first-set. A position whose pair has
+changed since it was filed is stale and skipped. The valid positions of a bucket merge together, the leftmost
+first where they overlap, so a pre-token of a million bytes costs no more per byte than a word.
+
+Merging a whole bucket at once equals merging one position at a time if no merge of this
+rank can make a pair of lower rank. Ranks for which the vocabulary doesn't rule that out merge only
+the leftmost position of each pre-token and file the rest again.
 
 Token ids travel as packed little-endian unsigned 32-bit integers: a third of the size of
 an array column and ready to be digested or written. ``unpack`` gives the array.
@@ -15,8 +20,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens of at most LONG characters are remembered, REMEMBERED of them for each worker.
+#: Pre-tokens of at most LONG characters are remembered, up to REMEMBERED of them for each worker.
 LONG = 48
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
+#: Characters of text that are cut and merged at a time.
+CHUNK = 1 << 22
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -34,75 +39,132 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the lowest rank first, leftmost among equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    filed: list[int] = [-1] * n  # rank of the pair that begins at a position, -1: none
-    buckets: dict[int, list[int]] = {}
-    leaves: dict[int, int] = {}
-    nodes: dict[int, int] = {}
-    top = 0
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            filed[i] = rank
+class RankQueue:
+    """Buckets of positions by rank; the lowest occupied rank comes first."""
+
+    def __init__(self) -> None:
+        self.buckets: dict[int, list[int]] = {}
+        self.leaves: dict[int, int] = {}
+        self.nodes: dict[int, int] = {}
+        self.top = 0
+
+    def file(self, ranks: list[int], positions: list[int]) -> None:
+        buckets = self.buckets
+        for rank, at in zip(ranks, positions):
             if rank in buckets:
-                buckets[rank].append(i)  # ascending, hence a heap already
+                buckets[rank].append(at)
             else:
-                buckets[rank] = [i]
+                buckets[rank] = [at]
                 leaf, node = rank >> 6, rank >> 12
-                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 63)
-                nodes[node] = nodes.get(node, 0) | 1 << (leaf & 63)
-                top |= 1 << node
-    while top:
-        node = (top & -top).bit_length() - 1
-        word = nodes[node]
+                self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 63)
+                self.nodes[node] = self.nodes.get(node, 0) | 1 << (leaf & 63)
+                self.top |= 1 << node
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest rank and its whole bucket."""
+        node = (self.top & -self.top).bit_length() - 1
+        word = self.nodes[node]
         leaf = node << 6 | (word & -word).bit_length() - 1
-        word = leaves[leaf]
+        word = self.leaves[leaf]
         rank = leaf << 6 | (word & -word).bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
-            leaves[leaf] = word = word & word - 1
-            if not word:
-                nodes[node] = word = nodes[node] & nodes[node] - 1
-                if not word:
-                    top &= top - 1
-        if filed[i] != rank:
-            continue  # stale
-        j = after[i]
-        k = after[j]
-        after[i] = k
-        filed[j] = -1
-        if k < n:
-            before[k] = i
-        for at in (before[i], i):
-            if at < 0:
-                continue
-            right = after[at]
-            new = ranks.get(piece[at : after[right]]) if right < n else None
-            if new is None:
-                filed[at] = -1
+        self.leaves[leaf] = word & word - 1
+        if not self.leaves[leaf]:
+            self.nodes[node] &= self.nodes[node] - 1
+            if not self.nodes[node]:
+                self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
+
+
+class Merges:
+    """Pair table of a vocabulary and the merging of many pre-tokens at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
+        self.size = max(ranks.values()) + 1
+        pairs: dict[int, int] = {}
+        self.lowers = np.zeros(self.size, bool)  # a merge of this rank can make a pair of lower rank
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a * self.size + b] = rank
+                    for part in (a, b):
+                        if part >= rank:
+                            self.lowers[part] = True
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.results = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 where they don't merge; -1 as an id pairs with nothing."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.results[at], -1)
+
+    def _leftmost(self, rank, at, keep, token, after, before, owner) -> tuple[np.ndarray, np.ndarray]:
+        """Only the leftmost position of each pre-token in which a merge would make a pair of lower rank."""
+        made = np.full(len(at), rank)
+        sides = [self.rank_of(token[before[at]], made), self.rank_of(made, token[after[after[at]]]), self.rank_of(made, made)]
+        low = np.any([(x >= 0) & (x < rank) for x in sides], axis=0)
+        if not low.any():
+            return keep, at[:0]
+        piece = owner[at]
+        careful = np.isin(piece, piece[low])
+        first = np.concatenate([[True], piece[1:] != piece[:-1]])
+        return np.where(careful, first, keep), at[careful & ~first]
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``pieces`` in a row, and the bounds of each piece's ids."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"\0".join(pieces), np.uint8)
+        n = len(raw) + 2  # a separator before, between and after
+        first = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
+        token = np.full(n, -1, np.int64)
+        token[1:-1] = self.of_byte[raw]
+        token[first[1:] - 1] = -1
+        owner = np.repeat(np.arange(len(pieces) + 1), np.append(sizes + 1, n - 1 - (sizes + 1).sum()))
+        owner = np.concatenate([[0], owner])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[-1] = n - 1
+        filed = np.append(self.rank_of(token[:-1], token[1:]), -1)
+        alive = token >= 0
+        queue = RankQueue()
+        start = np.flatnonzero(filed >= 0)
+        queue.file(filed[start].tolist(), start.tolist())
+        while queue.top:
+            rank, bucket = queue.take()
+            at = np.unique(np.array(bucket))
+            at = at[filed[at] == rank]  # the rest is stale
+            if not len(at):
                 continue
-            filed[at] = new
-            if new in buckets:
-                heappush(buckets[new], at)
-            else:
-                buckets[new] = [at]
-                leaf, node = new >> 6, new >> 12
-                leaves[leaf] = leaves.get(leaf, 0) | 1 << (new & 63)
-                nodes[node] = nodes.get(node, 0) | 1 << (leaf & 63)
-                top |= 1 << node
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
+            if len(at) > 1:
+                step = np.arange(len(at))
+                fresh = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                keep = (step - np.maximum.accumulate(np.where(fresh, step, 0))) % 2 == 0
+                if self.lowers[rank]:
+                    keep, again = self._leftmost(rank, at, keep, token, after, before, owner)
+                    queue.file([rank] * len(again), again.tolist())
+                at = at[keep]
+            gone = after[at]
+            beyond = after[gone]
+            token[at] = rank
+            after[at] = beyond
+            before[beyond] = at
+            filed[gone] = -1
+            alive[gone] = False
+            touched = np.concatenate([at, before[at]])
+            touched = touched[token[touched] >= 0]
+            new = self.rank_of(token[touched], token[after[touched]])
+            filed[touched] = new
+            some = new >= 0
+            queue.file(new[some].tolist(), touched[some].tolist())
+        counts = np.concatenate([[0], np.cumsum(alive)])
+        return token[alive], counts[np.append(first[:-1], n - 1)]
 
 
 class Codec:
@@ -111,31 +173,52 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         import regex
 
-        self.ranks = parse_ranks(raw)
-        if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
-            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
+        self.merges = Merges(parse_ranks(raw))
         self.pieces: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.known = lru_cache(maxsize=REMEMBERED)(self._packed)
-        size = max(self.ranks.values()) + 1
-        self.tokens: list[bytes] = [b""] * size
-        for token, rank in self.ranks.items():
+        self.known: dict[str, bytes] = {}
+        self.tokens: list[bytes] = [b""] * self.merges.size
+        for token, rank in self.merges.ranks.items():
             self.tokens[rank] = token
 
-    def _packed(self, piece: str) -> bytes:
-        ids = merge(piece.encode(), self.ranks)
-        return pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        known, fresh = self.known, self._packed
-        return b"".join([known(p) if len(p) <= LONG else fresh(p) for p in self.pieces(text)])
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens; one that is a token as a whole isn't merged."""
+        raw = [p.encode() for p in fresh]
+        whole = list(map(self.merges.ranks.get, raw))
+        out = {p: rank.to_bytes(4, "little") for p, rank in zip(fresh, whole) if rank is not None}
+        rest = [k for k, rank in enumerate(whole) if rank is None]
+        if rest:
+            ids, bounds = self.merges.merge([raw[k] for k in rest])
+            packed, ends = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+            out.update((fresh[k], packed[a:b]) for k, a, b in zip(rest, ends[:-1], ends[1:]))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(self.pieces, texts))
+        used = set().union(*cut)
+        if fresh := list(used.difference(self.known)):
+            self.known.update(self._learn(fresh))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for p in [p for p in used if len(p) > LONG]:
+            del self.known[p]
+        if len(self.known) > REMEMBERED:  # go on with what this chunk has used
+            self.known = {p: self.known[p] for p in used if p in self.known} if len(used) < REMEMBERED else {}
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def _codec(raw: bytes, pattern: str) -> Codec:
-    return Codec(raw, pattern)
+def _in_chunks(codec: Codec, texts: pa.Array) -> Iterator[bytes]:
+    chunk: list[str] = []
+    size = 0
+    for t in texts:
+        chunk.append(t.as_py() or "")
+        size += len(chunk[-1])
+        if size >= CHUNK:
+            yield from codec.encode_all(chunk)
+            chunk, size = [], 0
+    if chunk:
+        yield from codec.encode_all(chunk)
 
 
 class Tokenizer:
@@ -155,7 +238,7 @@ class Tokenizer:
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = _codec(raw.value, pattern)
             for part in texts:
-                yield pa.array([codec.encode(t.as_py() or "") for t in part], pa.binary())
+                yield pa.array(_in_chunks(codec, part), pa.binary())
 
         @F.arrow_udf(T.BinaryType())
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
