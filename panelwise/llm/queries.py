@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, decontaminate, secrets, simhash, toxicity
+from panelwise.llm import bpe, chat, decontaminate, secrets, simhash, toxicity, urls
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,88 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     found = toxicity.scored(documents, model)
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.size("found.scores").cast("long").alias("n_segments"))
+
+
+# ---- 8 preference formatting ---------------------------------------------------------------
+
+OP8_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+size AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS n FROM t GROUP BY conv_id),
+pair AS (
+  SELECT a.conv_id // 2 AS pair_id, CASE WHEN b.n > a.n THEN b.conv_id ELSE a.conv_id END AS chosen_id,
+         CASE WHEN b.n > a.n THEN a.conv_id ELSE b.conv_id END AS rejected_id
+  FROM size a JOIN size b ON a.conv_id % 2 = 0 AND b.conv_id = a.conv_id + 1),
+pos AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) AS shown FROM t),
+sides AS (SELECT pair_id, true AS won, chosen_id AS conv_id FROM pair UNION ALL SELECT pair_id, false, rejected_id FROM pair),
+own AS (SELECT s.pair_id, s.won, p.* FROM sides s JOIN pos p USING (conv_id)),
+prefix AS (
+  SELECT pair_id, min(k) - 1 AS n FROM (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k,
+           a.k IS NOT NULL AND b.k IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+    FROM (SELECT * FROM own WHERE won) a FULL JOIN (SELECT * FROM own WHERE NOT won) b ON a.pair_id = b.pair_id AND a.k = b.k)
+  WHERE NOT same GROUP BY pair_id),
+placed AS (
+  SELECT o.*, coalesce(x.n, 1000000000) AS n,
+         coalesce(sum(length(shown)) FILTER (WHERE k > coalesce(x.n, 1000000000)) OVER (PARTITION BY pair_id, won ORDER BY k), 0) AS upto
+  FROM own o LEFT JOIN prefix x USING (pair_id)),
+joined AS (
+  SELECT pair_id, coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE won AND k <= n), '') AS prompt,
+         count(*) FILTER (WHERE won AND k <= n) AS n_prompt_turns,
+         coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE won AND k > n), '') AS chosen,
+         coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE NOT won AND k > n), '') AS rejected,
+         coalesce(string_agg((upto - length(shown) + 14)::BIGINT || ':' || upto::BIGINT, ',' ORDER BY k) FILTER (WHERE won AND k > n AND role = 'assistant'), '') AS chosen_mask,
+         coalesce(string_agg((upto - length(shown) + 14)::BIGINT || ':' || upto::BIGINT, ',' ORDER BY k) FILTER (WHERE NOT won AND k > n AND role = 'assistant'), '') AS rejected_mask
+  FROM placed GROUP BY pair_id)
+SELECT pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask FROM joined JOIN pair USING (pair_id)
+"""
+
+
+@query("op8_preferences", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.preferences(turns, chat.neighbours(turns))
+
+
+# ---- 9 url filter --------------------------------------------------------------------------
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def _level_sql(name: str, source: str, parent: str) -> str:
+    rho = f"greatest({urls.RHO[0]}, least({urls.RHO[1]}, coalesce(sum(CASE WHEN n > 0 THEN (bad - n * {parent}) ** 2 / (n * {parent} * (1 - {parent})) - 1 END) / nullif(sum(CASE WHEN n > 0 THEN n - 1 END), 0), {urls.RHO[0]})))"
+    return f"{name} AS (SELECT *, (bad + s * {parent}) / (n + s) AS mean FROM {source}, (SELECT 1 / {rho} - 1 AS s FROM {source}))"
+
+
+OP9_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT doc_id, max((toxic > 0 OR quality = 0)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, list_extract(string_split(domain, '.'), -1) AS suffix FROM h0 GROUP BY domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s0) AS top FROM s0),
+{_level_sql("s2", "s1", "top")},
+d1 AS (SELECT d0.*, s2.mean AS suffix_mean FROM d0 JOIN s2 USING (suffix)),
+{_level_sql("d2", "d1", "suffix_mean")},
+h1 AS (SELECT h0.*, d2.mean AS domain_mean FROM h0 JOIN d2 USING (domain)),
+{_level_sql("h2", "h1", "domain_mean")},
+b AS (SELECT host FROM h2 WHERE mean - {urls.Z} * sqrt(mean * (1 - mean) / (n + s + 1)) > {urls.LIMIT}),
+r AS (SELECT p.*, b.host IS NOT NULL AS bad,
+        CASE WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+             WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+             WHEN (p.host = 'org' OR p.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+             WHEN (p.host = 'net' OR p.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+      FROM p LEFT JOIN b ON p.host = b.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+
+@query("op9_url_reputation", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when(F.coalesce(F.col("toxic") > 0, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False)), 1).when(F.coalesce("toxic", "quality").isNotNull(), 0)
+    judged = urls.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("id"), bad.alias("bad")), RULES)
+    return judged.withColumnRenamed("id", "page_id")
