@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, chat, decontaminate, secrets, simhash, toxicity, urls
+from panelwise.llm import bpe, chat, decontaminate, paragraphs, secrets, simhash, toxicity, urls
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- 5 repeated paragraphs -----------------------------------------------------------------
+
+
+@query("op5_paragraphs")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.repeated(table(spark, sf_dir, "documents"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"], s["class_id"])), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_repeated", "n_removed", spans("repeated").alias("repeated"), spans("removed").alias("removed"))
+
+
 # ---- 7 SimHash near-duplicates -------------------------------------------------------------
 
 
