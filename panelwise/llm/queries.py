@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, chat, decontaminate, paragraphs, secrets, simhash, toxicity, urls
+from panelwise.llm import bpe, chat, decontaminate, paragraphs, secrets, simhash, toxicity, urls, vectors
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_repeated", "n_removed", spans("repeated").alias("repeated"), spans("removed").alias("removed"))
 
 
+# ---- 6 nearest neighbours ------------------------------------------------------------------
+
+
+@query("op6_nearest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 # ---- 7 SimHash near-duplicates -------------------------------------------------------------
 
 
