@@ -166,6 +166,48 @@ class Merges:
         counts = np.concatenate([[0], np.cumsum(alive)])
         return token[alive], counts[np.append(first[:-1], n - 1)]
 
+    def lockstep(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``merge`` for many short pieces: each step merges the lowest pair of every piece."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        token = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece, none = np.arange(len(pieces)), np.iinfo(np.int64).max
+        out_piece, out_size, out_token = [piece[sizes == 0]], [sizes[sizes == 0]], []
+        piece, sizes = piece[sizes > 0], sizes[sizes > 0]
+        pair = self.rank_of(token, np.append(token[1:], -1))
+        pair[pair < 0] = none
+        pair[np.cumsum(sizes) - 1] = none
+        while len(piece):
+            least = np.minimum.reduceat(pair, np.cumsum(sizes) - sizes)
+            ended = least == none
+            if ended.any():
+                over = np.repeat(ended, sizes)
+                out_piece.append(piece[ended])
+                out_size.append(sizes[ended])
+                out_token.append(token[over])
+                piece, least, sizes, token, pair = piece[~ended], least[~ended], sizes[~ended], token[~over], pair[~over]
+                continue
+            owner = np.repeat(np.arange(len(piece)), sizes)
+            at = np.flatnonzero(pair == least[owner])
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
+            token[at] = least
+            left = np.ones(len(token), bool)
+            left[at + 1] = False
+            token, pair, owner = token[left], pair[left], owner[left]
+            sizes = sizes - 1
+            at -= np.arange(len(at))  # one place gone in each piece before
+            for k in (at, at[at > 0] - 1):
+                beyond = np.minimum(k + 1, len(token) - 1)
+                new = self.rank_of(token[k], token[beyond])
+                pair[k] = np.where((owner[k] == owner[beyond]) & (beyond > k) & (new >= 0), new, none)
+        order = np.concatenate(out_piece)
+        size = np.concatenate(out_size)
+        flat = np.concatenate([*out_token, np.zeros(0, np.int64)])
+        begin, back = np.cumsum(size) - size, np.argsort(order)
+        counts = size[back]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        take = np.repeat(begin[back] - bounds[:-1], counts) + np.arange(bounds[-1])
+        return flat[take], bounds
+
 
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memory of pre-tokens."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import bpe, chat, decontaminate, paragraphs, secrets, simhash, toxicity, urls, vectors
+from panelwise.llm import bpe, chat, decontaminate, language_model, paragraphs, secrets, simhash, toxicity, urls, vectors
 from panelwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- 4 language model ----------------------------------------------------------------------
+
+
+@query("op4_language_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = language_model.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 # ---- 5 repeated paragraphs -----------------------------------------------------------------
 
 
