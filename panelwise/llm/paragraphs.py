@@ -167,7 +167,7 @@ def _sets(wanted):
             for _, cut, own in _cuts(batch):
                 content = cut.contents()[own].view(np.int64)
                 if known is not None:
-                    hit = np.isin(content, known)
+                    hit = known[np.minimum(np.searchsorted(known, content), len(known) - 1)] == content if len(known) else np.zeros(len(content), bool)
                     own, content = own[hit], content[hit]
                 if not len(own):
                     continue
