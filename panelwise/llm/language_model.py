@@ -3,10 +3,12 @@
 Counts. Every training text counts: its words (A-Z lowered, between ASCII white space) and one end. The words'
 subword ids give the corpus frequency of every id of a public vocabulary.
 
-Model. One attention layer with a learnt bias for each distance and a feed-forward layer predict the next
-id's class from the ids before it; a frequent id is a class of its own, the others share classes of about equal
-frequency, inside which the corpus frequencies decide. Ids, classes and the end therefore always have positive
-probability, and a text's probability is that of its word sequence as subwords.
+Model. One attention layer with a learnt bias for each distance, a feed-forward layer and a direct weight for each pair
+of neighbouring classes predict the next id's class from the ids before it; a frequent id is a class of its own, the others share classes of about equal
+frequency, inside which the corpus frequencies decide. Ids that begin a word and others never share a class, so a word's
+probability as subwords is that of its ids times that of another beginning (or the end) after them. A word's
+probability is the mean of that and of its share of the corpus (of the most frequent words), weighted by ``UNIGRAM``: the
+words' probabilities add up to at most one, and every text has a positive one.
 
 Training. Each round trains a copy of the model in every partition, on a share of the training documents that grows with the corpus,
 and averages the copies, weighted by their tokens (local stochastic gradient descent).
@@ -43,6 +45,7 @@ ROUNDS = 2
 #: Share of the training documents that a round trains on; small corpora give at least LEAST_CHARS.
 SHARE, LEAST_CHARS = 1 / 32, 8_000_000
 BATCH, RATE = 64, 0.01
+UNIGRAM = 0.5
 SCORE_BATCH = 256
 #: Characters of text that are scored at a time, and words remembered by a worker.
 CHUNK, REMEMBERED = 1 << 21, 1 << 18
@@ -114,14 +117,17 @@ class Subwords:
                     out[k] = packed[a:b]
         return out
 
-    def encode_all(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of each text, and the number of ids of each of its words."""
         used = set().union(*texts)
         if fresh := list(used.difference(self.known)):
             self.known.update(zip(fresh, self.learn(fresh)))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, t)), "<u4").astype(np.int64) for t in texts]
+        packed = [list(map(self.known.__getitem__, t)) for t in texts]
+        ids = [np.frombuffer(b"".join(p), "<u4").astype(np.int64) for p in packed]
+        pieces = [np.fromiter(map(len, p), np.int64, len(p)) // 4 for p in packed]
         if len(self.known) > REMEMBERED:
             self.known = {w: self.known[w] for w in used} if len(used) < REMEMBERED else {}
-        return out
+        return ids, pieces
 
 
 _SUBWORDS: dict[int, tuple[object, Subwords]] = {}
@@ -156,37 +162,42 @@ def _count_ids(shared):
 
 @dataclass
 class Shape:
-    """How ids map to input rows and classes; ``inside`` is the log-probability of an id in its class."""
+    """How ids map to input rows and classes.
+
+    ``inside`` is the log-probability of an id in its class; the classes from ``begins`` on begin a word.
+    """
 
     row: np.ndarray
     cls: np.ndarray
     inside: np.ndarray
     bias: np.ndarray
+    begins: int
 
     @property
     def rows(self) -> int:
         return int(self.row.max()) + 1
 
 
-def shape_of(counts: np.ndarray, ends: int) -> Shape:
-    """``counts`` of every id; the end is the id after the last one, and also begins a text."""
+def shape_of(counts: np.ndarray, ends: int, begins: np.ndarray) -> Shape:
+    """``counts`` of every id and whether it begins a word; the end is the id after the last one, and also begins a text."""
     n = np.append(counts, ends).astype(np.float64) + 1.0
+    begins = np.append(begins, True)
     order = np.argsort(-n[:-1], kind="stable")
-    cls = np.empty(len(n), np.int64)
-    own = order[:OWN_CLASSES]
-    cls[own] = np.arange(len(own))
-    cls[-1] = len(own)
-    rest = order[OWN_CLASSES:]
+    group = np.empty(len(n), np.int64)
+    own, rest = order[:OWN_CLASSES], order[OWN_CLASSES:]
+    group[own] = np.arange(len(own))
+    group[-1] = len(own)
     if len(rest):
         mass = np.cumsum(n[rest])
-        cls[rest] = len(own) + 1 + np.minimum((mass - n[rest]) / mass[-1] * SHARED_CLASSES, SHARED_CLASSES - 1).astype(np.int64)
-    _, cls = np.unique(cls, return_inverse=True)
+        group[rest] = len(own) + 1 + np.minimum((mass - n[rest]) / mass[-1] * SHARED_CLASSES, SHARED_CLASSES - 1).astype(np.int64)
+    _, cls = np.unique(group + begins * (len(own) + 1 + SHARED_CLASSES), return_inverse=True)
     total = np.bincount(cls, n)
     row = np.empty(len(n), np.int64)
     row[order] = np.minimum(np.arange(len(order)), OWN_ROWS)
-    row[order[OWN_ROWS:]] = OWN_ROWS + cls[order[OWN_ROWS:]] - cls[order[OWN_ROWS:]].min(initial=len(total))
+    rare = order[OWN_ROWS:]
+    row[rare] = OWN_ROWS + cls[rare] - cls[rare].min(initial=len(total))
     row[-1] = row[:-1].max() + 1
-    return Shape(row, cls, np.log(n / total[cls]), np.log(total / total.sum()))
+    return Shape(row, cls, np.log(n / total[cls]), np.log(total / total.sum()), int(cls[begins].min()))
 
 
 def blank(shape: Shape, seed: int = 11) -> dict[str, np.ndarray]:
@@ -202,6 +213,7 @@ def blank(shape: Shape, seed: int = 11) -> dict[str, np.ndarray]:
         "up_b": np.zeros(HIDDEN, np.float32),
         "down": draw(HIDDEN, WIDTH) * np.float32(0.5),
         "head": draw(WIDTH, len(shape.bias)) * np.float32(0.1),
+        "pair": np.zeros((len(shape.bias), len(shape.bias)), np.float32),
         "head_b": shape.bias.astype(np.float32),
     }
 
@@ -217,8 +229,20 @@ def _exp(a: np.ndarray) -> None:
     np.exp(a, out=a)
 
 
-def _forward(w: dict[str, np.ndarray], rows: np.ndarray, on: np.ndarray | None = None) -> tuple:
-    """Class logits for every place of ``rows`` (batch x window input rows) or only the places ``on``, and what the gradient needs."""
+def _summed(index: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Rows of ``values`` added up by ``index``."""
+    out, order = np.zeros_like(like), np.argsort(index, kind="stable")
+    found, first = np.unique(index[order], return_index=True)
+    out[found] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
+def _forward(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, on: np.ndarray | None = None) -> tuple:
+    """Class logits, and what the gradient needs.
+
+    ``rows`` has the input rows (batch x window), ``last`` the input classes of the places
+    asked for: all of them, or the flat places ``on``.
+    """
     b, n = rows.shape
     x = w["embed"][rows]
     qkv = x.reshape(-1, WIDTH) @ w["qkv"]
@@ -235,6 +259,7 @@ def _forward(w: dict[str, np.ndarray], rows: np.ndarray, on: np.ndarray | None =
     z = h + u @ w["down"]
     logits = z @ w["head"]
     logits += w["head_b"]
+    logits += w["pair"][last]
     return logits, (x, q, k, v, a, o, h, u, z)
 
 
@@ -245,14 +270,14 @@ def _log_probs(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(at, 1e-37)) - np.log(logits.sum(axis=1).astype(np.float64))
 
 
-def _gradient(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+def _gradient(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     b, n = rows.shape
-    logits, (x, q, k, v, a, o, h, u, z) = _forward(w, rows)
+    logits, (x, q, k, v, a, o, h, u, z) = _forward(w, rows, last)
     _log_probs(logits, target)
     p = logits / logits.sum(axis=1, keepdims=True)
     p[np.arange(len(target)), target] -= 1
     p *= (weight / max(weight.sum(), 1.0))[:, None].astype(np.float32)
-    g = {"head": z.T @ p, "head_b": p.sum(axis=0)}
+    g = {"head": z.T @ p, "head_b": p.sum(axis=0), "pair": _summed(last, p, w["pair"])}
     dz = p @ w["head"].T
     g["down"] = u.T @ dz
     du = (dz @ w["down"].T) * (u > 0)
@@ -268,8 +293,7 @@ def _gradient(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, we
     dqkv = np.concatenate([(ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], 1)
     g["qkv"] = x.reshape(-1, WIDTH).T @ dqkv
     dx = dh + dqkv @ w["qkv"].T
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], rows.ravel(), dx)
+    g["embed"] = _summed(rows.ravel(), dx, w["embed"])
     return g
 
 
@@ -303,7 +327,7 @@ class Trainer:
         order = np.random.default_rng(self.step).permutation(len(inputs))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            g = _gradient(self.w, self.shape.row[inputs[own]], self.shape.cls[targets[own]].ravel(), fresh[own].ravel().astype(np.float32))
+            g = _gradient(self.w, self.shape.row[inputs[own]], self.shape.cls[inputs[own]].ravel(), self.shape.cls[targets[own]].ravel(), fresh[own].ravel().astype(np.float32))
             self.step += 1
             self.tokens += int(fresh[own].sum())
             rate = RATE * min(1.0, self.step / 20) / (1 + self.step / 400)
@@ -314,18 +338,33 @@ class Trainer:
                 self.w[name] -= np.float32(rate) * unbiased[0] / (np.sqrt(unbiased[1]) + 1e-8)
 
 
-def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each text."""
+def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of each text.
+
+    ``pieces`` has the number of ids of each word of a text, ``shares`` the corpus share of each word and of the end.
+    """
+    lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     inputs, targets, fresh, text = windows(sequences, len(shape.cls) - 1)
-    total = np.zeros(len(sequences))
+    log_id, log_begin = np.zeros(lengths.sum()), np.zeros(lengths.sum() + 1)
+    done = 0  # fresh places come in the order of the texts
     for lo in range(0, len(inputs), SCORE_BATCH):
         part = slice(lo, lo + SCORE_BATCH)
         on = np.flatnonzero(fresh[part].ravel())
-        logits, _ = _forward(w, shape.row[inputs[part]], on)
+        logits, _ = _forward(w, shape.row[inputs[part]], shape.cls[inputs[part].ravel()[on]], on)
         t = targets[part].ravel()[on]
-        logp = _log_probs(logits, shape.cls[t]) + shape.inside[t]
-        total += np.bincount(np.repeat(text[part], WINDOW)[on], logp, len(sequences))
-    return total / np.log(10)
+        log_id[done : done + len(on)] = _log_probs(logits, shape.cls[t]) + shape.inside[t]
+        begin = logits[:, shape.begins :].sum(axis=1) / logits.sum(axis=1)
+        log_begin[done : done + len(on)] = np.log(np.maximum(begin, 1e-30))
+        done += len(on)
+    ids = np.concatenate([np.append(p, 1) for p in pieces])
+    first = np.cumsum(ids) - ids
+    whole = np.add.reduceat(log_id, first) - log_begin[first]
+    words = np.array([len(p) + 1 for p in pieces])
+    after = np.append(log_begin[first[1:]], 0.0)
+    after[np.cumsum(words) - 1] = 0.0  # nothing comes after the end
+    share = np.concatenate(shares)
+    logp = np.logaddexp(np.log(UNIGRAM) + np.log(np.maximum(share, 1e-300)), np.log(1 - UNIGRAM) + whole + after)
+    return np.add.reduceat(logp, np.cumsum(words) - words) / np.log(10)
 
 
 # ---- training on the cluster ---------------------------------------------------------------
@@ -364,7 +403,7 @@ def _train(subwords_of, model):
         subwords = _subwords(subwords_of)
         trainer = Trainer(*model.value)
         for _, chunk in _chunks(batches):
-            trainer.learn(subwords.encode_all(chunk))
+            trainer.learn(subwords.encode_all(chunk)[0])
         if trainer.tokens:
             flat = _pack(trainer.w).astype(np.float64) * trainer.tokens
             yield pa.RecordBatch.from_pydict({"at": np.arange(len(flat)), "value": flat, "tokens": np.full(len(flat), float(trainer.tokens))})
@@ -390,12 +429,13 @@ def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: float = S
     train = rows.where(F.coalesce(fold("id") != HELD_OUT, F.lit(True)))
     words = store(word_counts(train), "words")
     state = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("ends"), F.sum(F.col("n") * (F.length("word") + 1)).alias("chars")).first()
-    size = Merges(parse_ranks(subwords.value)).size
-    counts = np.zeros(size, np.int64)
+    ranks = parse_ranks(subwords.value)
+    counts, begins = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, bool)
+    begins[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
     found = words.where(F.col("word") != F.lit(END)).mapInArrow(_count_ids(subwords), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     for r in found.collect():  # at most one row for each id of the vocabulary
         counts[r["id"]] = r["n"]
-    shape = shape_of(counts, state["ends"] or 0)
+    shape = shape_of(counts, state["ends"] or 0, begins)
     weights = blank(shape)
     part = max(share, min(1.0, LEAST_CHARS / max(state["chars"] or 1, 1)))
     for k in range(rounds):
@@ -413,21 +453,21 @@ def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: float = S
 
 def _score(subwords_of, fitted, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, (shape, w), top = _subwords(subwords_of), fitted.value, frequent.value
+        subwords, (shape, w), (top, tokens) = _subwords(subwords_of), fitted.value, frequent.value
         for batch, chunk in _chunks(batches):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "numbers")}
+            shares = []
             for words in chunk:
-                known, logs, rare = 1 if END in top else 0, float(np.log10(top.get(END, 0) + 1.0)), {}
-                found = list(map(top.get, words))
-                counts = np.array([c for c in found if c is not None], np.float64)
-                if len(counts) < len(words):
-                    rare = Counter([x for x, c in zip(words, found) if c is None])
-                out["n_tokens"].append(len(words) + 1)
-                out["known"].append(known + len(counts))
-                out["logs"].append(logs + float(np.log10(counts + 1.0).sum()))
+                found = [*map(top.get, words), top.get(END)]
+                counts = np.array([c or 0 for c in found], np.float64)
+                rare = Counter([x for x, c in zip(words, found) if c is None]) if None in found else {}
+                shares.append(counts / max(tokens, 1))
+                out["n_tokens"].append(len(found))
+                out["known"].append(int(np.count_nonzero(counts)))
+                out["logs"].append(float(np.log10(counts + 1.0).sum()))
                 out["rare"].append([word_key(x) for x in rare])
                 out["numbers"].append(list(rare.values()))
-            score = text_scores(shape, w, subwords.encode_all(chunk))
+            score = text_scores(shape, w, *subwords.encode_all(chunk), shares)
             kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": pa.list_(pa.int64()), "numbers": pa.list_(pa.int64())}
             arrays = [pa.array(out[k], t) for k, t in kinds.items()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, pa.array(score)], ["id", *kinds, "score"])
@@ -439,7 +479,7 @@ def scored(rows: DataFrame, model: Model, top: int = TOP) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of (id, text)."""
     spark = model.spark
     frequent = {bytes(r["word"]): r["n"] for r in model.words.orderBy(F.desc("n"), "word").limit(top).collect()}
-    run = _score(model.subwords, model.fitted, spark.sparkContext.broadcast(frequent))
+    run = _score(model.subwords, model.fitted, spark.sparkContext.broadcast((frequent, model.tokens)))
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, logs double, rare array<long>, numbers array<long>, score double"
     # numbered after storing, so that every later read gives a row the same number
     first = store(rows.mapInArrow(run, schema), "scores").withColumn("row", F.monotonically_increasing_id())
