@@ -45,7 +45,7 @@ ROUNDS = 2
 #: Share of the training documents that a round trains on; small corpora give at least LEAST_CHARS.
 SHARE, LEAST_CHARS = 1 / 32, 8_000_000
 BATCH, RATE = 64, 0.01
-UNIGRAM = 0.5
+UNIGRAM = 0.3
 SCORE_BATCH = 256
 #: Characters of text that are scored at a time, and words remembered by a worker.
 CHUNK, REMEMBERED = 1 << 21, 1 << 18
