@@ -250,6 +250,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def _codec(raw: bytes, pattern: str) -> Codec:
+    """One codec for each worker and vocabulary."""
+    return Codec(raw, pattern)
+
+
 def _in_chunks(codec: Codec, texts: pa.Array) -> Iterator[bytes]:
     chunk: list[str] = []
     size = 0
