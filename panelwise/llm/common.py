@@ -30,3 +30,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names."""
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (UTF-8), remembered up to a bound."""
+
+    def __init__(self, bound: int = 1 << 18):
+        self.bound = bound
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= self.bound:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()

@@ -6,7 +6,7 @@ running sums. Item fingerprints are indexed by ``BLOCKS`` bytes: if two fingerpr
 most ``RADIUS`` bits, at least one byte differs in at most ``RADIUS // BLOCKS`` bits, so the
 union of the bytes' neighbourhoods holds every item within the radius. What is left after the full Hamming
 check is verified by exact weighted-shingle similarity (weighted Jaccard of the two
-multisets; a shingle weighs as many characters as its words have).
+multisets; a shingle weighs as many bytes as its words have).
 
 A window that shares no shingle with an item of its size has similarity zero, so
 only windows around shared shingles are fingerprinted. The benchmark is read in blocks of a bounded
@@ -16,10 +16,8 @@ the number of blocks.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import pick
+from panelwise.llm.common import HASHES, pick
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,7 +34,10 @@ BLOCKS = 8
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 8_000_000
 
-_WORD = re.compile(r"\w+")
+#: What separates words, beside ASCII white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WIDE_MARKS = "«»“”„‘’¡¿…–—\u00a0"
+_SPACES = bytes.maketrans(MARKS.encode(), b" " * len(MARKS))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 HIT = T.StructType(
     [
@@ -50,28 +51,39 @@ HIT = T.StructType(
 HIT_ARROW = pa.list_(pa.struct([("item", pa.string()), ("similarity", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("distance", pa.int32())]))
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_hash(word: str) -> int:
-    from xxhash import xxh64_intdigest
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words (UTF-8) between white space and marks."""
+    low = (text or "").lower()
+    for mark in WIDE_MARKS:
+        if mark in low:
+            low = low.replace(mark, " ")
+    return low.encode().translate(_SPACES).split()
 
-    return xxh64_intdigest(word.encode())
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word, from the worker's bounded memory."""
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
-def shingles(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and weight of every shingle of ``width`` words."""
-    n = len(words) - width + 1
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every shingle of ``width`` words, from the words' hashes."""
+    n = len(h) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    length = np.fromiter(map(len, words), np.int32, len(words))
+        return np.zeros(0, np.uint64)
     mixed = h[:n] * _ODD[0]
+    h = h ^ (h >> np.uint64(29))
     for k in range(1, width):
-        mixed += (h[k : n + k] ^ (h[k : n + k] >> np.uint64(29))) * _ODD[k]
+        mixed += h[k : n + k] * _ODD[k]
     mixed ^= mixed >> np.uint64(31)
     mixed *= _ODD[2]
     mixed ^= mixed >> np.uint64(29)
-    sums = np.concatenate([[0], np.cumsum(length)])
-    return mixed, (sums[width:] - sums[:-width]).astype(np.int32)
+    return mixed
+
+
+def weights(words: list[bytes], width: int) -> np.ndarray:
+    """Bytes of the words of every shingle."""
+    sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return (sums[width:] - sums[:-width]).astype(np.int32)
 
 
 def _signed_bits(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -136,11 +148,11 @@ class Index:
         self.least = least
         grouped: dict[tuple[int, int], list] = {}
         for name, text in items:
-            words = _WORD.findall((text or "").lower())
+            words = words_of(text)
             if not words:
                 continue
             width = min(SHINGLE, len(words))
-            h, w = shingles(words, width)
+            h, w = shingles(hashes(words), width), weights(words, width)
             grouped.setdefault((width, len(h)), []).append((name, h, w))
         self.sizes = [_Size(width, m, own, radius) for (width, m), own in sorted(grouped.items(), key=lambda x: x[0])]
         self.widths = sorted({s.width for s in self.sizes})
@@ -152,16 +164,18 @@ class Index:
             self.known[width], self.gate[width] = known, gate
 
     def find(self, text: str | None) -> list[dict]:
-        words = _WORD.findall((text or "").lower())
+        words = words_of(text)
+        each = hashes(words)
         best: dict[str, dict] = {}
         for width in self.widths:
-            h, w = shingles(words, width)
+            h = shingles(each, width)
             if not len(h):
                 continue
             at = np.flatnonzero(self.gate[width][h >> np.uint64(44)])
             at = at[np.isin(h[at], self.known[width])]
             if not len(at):
                 continue
+            w = weights(words, width)
             for size in self.sizes:
                 if size.width != width:
                     continue

@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import pick, store
+from panelwise.llm.common import HASHES, pick, store
 from panelwise.llm.components import components
-from panelwise.llm.decontaminate import _word_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,7 +40,8 @@ LEAST_RUN = 20
 PAIRWISE = 8
 #: Contents whose 8-byte hashes are sent to every task as a filter; beyond that a join does the same.
 SENT = 2_000_000
-EDGE = ".,;:!?\"'()[]{}<>«»“”¡¿*#$%&"
+#: Marks that don't count at a word's ends. Words lie between ASCII white space.
+EDGE = b".,;:!?\"'()[]{}<>*#$%&"
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -61,10 +61,10 @@ class Cut:
     """The paragraphs of one text: ``starts`` and ``ends`` in words, content hash, shingles."""
 
     def __init__(self, text: str | None):
-        lines = [line.split() for line in (text or "").lower().split("\n")]
+        lines = [line.split() for line in (text or "").lower().encode().split(b"\n")]
         words = [w.strip(EDGE) for line in lines for w in line]
         n = len(words)
-        self.h = h = np.fromiter(map(_word_hash, words), np.uint64, n)
+        self.h = h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
         sizes = np.array([len(line) for line in lines if line], np.int64)
         if not n:
             self.starts = self.ends = np.zeros(0, np.int64)
