@@ -177,7 +177,7 @@ l AS (SELECT doc_id, max((toxic > 0 OR quality = 0)::INT) AS bad FROM labels WHE
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
 d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, list_extract(string_split(domain, '.'), -1) AS suffix FROM h0 GROUP BY domain),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
-s1 AS (SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s0) AS top FROM s0),
+s1 AS (SELECT *, (SELECT (sum(bad) + {urls.PRIOR}) / (sum(n) + 1) FROM s0) AS top FROM s0),
 {_level_sql("s2", "s1", "top")},
 d1 AS (SELECT d0.*, s2.mean AS suffix_mean FROM d0 JOIN s2 USING (suffix)),
 {_level_sql("d2", "d1", "suffix_mean")},

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 0.25
 Z = 1.645
+#: Bad rate before any label, worth one page.
+PRIOR = 0.05
 #: Bounds of the intra-group correlation; the prior's strength is 1 / rho - 1 observations.
 RHO = (0.001, 0.5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,7 +73,7 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataF
     hosts = hosts.withColumn("domain", domain(F.col("host")))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", suffix(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p")).scalar()
+    top = suffixes.agg(((F.sum("bad") + PRIOR) / (F.sum("n") + 1)).alias("p")).scalar()
     suffixes = _level(suffixes.withColumn("top", top), "suffix", "top").select("suffix", F.col("mean").alias("suffix_mean"))
     domains = _level(domains.join(suffixes, "suffix"), "domain", "suffix_mean").select("domain", F.col("mean").alias("domain_mean"))
     hosts = _level(hosts.join(domains, "domain"), "host", "domain_mean")
