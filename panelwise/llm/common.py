@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.session import scratch_path
@@ -13,15 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, watch: Observation | None = None, *metrics: Column) -> DataFrame:
     """Write ``df`` as Parquet to the folder all executors share and go on from the files.
 
     Cuts the lineage: a lost executor costs nothing that lies before this point. The
-    files are deleted when the driver's file system closes.
+    files are deleted when the driver's file system closes. ``watch`` collects ``metrics`` of the rows on the way.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.observe(watch, *metrics) if watch else df).write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

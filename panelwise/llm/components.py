@@ -9,7 +9,7 @@ the smallest neighbours has one row per node.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import store
@@ -41,11 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
         .select("u", "v")
         .distinct()
     )
-    now, before = store(now, "edges"), None
-    while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or state["n"] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges in files, with their number and the sum of their hashes."""
+        watch = Observation()
+        out = store(df, "edges", watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return out, (watch.get["n"], watch.get["h"])
+
+    now, state = stored(now)
+    while state[0]:
         before = state
-        big = _large_star(now).distinct()
-        now = store(_small_star(big).distinct(), "edges")
+        now, state = stored(_small_star(_large_star(now).distinct()).distinct())
+        if state == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

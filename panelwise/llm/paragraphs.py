@@ -11,7 +11,8 @@ paragraphs are one content before banding, so copies cost one row a task.
 
 Verification. In a bucket of up to ``PAIRWISE`` contents all pairs are verified by exact Jaccard
 similarity. In a larger one every content meets the smallest one first; contents that are still in
-another component than that one then meet all contents of the bucket in other components. A pair inside a
+another component than that one then meet all contents of the bucket in other components (if they are many, their own
+smallest one first). A pair inside a
 component is never compared, as it could add nothing, and no pair of different components is left out.
 
 Removals. A class of paragraphs that occurs in at least two documents is repeated. Its first occurrence (smallest
@@ -27,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwise.llm.common import HASHES, pick, store
 from panelwise.llm.components import components
+from panelwise.llm.decontaminate import shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -38,13 +41,13 @@ REACH = 7
 LEAST_WORDS = 8
 LEAST_RUN = 20
 PAIRWISE = 8
-#: Contents whose 8-byte hashes are sent to every task as a filter; beyond that a join does the same.
-SENT = 2_000_000
-#: Marks that don't count at a word's ends. Words lie between ASCII white space.
-EDGE = b".,;:!?\"'()[]{}<>*#$%&"
+#: Contents (8 bytes each) that are broadcast as a filter; beyond that an exchange does the same.
+SENT = 1_000_000
+#: Pairs of different components that are compared at once in large buckets.
+FEW = 5_000_000
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,151 +60,126 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _HASHES = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _A[2]).reshape(2, -1) | np.uint64(1)
 
 
+def _least_of(x: np.ndarray, size: int) -> np.ndarray:
+    """Smallest of every ``size`` neighbours, from runs of doubled length."""
+    run = 1
+    while run * 2 <= size:
+        x, run = np.minimum(x[:-run], x[run:]), run * 2
+    return np.minimum(x[: len(x) - (size - run)], x[size - run :]) if size > run else x
+
+
 class Cut:
     """The paragraphs of one text: ``starts`` and ``ends`` in words, content hash, shingles."""
 
     def __init__(self, text: str | None):
         lines = [line.split() for line in (text or "").lower().encode().split(b"\n")]
-        words = [w.strip(EDGE) for line in lines for w in line]
-        n = len(words)
-        self.h = h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
         sizes = np.array([len(line) for line in lines if line], np.int64)
+        n = int(sizes.sum())
+        self.h = h = np.fromiter((x for line in lines for x in map(HASHES.__getitem__, line)), np.uint64, n)
         if not n:
             self.starts = self.ends = np.zeros(0, np.int64)
             return
         ends = np.cumsum(sizes)
-        line_start = np.repeat(ends - sizes, sizes)
-        line_end = np.repeat(ends, sizes)
         at = np.arange(n)
-        pair = _mixed(h + _A[3] * np.append(h[1:], h[:1]))
+        pair = h * _A[0] + np.append(h[1:], h[:1]) * _A[3]
+        pair ^= pair >> np.uint64(32)
         pair[ends - 1] = _MAX  # a pair doesn't cross lines
         # lines are set apart by REACH empty places, so that no line sees another
         place = at + REACH * (1 + np.repeat(np.arange(len(sizes)), sizes))
         wide = np.full(int(place[-1]) + REACH + 1, _MAX)
         wide[place] = pair
-        seen = np.lib.stride_tricks.sliding_window_view(wide, REACH)
-        left, right = seen[place - REACH].min(axis=1), seen[place + 1].min(axis=1)
-        cut = (pair < left) & (pair <= right) & (at - line_start >= REACH) & (line_end - at > REACH)
+        least = _least_of(wide, REACH)
+        cut = (pair < least[place - REACH]) & (pair <= least[place + 1])
+        cut &= (at - np.repeat(ends - sizes, sizes) >= REACH) & (np.repeat(ends, sizes) - at > REACH)
         cut[ends - sizes] = True
         self.starts = np.flatnonzero(cut)
         self.ends = np.append(self.starts[1:], n)
 
     def contents(self) -> np.ndarray:
         """64-bit hash of each paragraph's words in order."""
-        size = self.ends - self.starts
-        offset = np.arange(len(self.h)) - np.repeat(self.starts, size)
-        return np.add.reduceat(_mixed(self.h + offset.astype(np.uint64) * _A[4]), self.starts)
+        offset = np.arange(len(self.h)) - np.repeat(self.starts, self.ends - self.starts)
+        return np.add.reduceat(_mixed(self.h + offset.astype(np.uint64) * _A[3]), self.starts)
 
     def shingles(self) -> np.ndarray:
         """Hash of the shingle that begins at each word; _MAX where it would leave its paragraph."""
-        n, size = len(self.h), self.ends - self.starts
-        last = np.repeat(self.ends, size)
-        out = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            out += _mixed(np.append(self.h[k:], np.zeros(min(k, n), np.uint64)) + np.uint64(k)) * _A[k]
-        # a paragraph of fewer words would have none; those never take part
-        return np.where(np.arange(n) + SHINGLE <= last, _mixed(out) >> np.uint64(1), _MAX)
-
-    def bands(self) -> np.ndarray:
-        """Paragraph x band keys."""
-        s = self.shingles()
+        n = len(self.h)
+        out = np.full(n, _MAX)
+        whole = shingles(self.h, SHINGLE)
+        out[: len(whole)] = whole
+        out[np.arange(n) + SHINGLE > np.repeat(self.ends, self.ends - self.starts)] = _MAX
+        return out
+
+    def bands(self, s: np.ndarray) -> np.ndarray:
+        """Paragraph x band keys from the shingles ``s``."""
         none = s == _MAX
         keys = []
         for b in range(BANDS):
             key = np.full(len(self.starts), b + 1, np.uint64)
             for r in range(b * ROWS, (b + 1) * ROWS):
-                value = _mixed(s * _HASHES[0, r] + _HASHES[1, r])
+                value = s * _HASHES[0, r] + _HASHES[1, r]
                 value[none] = _MAX
                 key = _mixed(key * _A[2] + np.minimum.reduceat(value, self.starts))
             keys.append(key)
         return np.stack(keys, 1)
 
 
-def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[int, Cut, np.ndarray]]:
-    """(row, cut, paragraphs that take part) of each text that has any."""
-    for row, text in enumerate(batch.column("text")):
-        cut = Cut(text.as_py())
-        own = np.flatnonzero(cut.ends - cut.starts >= LEAST_WORDS)
-        if len(own):
-            yield row, cut, own
-
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, content, start, end, keys, shingles) of every paragraph that takes part.
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``keys`` and ``shingles`` (a set of 32-bit hashes) are given once for a content that comes again in the same task.
+    """
+    seen: set[int] = set()
     for batch in batches:
-        rows, parts = [], []
-        for row, cut, own in _cuts(batch):
+        rows, parts, keys, sets = [], [], [], []
+        for row, text in enumerate(batch.column("text")):
+            cut = Cut(text.as_py())
+            own = np.flatnonzero(cut.ends - cut.starts >= LEAST_WORDS)
+            if not len(own):
+                continue
+            content = cut.contents()[own].view(np.int64)
             rows.append(np.full(len(own), row))
-            parts.append(np.stack([cut.contents()[own].view(np.int64), cut.starts[own], cut.ends[own]], 1))
+            parts.append(np.stack([content, cut.starts[own], cut.ends[own]], 1))
+            names = content.tolist()
+            if seen.issuperset(names):
+                keys.extend([None] * len(own))
+                sets.extend([None] * len(own))
+                continue
+            s = cut.shingles()
+            band = cut.bands(s)[own].view(np.int64)
+            small = (s >> np.uint64(32)).astype("<u4")
+            for k, name, a, b in zip(range(len(own)), names, cut.starts[own].tolist(), (cut.ends[own] - SHINGLE + 1).tolist()):
+                fresh = name not in seen
+                seen.add(name)
+                keys.append(band[k] if fresh else None)
+                sets.append(small[a:b].tobytes() if fresh else None)
+        if len(seen) > 500_000:
+            seen.clear()
         if rows:
             content, start, end = np.concatenate(parts).T
             ids = batch.column("id").take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(content), pa.array(start), pa.array(end)], ["id", "content", "start", "end"])
+            arrays = [ids, pa.array(content), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "content", "start", "end", "keys", "shingles"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, content) of every band; a content that a task has just seen is not repeated."""
-    seen: set[int] = set()
-    for batch in batches:
-        keys, contents = [], []
-        for _, cut, own in _cuts(batch):
-            content = cut.contents()[own].view(np.int64)
-            fresh = np.array([c not in seen for c in content.tolist()])
-            seen.update(content.tolist())
-            if fresh.any():
-                keys.append(cut.bands()[own[fresh]].view(np.int64).ravel())
-                contents.append(np.repeat(content[fresh], BANDS))
-        if len(seen) > 500_000:
-            seen.clear()
-        if keys:
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "content": np.concatenate(contents)})
-
-
-def _sets(wanted):
-    """(content, shingles) of the wanted contents (all, if the filter is null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if wanted is None else np.frombuffer(wanted.value, np.int64)
-        seen: set[int] = set()
-        for batch in batches:
-            contents, sets = [], []
-            for _, cut, own in _cuts(batch):
-                content = cut.contents()[own].view(np.int64)
-                if known is not None:
-                    hit = known[np.minimum(np.searchsorted(known, content), len(known) - 1)] == content if len(known) else np.zeros(len(content), bool)
-                    own, content = own[hit], content[hit]
-                if not len(own):
-                    continue
-                s = cut.shingles()
-                for k, c in zip(own.tolist(), content.tolist()):
-                    if c not in seen:
-                        seen.add(c)
-                        part = s[cut.starts[k] : cut.ends[k]]
-                        contents.append(c)
-                        sets.append(np.unique(part[part != _MAX]).view(np.int64))
-            if len(seen) > 500_000:
-                seen.clear()
-            if contents:
-                yield pa.RecordBatch.from_pydict({"content": pa.array(contents, pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
-
-    return run
-
-
-def _filter(df: DataFrame, column: str):
-    """The values of a stored one-column table as a broadcast filter, or None if there are more than ``SENT``."""
-    n = df.count()
-    if n > SENT:
-        return None
-    values = np.sort(np.fromiter((r[0] for r in df.select(column).toLocalIterator()), np.int64, n))
-    return df.sparkSession.sparkContext.broadcast(values.tobytes())
-
-
-def shingle_sets(rows: DataFrame, contents: DataFrame) -> DataFrame:
-    """(content, shingles), one row for each of ``contents``."""
-    wanted = _filter(contents, "content")
-    found = rows.select("text").mapInArrow(_sets(wanted), "content long, shingles array<long>")
-    if wanted is None:
-        found = found.join(contents, "content", "left_semi")
-    return store(found.groupBy("content").agg(F.first("shingles").alias("shingles")), "sets")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _set(packed: pa.Array) -> pa.Array:
+    """Different shingles of a paragraph."""
+    return pa.array([np.unique(np.frombuffer(p.as_py(), "<i4")) for p in packed], pa.list_(pa.int32()))
+
+
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """The paragraphs of (id, text), stored."""
+    kind = dict(rows.dtypes)["id"]
+    schema = f"id {kind}, content long, start int, end int, keys array<long>, shingles binary"
+    return store(rows.select("id", "text").mapInArrow(_paragraphs, schema), "paragraphs")
+
+
+def shingle_sets(parts: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, shingles), one row for each of ``contents``; a broadcast of bounded size filters the paragraphs first."""
+    first = parts.where("shingles IS NOT NULL").select("content", "shingles")
+    small = contents.count() <= SENT
+    first = first.join(F.broadcast(contents) if small else contents, "content", "left_semi")
+    return store(first.dropDuplicates(["content"]).select("content", _set("shingles").alias("shingles")), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -213,15 +191,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def linked(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(node, root) of all contents that are linked to another one."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select("text").mapInArrow(_keys, "key long, content long").repartition(n, "key").dropDuplicates(["key", "content"])
+def linked(parts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, root) of all contents of ``paragraphs`` that are linked to another one."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = parts.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "content").repartition(n, "key").dropDuplicates(["key", "content"])
     ranked = keyed.withColumn("lead", F.expr("min(content) OVER (PARTITION BY key)")).withColumn("size", F.expr("count(1) OVER (PARTITION BY key)"))
     buckets = store(ranked.where("size > 1"), "buckets")
-    contents = store(buckets.select("content").distinct(), "contents")
-    sets = shingle_sets(rows, contents)
+    sets = shingle_sets(parts, store(buckets.select("content").distinct(), "contents"))
 
     small = buckets.where(F.col("size") <= PAIRWISE).select("key", "content")
     other = small.select("key", F.col("content").alias("b"))
@@ -230,30 +206,26 @@ def linked(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     star = large.where("content > lead").select(F.col("lead").alias("a"), F.col("content").alias("b"))
     edges = store(verified(pairs.union(star), sets, least), "links")
 
-    def apart() -> DataFrame:
-        """Contents of large buckets that are in another component than the bucket's first."""
+    starred = False
+    while True:
         root = components(edges)
         own = large.join(root, large["content"] == root["node"], "left").select("key", "content", "lead", F.coalesce("root", "content").alias("root"))
         first = own.where("content = lead").select("key", F.col("root").alias("lead_root"))
-        return store(own.join(first, "key"), "apart")
-
-    # the rest of a large bucket meets its own smallest content, then whatever is still apart
-    for last in (False, True):
-        if large.limit(1).count() == 0:
-            break
-        members = apart()
+        members = store(own.join(first, "key"), "members")
+        # contents of a large bucket that are in another component than its smallest one
         rest = members.where("root != lead_root")
-        if rest.limit(1).count() == 0:
-            break
-        if last:
-            all_of = members.select("key", F.col("content").alias("c"), F.col("root").alias("r"), "lead_root")
-            met = rest.select("key", "content", "root").join(all_of, "key").where("root != r AND (r = lead_root OR content < c)")
-            more = met.select(F.least("content", "c").alias("a"), F.greatest("content", "c").alias("b"))
-        else:
+        pairs_left = members.groupBy("key").agg((F.count_if(F.col("root") != F.col("lead_root")) * F.count(F.lit(1))).alias("n")).agg(F.sum("n")).first()[0]
+        if not pairs_left:
+            return root
+        if pairs_left > FEW and not starred:  # first let the rest meet its own smallest content
             lead = rest.groupBy("key").agg(F.min("content").alias("a"))
             more = rest.join(lead, "key").where("content > a").select("a", F.col("content").alias("b"))
-        edges = store(edges.union(verified(more, sets, least)), "links")
-    return components(edges)
+            edges, starred = store(edges.union(verified(more, sets, least)), "links"), True
+            continue
+        every = members.select("key", F.col("content").alias("c"), F.col("root").alias("r"), "lead_root")
+        met = rest.select("key", "content", "root").join(every, "key").where("root != r AND (r = lead_root OR content < c)")
+        more = store(verified(met.select(F.least("content", "c").alias("a"), F.greatest("content", "c").alias("b")), sets, least), "links")
+        return components(edges.union(more)) if more.limit(1).count() else root
 
 
 def _extended(runs: Column, span: Column) -> Column:
@@ -273,9 +245,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     other than the two named don't matter.
     """
     rows = pick(df, id=id_col, text=text_col).where("id IS NOT NULL")
-    kind = dict(rows.dtypes)["id"]
-    places = store(rows.mapInArrow(_places, f"id {kind}, content long, start long, end long"), "places")
-    root = linked(rows, least)
+    parts = paragraphs(rows)
+    places = parts.select("id", "content", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    root = linked(parts, least)
     once = places.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("top"))
     once = once.join(root, once["content"] == root["node"], "left").select("content", "first", "top", F.coalesce("root", "content").alias("class_id"))
     group = once.groupBy("class_id").agg(F.min("first").alias("stays"), F.max("top").alias("top")).where(F.col("stays.id") < F.col("top")).select("class_id", "stays")
