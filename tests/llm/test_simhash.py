@@ -58,15 +58,27 @@ def prints_of(spark, values):
     return spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
 
 
-def test_small_and_large_buckets_find_the_same_classes(spark, monkeypatch):
+def test_classes_of_crowded_prints(spark):
     rng = random.Random(2)
     base = rng.getrandbits(64)
     values = list({base ^ sum(1 << b for b in rng.sample(range(12), rng.randint(0, 6))) for _ in range(250)} | {rng.getrandbits(64) for _ in range(50)})
     want = plain_components(list(range(len(values))), values)
-    for limit in (48, 2, 1000):
+    found = simhash.classes(prints_of(spark, values), 2, 8).collect()
+    assert {values.index(r.fp & (1 << 64) - 1): r.component_id for r in found} == want
+
+
+def test_small_and_large_buckets_link_alike(monkeypatch):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fp = np.array(sorted({base ^ rng.getrandbits(9) ^ rng.getrandbits(4) << 20 for _ in range(120)}), np.uint64)
+    size = np.full(len(fp), len(fp))
+    roots = []
+    for limit in (1000, 2):
         monkeypatch.setattr(simhash, "PAIRWISE", limit)
-        found = simhash.classes(prints_of(spark, values), 2, 8).collect()
-        assert {values.index(r.fp & (1 << 64) - 1): r.component_id for r in found} == want
+        roots.append(simhash._roots(len(fp), *simhash._bucket_links(fp, size, 2, 8)).tolist())
+    assert roots[0] == roots[1]
+    want = plain_components(list(range(len(fp))), [int(x) for x in fp])
+    assert roots[0] == [want[k] for k in range(len(fp))]
 
 
 def test_odd_rows(spark):
