@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 #: Pre-tokens of at most LONG characters are remembered, up to REMEMBERED of them for each worker.
 LONG = 48
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Characters of text that are cut and merged at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
