@@ -153,14 +153,15 @@ CUSUM_CRITICAL = 1.358
 # Fixed value: factor that makes the median absolute deviation estimate a normal sigma.
 MAD_SIGMA = 1.4826
 
-# Names of mixture profiles, in the order used to break equal scores.
-PROFILE_NAMES = [
-    "Stable Mature System",
-    "High Maintenance Stress",
-    "Expansion Phase",
-    "Unpredictable System",
-    "Balanced / Transitional",
-]
+# Mixture profiles in the order that breaks equal scores, with their weights of
+# (1, maturity, pressure, volatility, predictability, |maturity - 0.5|, |pressure - 0.5|).
+PROFILE_WEIGHTS = {
+    "Stable Mature System": (0, 1, 0, -1, 0, 0, 0),
+    "High Maintenance Stress": (0, 0, 1, 1, 0, 0, 0),
+    "Expansion Phase": (2, -1, -1, 0, 0, 0, 0),
+    "Unpredictable System": (1, 0, 0, 0, -1, 0, 0),
+    "Balanced / Transitional": (1, 0, 0, 0, 0, -1, -1),
+}
 
 # MacKinnon (1994) response surface, constant-only unit-root regression.
 ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74

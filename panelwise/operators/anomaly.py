@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,7 +88,7 @@ def _path_bonus(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One isolation tree from its bounded sample; node rows out."""
     tree = int(key[0])
     rng = np.random.default_rng(42_000 + tree)
@@ -114,23 +116,29 @@ def _grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
 
+#: Rows offered to a tree for each row it needs; the surplus makes a short tree next to impossible.
+OFFER = 1.6
+
+
 def grow_forest(df: DataFrame, key: str, features: list[str], trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """Node table of an isolation forest; every tree sees at most ``sample`` rows.
+    """Node table of an isolation forest; every tree sees ``min(rows, sample)`` rows.
 
-    Rows are picked by a hash of the key, so the forest is the same on every run. A
-    small table is offered to every tree; in a large one each row goes to one tree.
+    One rule for all sizes: a row is offered to ``OFFER * trees * sample / rows`` trees (at most all), found by
+    stepping round the ring of trees from a hashed start, and each tree keeps its rows of
+    smallest hash. Hashes of the key make the forest the same on every run.
     """
-    rows = df.count()
+    rows = max(df.count(), 1)
     cols = [F.col(c).cast("double").alias(f"f_{i}") for i, c in enumerate(features)]
     base = df.select(F.xxhash64(F.col(key), F.lit(17)).alias("_k"), *cols)
-    if rows <= 16 * sample:
-        base = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        share = min(1.0, 1.3 * trees * sample / rows)
-        grid = 1 << 30
-        base = base.where(F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(grid)) < int(share * grid)).withColumn(
-            "tree", F.pmod(F.xxhash64("_k", F.lit(2)), F.lit(trees)).cast("int")
-        )
+    # steps that share no factor with the number of trees visit each tree once
+    steps = F.array(*[F.lit(s) for s in range(1, max(trees, 2)) if gcd(s, trees) == 1][:64])
+    offers = min(float(trees), OFFER * trees * sample / rows)
+    grid = 1 << 30
+    extra = (F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(grid)) < int((offers % 1.0) * grid)).cast("int")
+    base = base.withColumn("_m", F.least(F.lit(int(offers)) + extra, F.lit(trees))).where("_m > 0")
+    start, step = F.pmod(F.xxhash64("_k", F.lit(2)), F.lit(trees)), F.element_at(steps, (F.pmod(F.xxhash64("_k", F.lit(3)), F.size(steps)) + 1).cast("int"))
+    base = base.withColumns({"_s": start, "_d": step}).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    base = base.withColumn("tree", F.pmod(F.col("_s") + F.col("_j") * F.col("_d"), F.lit(trees)).cast("int")).drop("_m", "_s", "_d", "_j")
     base = base.withColumn("_h", F.xxhash64("_k", "tree"))
     w = Window.partitionBy("tree").orderBy("_h", "_k")
     picked = base.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= sample)

@@ -162,17 +162,23 @@ def differenced(panel: DataFrame, measures, diffs: DataFrame) -> DataFrame:
 PAIRS = [("a_total", "b_total"), ("a_total", "c_total"), ("b_total", "c_total")]
 
 
-@F.pandas_udf(T.StructType([T.StructField("rss_r", T.DoubleType()), T.StructField("rss_u", T.DoubleType())]))
-def _two_fits(gram: pd.Series, lag: pd.Series) -> pd.DataFrame:
-    res = []
-    for g, p in zip(gram, lag):
-        if g is None or any(v is None or np.isnan(v) for v in g):
-            res.append((np.nan, np.nan))
-            continue
-        full = _unpack(g, 8)
-        own, other = [0] + list(range(1, p + 1)), list(range(4, 4 + p))
-        res.append((_ols(full, own, 7)[1], _ols(full, own + other, 7)[1]))
-    return pd.DataFrame(res, columns=["rss_r", "rss_u"])
+def _two_fits(max_lag: int):
+    """Residual sums without and with the other measure's lags, from moments of [1, y lags, x lags, y]."""
+    target = 2 * max_lag + 1
+
+    @F.pandas_udf(T.StructType([T.StructField("rss_r", T.DoubleType()), T.StructField("rss_u", T.DoubleType())]))
+    def fits(gram: pd.Series, lag: pd.Series) -> pd.DataFrame:
+        res = []
+        for g, p in zip(gram, lag):
+            if g is None or any(v is None or np.isnan(v) for v in g):
+                res.append((np.nan, np.nan))
+                continue
+            full = _unpack(g, target + 1)
+            own, other = list(range(p + 1)), list(range(max_lag + 1, max_lag + 1 + p))
+            res.append((_ols(full, own, target)[1], _ols(full, own + other, target)[1]))
+        return pd.DataFrame(res, columns=["rss_r", "rss_u"])
+
+    return fits
 
 
 def granger(panel: DataFrame, pairs=PAIRS, max_lag: int = 3, min_obs: int = 6, diffs: DataFrame | None = None) -> DataFrame:
@@ -192,13 +198,14 @@ def granger(panel: DataFrame, pairs=PAIRS, max_lag: int = 3, min_obs: int = 6, d
     whole = Window.partitionBy("entity", "cause", "effect")
     unit = lambda c: (F.col(c) - F.avg(c).over(whole)) / F.when(F.stddev_pop(c).over(whole) < 1e-12, F.lit(1.0)).otherwise(F.stddev_pop(c).over(whole))
     tall = tall.withColumns({"sy": F.stddev_pop("y").over(whole), "zx": unit("x"), "zy": unit("y")})
-    lagged = tall.withColumns({f"y_{k}": F.lag("zy", k).over(w) for k in range(1, 4)} | {f"x_{k}": F.lag("zx", k).over(w) for k in range(1, 4)})
+    steps = range(1, max_lag + 1)
+    lagged = tall.withColumns({f"y_{k}": F.lag("zy", k).over(w) for k in steps} | {f"x_{k}": F.lag("zx", k).over(w) for k in steps})
     grid = lagged.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
-    used = {f"{v}_{k}": F.when(F.col("lag") < k, F.lit(0.0)).otherwise(F.col(f"{v}_{k}")) for v in "yx" for k in range(1, 4)}
+    used = {f"{v}_{k}": F.when(F.col("lag") < k, F.lit(0.0)).otherwise(F.col(f"{v}_{k}")) for v in "yx" for k in steps}
     grid = grid.withColumns(used | {"one": F.lit(1.0)})
-    names = ["one", "y_1", "y_2", "y_3", "x_1", "x_2", "x_3", "zy"]
+    names = ["one", *[f"y_{k}" for k in steps], *[f"x_{k}" for k in steps], "zy"]
     gram = moments(grid, ["entity", "cause", "effect", "lag"], names, ("obs", "sy"))
-    fits = gram.withColumn("f", _two_fits("gram", "lag"))
+    fits = gram.withColumn("f", _two_fits(max_lag)("gram", "lag"))
     df2 = F.col("rows") - 2 * F.col("lag") - 1
     scale = F.col("sy") * F.col("sy")
     usable = (F.col("obs") > 2 * F.col("lag") + 1) & (df2 > 0) & (F.col("f.rss_u") * scale >= 1e-12)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.functions.fixed import PROFILE_NAMES
+from panelwise.functions.fixed import PROFILE_WEIGHTS
 from panelwise.operators.indices import INDICES, zscore
 from panelwise.operators.ordered import group_quantiles
 from panelwise.session import materialize
@@ -90,14 +90,15 @@ def selection_table(mix: Mixture, spark) -> DataFrame:
 
 
 def name_profiles(means: np.ndarray, features: list[str]) -> list[str]:
-    """Greedy names: each cluster takes its best-scoring name not used before."""
-    at = {f: i for i, f in enumerate(features)}
-    names: list[str] = []
-    for k, c in enumerate(means):
-        m, p, v, t = (c[at[i]] for i in INDICES)
-        scores = dict(zip(PROFILE_NAMES, (m - v, p + v, (1 - m) + (1 - p), 1 - t, 1 - abs(m - 0.5) - abs(p - 0.5))))
-        free = [x for x in sorted(scores, key=scores.get, reverse=True) if x not in names]
-        names.append(free[0] if free else f"Cluster {k}")
+    """One name for each cluster, in cluster order: the best score among the names still free."""
+    x = means[:, [features.index(f) for f in INDICES]]
+    terms = np.hstack([np.ones((len(x), 1)), x, np.abs(x[:, :2] - 0.5)])
+    scores = terms @ np.array(list(PROFILE_WEIGHTS.values())).T
+    free, names, labels = np.ones(scores.shape[1], bool), [], list(PROFILE_WEIGHTS)
+    for k, row in enumerate(scores):
+        best = int(np.where(free, row, -np.inf).argmax())
+        names.append(labels[best] if free[best] else f"Cluster {k}")
+        free[best] = False
     return names
 
 

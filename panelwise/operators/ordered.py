@@ -1,17 +1,17 @@
 """Ordered statistics over a whole table without a one-task window.
 
 A plain ``Window.orderBy`` without a partition key sends every row to one task.
-Above ``SMALL_ROWS`` rows the functions here cut the value range into buckets with
-literal split points, work inside the buckets in parallel and add per-bucket
+Above ``SMALL_ROWS`` rows the functions here deal the rows by ranges of the order into buckets, store
+them with their bucket's number, work inside the buckets in parallel and add per-bucket
 offsets. Two shapes are offered:
 
 * ``ladder``: one row per distinct value with cumulative counts. Values are counted
   before they are shuffled, so a value held by a third of all rows is one rung.
   Ranks, quantiles, empirical CDFs and two-sample distances read off the ladder.
 * ``running``: row positions and running sums under a composite order whose last
-  key is unique, with split points taken on the whole key, so that ties spread too.
+  key is unique, with ranges of the whole key, so that ties spread too.
 
-Split points only balance the work; results do not depend on them. Both functions
+Ranges only balance the work; results do not depend on them. A NaN takes no part, as a null. Both functions
 look at their input more than once: give them a materialised table.
 """
 
@@ -22,52 +22,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwise.session import materialize
+
 SMALL_ROWS = 100_000
-MIN_BUCKETS, MAX_BUCKETS = 128, 1024
 ROWS_PER_BUCKET = 500_000
-TREE_CUTS = 256
 BROADCAST_ROWS = 100_000
 _B = "_bucket"
 
 
-def _cut_probs(buckets: int) -> list[float]:
-    return [i / buckets for i in range(1, buckets)]
-
-
-def _bucket_count(rows: int) -> int:
-    """More rows, more buckets: each bucket is one task of the window."""
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
-
-
-def _thin(cuts: list, keep: int) -> list:
-    """About ``keep`` evenly spaced, distinct cuts."""
-    distinct = sorted(set(cuts))
-    return distinct[:: max(1, len(distinct) // keep)]
-
+def known_value(df: DataFrame, value: str) -> Column:
+    """Neither null nor NaN: a NaN takes no part, as a null."""
+    known = F.col(value).isNotNull()
+    return known & ~F.isnan(value) if dict(df.dtypes)[value] in ("double", "float") else known
 
-def _bucket_tree(value: str, cuts: list, kind: str) -> Column:
-    """Number of cuts below the value, as a compiled binary decision."""
-    def text(v) -> str:
-        return f"{v!r}D" if kind == "double" else f"CAST('{v}' AS {kind})"
 
-    def node(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(`{value}` <= {text(cuts[mid])}, {node(lo, mid)}, {node(mid + 1, hi)})"
+def _in_buckets(df: DataFrame, keys: list[Column], rows: int, buckets: int | None) -> DataFrame:
+    """``df`` dealt by ranges of ``keys`` and stored with its range's number, so that later reads agree.
 
-    return F.expr(node(0, len(cuts)))
-
-
-def _two_level(cuts: Column, coarse: Column, block: int, below) -> Column:
-    """Number of cuts for which ``below`` holds: whole blocks first, then one block."""
-    full = F.size(F.filter(coarse, below))
-    return full * block + F.size(F.filter(F.slice(cuts, full * block + 1, F.lit(block)), below))
-
-
-def _blocks(cuts: list) -> tuple[int, list]:
-    block = max(1, round(len(cuts) ** 0.5))
-    return block, cuts[block - 1 :: block]
+    The number of ranges follows the rows without an upper end.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(least, -(-rows // ROWS_PER_BUCKET))
+    return materialize(df.repartitionByRange(n, *keys).withColumn(_B, F.spark_partition_id()))
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -90,15 +66,9 @@ def ladder(
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     sums = dict(sums or {"cnt": F.count(F.lit(1))})
     groups = list(groups)
-    known = df.where(F.col(value).isNotNull())
+    known = df.where(known_value(df, value))
     rungs = known.groupBy(*groups, value).agg(*[e.alias(k) for k, e in sums.items()])
-    fine = buckets or MAX_BUCKETS
-    cuts = known.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, _cut_probs(fine), F.lit(10 * fine)).alias("_cuts"),
-    ).collect()
-    rows = sum(r["_n"] for r in cuts)
-    buckets = buckets or _bucket_count(rows)
+    rows = known.count()
     if rows <= small_rows:
         base = Window.partitionBy(*(groups or [F.lit(0)]))
         up = base.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -107,26 +77,7 @@ def ladder(
             *[F.sum(k).over(up).alias(f"cum_{k}") for k in sums],
             *[F.sum(k).over(base).alias(f"total_{k}") for k in sums],
         )
-    kind = dict(rungs.dtypes)[value]
-    if groups:
-        # one row of split points per group
-        schema = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in groups) + f", _cuts array<{kind}>, _coarse array<{kind}>"
-        block = max(1, round(buckets**0.5))
-        ordered = [(r, _thin(r["_cuts"], buckets)) for r in cuts]
-        points = df.sparkSession.createDataFrame(
-            [tuple(r[g] for g in groups) + (c, c[block - 1 :: block]) for r, c in ordered], schema
-        )
-        rungs = rungs.join(small_side(points, len(cuts)), groups)
-        bucket = _two_level(F.col("_cuts"), F.col("_coarse"), block, lambda s: s < F.col(value))
-    else:
-        every = _thin(cuts[0]["_cuts"], buckets)
-        if len(every) <= TREE_CUTS:
-            bucket = _bucket_tree(value, every, kind)
-        else:
-            block, coarse = _blocks(every)
-            literal = lambda some: F.array(*[F.lit(v).cast(kind) for v in some])
-            bucket = _two_level(literal(every), literal(coarse), block, lambda s: s < F.col(value))
-    rungs = rungs.withColumn(_B, bucket)
+    rungs = _in_buckets(rungs, [F.col(c) for c in [*groups, value]], rows, buckets)
     base = Window.partitionBy(*(groups or [F.lit(0)]))
     before = base.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = rungs.groupBy(*groups, _B).agg(*[F.sum(k).alias(f"_s_{k}") for k in sums]).select(
@@ -135,7 +86,7 @@ def ladder(
         *[F.sum(f"_s_{k}").over(base).alias(f"total_{k}") for k in sums],
     )
     up = Window.partitionBy(*groups, _B).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return rungs.join(small_side(per_bucket, len(cuts) * 2 * buckets), groups + [_B]).select(
+    return rungs.join(per_bucket, groups + [_B]).select(
         *groups, value, *sums,
         *[(F.col(f"_off_{k}") + F.sum(k).over(up)).alias(f"cum_{k}") for k in sums],
         *[f"total_{k}" for k in sums],
@@ -166,17 +117,7 @@ def running(
         return df.select(
             "*", F.count(F.lit(1)).over(up).alias(position), *[F.sum(e).over(up).alias(k) for k, e in sums.items()]
         )
-    buckets = buckets or _bucket_count(rows)
-    # a bounded handful of keys places the split points
-    share = min(1.0, 40.0 * buckets / rows)
-    picked = sorted(tuple(r) for r in df.select(*keys).dropna().sample(share, seed=7).collect())
-    cuts = picked[:: max(1, len(picked) // buckets)]
-    keyed = df.select("*", F.struct(*keys).alias("_key"))
-    kind = keyed.schema["_key"].dataType.simpleString()
-    block, coarse = _blocks(cuts)
-    literal = lambda some: F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, names)]).cast(kind) for c in some])
-    place = _two_level(literal(cuts), literal(coarse), block, lambda s: s <= F.col("_key")) if cuts else F.lit(0)
-    keyed = keyed.withColumn(_B, place)
+    keyed = _in_buckets(df.select("*", F.struct(*keys).alias("_key")), [F.col(f"_key.{n}") for n in names], rows, buckets)
     before = Window.partitionBy(F.lit(0)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     agg = keyed.groupBy(_B).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()])
     offsets = agg.select(
@@ -185,7 +126,7 @@ def running(
         *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
     )
     up = Window.partitionBy(_B).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.join(small_side(offsets, len(cuts) + 1), _B).select(
+    out = keyed.join(offsets, _B).select(
         *[F.col(c) for c in df.columns],
         (F.col("_c0") + F.count(F.lit(1)).over(up)).alias(position),
         *[(F.col(f"_o_{k}") + F.sum(e).over(up)).alias(k) for k, e in sums.items()],
@@ -222,12 +163,13 @@ def with_ranks(
     if (df.count() if rows is None else rows) <= small_rows:
         out = df.repartition(1)  # one small exchange serves every window below
         for v in values:
-            known = Window.partitionBy(F.col(v).isNotNull())
+            there = known_value(df, v)
+            known = Window.partitionBy(there)
             same = Window.partitionBy(v)
             cnt, n = F.count(F.lit(1)).over(same), F.count(F.lit(1)).over(known)
             cum = F.rank().over(known.orderBy(v)) + cnt - 1
             out = out.withColumns(
-                {o: F.when(F.col(v).isNotNull(), _rank_expr(k, d, cnt, cum, n)) for vv, o, k, d in specs if vv == v}
+                {o: F.when(there, _rank_expr(k, d, cnt, cum, n)) for vv, o, k, d in specs if vv == v}
             )
         return out
     out = df
@@ -254,7 +196,7 @@ def quantile_row(
     """
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     if (df.count() if rows is None else rows) <= small_rows:
-        return df.agg(*[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
+        return df.agg(*[F.percentile(F.when(known_value(df, c), F.col(c)), F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
     parts = []
     for c in dict.fromkeys(c for c, _ in wanted.values()):
         rungs = ladder(df, c, small_rows=0, buckets=buckets)

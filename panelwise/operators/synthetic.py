@@ -203,11 +203,12 @@ def average_effect(effects: DataFrame, post_only: bool = True, with_p: bool = Tr
     return out
 
 
-def placebo_test(panel: DataFrame, treated: str, value: str, intervention: str, placebos: int = 100, exclude: Sequence[str] = ()) -> DataFrame:
+def placebo_test(panel: DataFrame, treated: str, value: str, intervention: str, placebos: int | None = None, exclude: Sequence[str] = ()) -> DataFrame:
     """Every (or a hash-ordered share of) donor plays the treated entity once."""
     panel = materialize(panel.select("entity", "period", value))
     pool = donor_pool(panel, treated, exclude)
-    units = [r[0] for r in pool.orderBy(F.xxhash64("entity"), "entity").limit(placebos).collect()]
+    ordered = pool.orderBy(F.xxhash64("entity"), "entity")
+    units = [r[0] for r in (ordered if placebos is None else ordered.limit(placebos)).collect()]
     real = average_effect(effect_series(panel, fit_weights(panel, [treated], value, intervention, exclude=exclude), value, intervention), with_p=False)
     fake_w = fit_weights(panel, units, value, intervention, exclude=[treated, *exclude])
     fake = average_effect(effect_series(panel, fake_w, value, intervention), with_p=False)

@@ -108,7 +108,7 @@ def validate_job(feeds: Mapping[str, DataFrame], profile: DataFrame | None = Non
     return stats.union_all(parts)
 
 
-def counterfactual_job(panel: DataFrame, treated: str, value: str, intervention: str, exclude: Sequence[str] = (), placebos: int = 50) -> dict[str, DataFrame]:
+def counterfactual_job(panel: DataFrame, treated: str, value: str, intervention: str, exclude: Sequence[str] = (), placebos: int | None = None) -> dict[str, DataFrame]:
     p = materialize(panel.select("entity", "period", value))
     weights = materialize(synthetic.fit_weights(p, [treated], value, intervention, exclude=exclude))
     effects = materialize(synthetic.effect_series(p, weights, value, intervention))

@@ -28,10 +28,15 @@ def test_isolation_forest_finds_the_outlier_and_repeats(cloud):
     assert np.allclose(one["forest_raw"].sort_index(), two["forest_raw"].sort_index())
 
 
-def test_large_tables_feed_each_row_to_one_tree(spark):
-    df = materialize(spark.range(6000).select(F.col("id").alias("entity"), F.rand(1).alias("x"), F.rand(2).alias("y")))
-    nodes = anomaly.grow_forest(df, "entity", ["x", "y"], trees=10, sample=64).toPandas()
-    assert nodes["tree"].nunique() == 10 and nodes.groupby("tree").size().max() <= 2 * 64 - 1
+@pytest.mark.parametrize("rows", [40, 300, 4000, 4097, 15_000, 60_000])
+def test_every_tree_is_grown_from_the_full_sample(spark, monkeypatch, rows):
+    def count(key, pdf):
+        return pd.DataFrame([[int(key[0]), 0, -1, 0.0, -1, -1, float(pdf["_k"].nunique())]], columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
+
+    monkeypatch.setattr(anomaly, "_grow", count)
+    df = materialize(spark.range(rows).select(F.col("id").alias("entity"), F.rand(1).alias("x"), F.rand(2).alias("y")))
+    seen = anomaly.grow_forest(df, "entity", ["x", "y"]).toPandas()
+    assert len(seen) == anomaly.TREES and set(seen["depth"]) == {min(rows, anomaly.SAMPLE)}
 
 
 def test_tail_score_matches_numpy(cloud):

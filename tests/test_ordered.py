@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwise.operators import ordered
+from panelwise.session import materialize
 
 RNG = np.random.default_rng(3)
 
@@ -79,9 +80,10 @@ def test_bucket_placement_spreads_work(spark):
     assert "_bucket" in plan and plan.count("rangepartitioning") == 0
 
 
-def test_bucket_number_grows_with_rows_up_to_a_limit():
-    assert [ordered._bucket_count(n) for n in (10, 10**8, 10**12)] == [128, 200, 1024]
-    assert len(ordered._thin([5, 1, 2, 3, 4, 4], 2)) in (2, 3)
+def test_bucket_number_follows_the_rows_without_an_end(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"))
+    for rows, want in ((10, 4), (30 * ordered.ROWS_PER_BUCKET, 30)):
+        assert ordered._in_buckets(df, [F.col("k")], rows, None).select(ordered._B).distinct().count() == want
 
 
 def test_many_cuts_are_placed_in_two_levels(spark):
@@ -96,3 +98,19 @@ def test_results_do_not_depend_on_partitioning(skewed):
     a = ordered.with_ranks(df.repartition(1), spec, small_rows=0).toPandas().sort_values("k")["r"]
     b = ordered.with_ranks(df.repartition(9), spec, small_rows=0).toPandas().sort_values("k")["r"]
     assert np.array_equal(a.to_numpy(), b.to_numpy(), equal_nan=True)
+
+
+def test_both_ways_agree_on_nan_infinities_nulls_and_a_frequent_value(spark):
+    rng = np.random.default_rng(3)
+    values = [1.5] * 300 + [float("nan")] * 40 + [None] * 40 + [float("inf")] * 5 + [float("-inf")] * 5 + rng.normal(size=600).tolist()
+    df = materialize(spark.createDataFrame(list(enumerate(values)), "id long, x double"))
+    shape = lambda out: sorted((r.id, str(r.r), str(r.m)) for r in out.collect())
+    specs = [("x", "r", "average", False), ("x", "m", "min", True)]
+    assert shape(ordered.with_ranks(df, specs)) == shape(ordered.with_ranks(df, specs, small_rows=0))
+    q = {"a": ("x", 0.25), "b": ("x", 0.5), "c": ("x", 0.9)}
+    assert ordered.quantile_row(df, q).collect() == ordered.quantile_row(df, q, small_rows=0).collect()
+    known = sorted(v for v in values if v is not None and v == v)
+    assert ordered.quantile_row(df, {"b": ("x", 0.5)}).first()["b"] == np.median(known)
+    place = lambda out: sorted((r.id, r.position) for r in out.collect())
+    order = [("x", False), ("id", False)]
+    assert place(ordered.running(df, order)) == place(ordered.running(df, order, small_rows=0))

@@ -187,3 +187,23 @@ def test_rows_are_consecutive_even_when_months_are_missing(spark):
     got = stats.shifts(df, "y", lags=(1,)).orderBy("period").select("lag_1").toPandas()["lag_1"].tolist()
     assert np.isnan(got[0]) and got[1:] == [1.0, 2.0, 5.0]
     assert df.agg(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_granger_lags_beyond_three_equal_least_squares(spark):
+    rng = np.random.default_rng(8)
+    n, top = 90, 6
+    a = rng.normal(size=n)
+    b = np.zeros(n)
+    for t in range(n):
+        b[t] = 0.4 * b[t - 1] * (t > 0) + 0.8 * a[t - 5] * (t > 4) + rng.normal()
+    months = pd.period_range("2015-01", periods=n, freq="M").to_timestamp()
+    pdf = pd.DataFrame({"entity": "e", "period": months.date, "a_total": a, "b_total": b})
+    diffs = spark.createDataFrame([("e", "a_total", 0), ("e", "b_total", 0)], "entity string, measure string, d int")
+    got = causal.granger(spark.createDataFrame(pdf), [("a_total", "b_total")], max_lag=top, diffs=diffs).toPandas().set_index("lag")
+    for p in range(1, top + 1):
+        y = b[p:]
+        own = np.column_stack([np.ones(n - p)] + [b[p - k : n - k] for k in range(1, p + 1)])
+        both = np.column_stack([own] + [a[p - k : n - k] for k in range(1, p + 1)])
+        rss = lambda m: float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
+        f = ((rss(own) - rss(both)) / p) / (rss(both) / (n - p - 2 * p - 1))
+        assert got.loc[p, "f_statistic"] == pytest.approx(f, rel=1e-6)
