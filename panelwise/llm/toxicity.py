@@ -6,8 +6,8 @@
 * Segments: a drift is taken from every token, so that ordinary text scores below zero, and one
   linear scan finds all maximal scoring segments of the whole text.
 * Calibration: the number of segments of score S or more that n ordinary tokens hold by
-  chance is about K n exp(-lambda S). lambda solves the moment equation of the clean tokens
-  and K is fitted to the clean segments, both on labelled texts that took no part in the
+  chance is about K n exp(-lambda S), whose largest score follows an extreme-value law. K and
+  lambda are fitted by maximum likelihood to the segments of clean labelled texts that took no part in the
   token counts. Segments with an expected number under ``SIGNIFICANT`` are toxic passages; their
   summed log evidence passes a logistic link fitted on the same texts.
 
@@ -35,15 +35,14 @@ TRAIN_ROWS = 10_000
 FEATURES = 65_536
 #: Letters of the two stems, and the prior's weight at each level (short stem, stem, word).
 STEMS = (4, 6)
-PRIOR = (8.0, 4.0, 2.0)
+PRIOR = (20.0, 10.0, 10.0)
 #: Token scores up to LEANING count as zero; DRIFT is taken from every token.
-LEANING = 1.0
+LEANING = 1.6
 DRIFT = 0.5
 SIGNIFICANT = 0.05
 #: Folds of the row's hash: 0 is held out, CALIBRATE calibrates, the others count.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 EDGE = ".,;:!?\"'()[]{}<>«»“”¡¿*#$%&"
-STEP = 0.25
 FOUND_TYPE = T.StructType(
     [
         T.StructField("n", T.LongType()),
@@ -257,26 +256,13 @@ def token_scores(counts: DataFrame, toxic_docs: int, clean_docs: int, features:
     return packed
 
 
-def _solve_rate(values: np.ndarray, mass: np.ndarray) -> float:
-    """The positive root of sum(mass * exp(rate * values)) = 1."""
-    low, high = 1e-6, 50.0
-    f = lambda r: float(np.sum(mass * np.exp(np.clip(r * values, -700, 700)))) - 1.0
-    if f(low) >= 0:
-        return low
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return (low + high) / 2
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Ridge logistic regression on one feature, by Newton steps on balanced classes."""
-    w = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    """Ridge logistic regression on one feature, by Newton steps."""
     design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         ridge = np.array([1e-3, 1e-2])
-        step = np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag(ridge), design.T @ (w * (p - y)) + ridge * beta)
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(ridge), design.T @ (p - y) + ridge * beta)
         beta = beta - step
         if np.abs(step).max() < 1e-9:
             break
@@ -304,16 +290,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return Model(spark.sparkContext.broadcast(((b"", b""),) * 3), 1.0, 1.0, -math.inf, 0.0)
     shared = spark.sparkContext.broadcast(tuple(token_scores(counts, docs[1], docs[0])))
     found = store(rows.where(fold("id") == CALIBRATE).select("toxic", _finder(shared)("text").alias("found")), "calibrate")
-    clean = found.where("toxic = 0")
-    n = clean.agg(F.sum("found.n")).first()[0] or 0
-    bins = (
-        clean.select(F.explode("found.scores").alias("s")).groupBy(F.ceil(F.col("s") / STEP).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    hits = sum(r["n"] for r in bins)
-    values = np.array([-DRIFT, *[r["bin"] * STEP for r in bins], 4.0])  # one pseudo-hit keeps the rate finite
-    mass = np.array([max(n - hits, 1), *[r["n"] for r in bins], 1.0], float)
-    rate = _solve_rate(values, mass / mass.sum())
-    scale = (hits + 1) / (n + 1) * math.exp(rate * min([r["bin"] * STEP for r in bins], default=4.0))
+    clean = found.where("toxic = 0").select("found.n", F.size("found.scores").alias("m"), F.aggregate("found.scores", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    n, m, s = (x or 0 for x in clean.agg(F.sum("n"), F.sum("m"), F.sum("s")).first())
+    # maximum likelihood of an exponential tail; one more segment of score one keeps both finite
+    rate, scale = (m + 1) / (s + 1.0), (m + 1) / (n + 1.0)
     sample = found.select(F.col("toxic").cast("double"), F.log1p(_evidence("found", rate, scale))).collect()
     if not sample:
         return Model(shared, rate, scale, -2.0, 2.0)
