@@ -14,10 +14,11 @@ REPORT = "dataset string, check_name string, success boolean, details string"
 
 @dataclass(frozen=True)
 class Check:
-    """``violations`` is an aggregate that counts offending rows."""
+    """``violations`` is an aggregate that counts offending rows; a uniqueness check names its ``key`` instead."""
 
     name: str
-    violations: Column
+    violations: Column | None = None
+    key: tuple[str, ...] = ()
 
 
 def in_range(column: str, low=None, high=None, name: str | None = None) -> Check:
@@ -35,14 +36,16 @@ def not_null(column: str) -> Check:
 
 def unique(columns: Sequence[str], name: str | None = None) -> Check:
     """Rows beyond the first per key; rows with a NULL key part are not counted."""
-    known = F.lit(True)
-    for c in columns:
-        known = known & F.col(c).isNotNull()
-    key = F.when(known, F.struct(*columns))
-    return Check(name or "_".join(columns) + "_unique", F.count(key) - F.count_distinct(key))
+    return Check(name or "_".join(columns) + "_unique", key=tuple(columns))
+
+
+def _beyond_first(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: how many rows repeat a key. Counts combine before the exchange; no row is multiplied."""
+    return df.select(*key).dropna().groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("repeated"))
 
 
 def date_range(column: str, low: str = "2010-01-01", high: str | None = None) -> Check:
+    """Dates outside ``low`` .. ``high``; give the run's date as ``high`` to make a run repeatable (default: today)."""
     top = F.to_date(F.lit(high)) if high else F.current_date()
     bad = (F.col(column) < F.to_date(F.lit(low))) | (F.col(column) > top)
     return Check(f"{column}_in_range", F.count_if(F.coalesce(bad, F.lit(False))))
@@ -72,8 +75,12 @@ def schema_report(df: DataFrame, dataset: str, expected: dict[str, str]) -> Data
 
 
 def run_checks(df: DataFrame, dataset: str, checks: Sequence[Check]) -> DataFrame:
-    """All checks of a table in one aggregate."""
-    one = df.agg(*[c.violations.alias(f"_{i}") for i, c in enumerate(checks)])
+    """All checks of a table in one aggregate, and one count by key for each uniqueness check."""
+    plain = [c.violations.alias(f"_{i}") for i, c in enumerate(checks) if not c.key]
+    one = df.agg(*plain, F.lit(0).alias("_none"))
+    for i, c in enumerate(checks):
+        if c.key:
+            one = one.withColumn(f"_{i}", _beyond_first(df, c.key).scalar())
     rows = [
         F.struct(F.lit(dataset).alias("dataset"), F.lit(c.name).alias("check_name"), F.coalesce(F.col(f"_{i}"), F.lit(0)).cast("long").alias("violations"))
         for i, c in enumerate(checks)

@@ -17,15 +17,9 @@ from panelwise.operators.rollup import build_panel, entity_profile
 from panelwise.operators.indices import index_profile
 
 
-_SCHEMAS: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table; the schema is read from the footer once per path."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """Parquet table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _nation(spark, sf_dir):

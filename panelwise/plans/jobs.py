@@ -94,11 +94,11 @@ def advanced_job(core: Mapping[str, DataFrame], baseline: DataFrame | None = Non
     return done, failed
 
 
-def validate_job(feeds: Mapping[str, DataFrame], profile: DataFrame | None = None, keys: Sequence[str] = ("entity", "date", "area", "site")) -> DataFrame:
-    """Checks for whichever tables are given, one pass per table, one report."""
+def validate_job(feeds: Mapping[str, DataFrame], profile: DataFrame | None = None, keys: Sequence[str] = ("entity", "date", "area", "site"), run_date: str | None = None) -> DataFrame:
+    """Checks for whichever tables are given, one pass per table, one report. ``run_date`` is the latest date allowed."""
     parts = []
     for name, df in feeds.items():
-        checks = [quality.not_null("entity"), quality.not_null("date"), quality.date_range("date"), *quality.all_non_negative(df)]
+        checks = [quality.not_null("entity"), quality.not_null("date"), quality.date_range("date", high=run_date), *quality.all_non_negative(df)]
         unique = [k for k in keys if k in df.columns]
         checks.append(quality.unique(unique, "unique_key"))
         parts.append(quality.as_report(quality.run_checks(df, name, checks)))
