@@ -11,9 +11,9 @@ paragraphs are one content before banding, so copies cost one row a task.
 
 Verification. In a bucket of up to ``PAIRWISE`` contents all pairs are verified by exact Jaccard
 similarity. In a larger one every content meets the smallest one first; contents that are still in
-another component than that one then meet all contents of the bucket in other components (if they are many, their own
-smallest one first). A pair inside a
-component is never compared, as it could add nothing, and no pair of different components is left out.
+another component than that one are then compared with all contents of other components that share one
+of their rarest shingles, as every pair of that similarity does (prefix filtering). A pair inside a
+component is never compared, as it could add nothing, and no linked pair of different components is left out.
 
 Removals. A class of paragraphs that occurs in at least two documents is repeated. Its first occurrence (smallest
 document, then position) stays, the others go, if the run of repeated
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,6 @@ LEAST_RUN = 20
 PAIRWISE = 8
 #: Contents (8 bytes each) that are broadcast as a filter; beyond that an exchange does the same.
 SENT = 1_000_000
-#: Pairs of different components that are compared at once in large buckets.
-FEW = 5_000_000
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -206,34 +204,33 @@ def linked(parts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     star = large.where("content > lead").select(F.col("lead").alias("a"), F.col("content").alias("b"))
     edges = store(verified(pairs.union(star), sets, least), "links")
 
-    starred = False
-    while True:
-        root = components(edges)
-        own = large.join(root, large["content"] == root["node"], "left").select("key", "content", "lead", F.coalesce("root", "content").alias("root"))
-        first = own.where("content = lead").select("key", F.col("root").alias("lead_root"))
-        members = store(own.join(first, "key"), "members")
-        # contents of a large bucket that are in another component than its smallest one
-        rest = members.where("root != lead_root")
-        pairs_left = members.groupBy("key").agg((F.count_if(F.col("root") != F.col("lead_root")) * F.count(F.lit(1))).alias("n")).agg(F.sum("n")).first()[0]
-        if not pairs_left:
-            return root
-        if pairs_left > FEW and not starred:  # first let the rest meet its own smallest content
-            lead = rest.groupBy("key").agg(F.min("content").alias("a"))
-            more = rest.join(lead, "key").where("content > a").select("a", F.col("content").alias("b"))
-            edges, starred = store(edges.union(verified(more, sets, least)), "links"), True
-            continue
-        every = members.select("key", F.col("content").alias("c"), F.col("root").alias("r"), "lead_root")
-        met = rest.select("key", "content", "root").join(every, "key").where("root != r AND (r = lead_root OR content < c)")
-        more = store(verified(met.select(F.least("content", "c").alias("a"), F.greatest("content", "c").alias("b")), sets, least), "links")
-        return components(edges.union(more)) if more.limit(1).count() else root
-
-
-def _extended(runs: Column, span: Column) -> Column:
-    """Runs of adjoining paragraphs, with one paragraph more."""
-    last = F.get(runs, F.size(runs) - 1)
-    own = lambda start: F.array(F.struct(start.alias("start"), span["end"].alias("end")))
-    joins = F.size(runs) > 0
-    return F.when(joins & (last["end"] == span["start"]), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), own(last["start"]))).otherwise(F.concat(runs, own(span["start"])))
+    root = components(edges)
+    if not large.limit(1).count():
+        return root
+    own = large.join(root, large["content"] == root["node"], "left").select("key", "content", "lead", F.coalesce("root", "content").alias("root"))
+    first = own.where("content = lead").select("key", F.col("root").alias("lead_root"))
+    members = own.join(first, "key").groupBy("content", "root").agg(F.max(F.col("root") != F.col("lead_root")).alias("apart"))
+    members = store(members, "members")
+    # contents of a large bucket that are in another component than its smallest one
+    prefix = store(_prefixes(sets.join(members, "content"), least), "prefixes")
+    x = prefix.where("apart").select("shingle", F.col("content").alias("a"), "root")
+    y = prefix.select("shingle", F.col("content").alias("b"), F.col("root").alias("other"))
+    met = x.join(y, "shingle").where("root != other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = store(verified(met, sets, least), "links")
+    return components(edges.union(more)) if more.limit(1).count() else root
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(content, root, apart, shingle) of the rarest shingles of each set.
+
+    Two sets of similarity ``least`` or more share one of the ``n - ceil(least * n) + 1`` first of their
+    shingles under any one order of all shingles; from rare to frequent, few others share those.
+    """
+    each = sets.select("content", "root", "apart", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "shingle").withColumn("k", F.expr("row_number() OVER (PARTITION BY content ORDER BY often, shingle)"))
+    # a little below the product, so that rounding never shortens a prefix
+    return ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("content", "root", "apart", "shingle")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
@@ -253,16 +250,15 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     group = once.groupBy("class_id").agg(F.min("first").alias("stays"), F.max("top").alias("top")).where(F.col("stays.id") < F.col("top")).select("class_id", "stays")
     copied = once.select("content", "class_id").join(group, "class_id")
     held = places.join(copied, "content").dropDuplicates(["id", "start", "end", "content"])
-    span = F.struct("start", "end", "class_id", ((F.col("id") == F.col("stays.id")) & (F.col("start") == F.col("stays.start"))).alias("stays"))
-    docs = held.groupBy("id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    runs = F.aggregate("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), _extended)
-    runs = F.filter(runs, lambda r: r["end"] - r["start"] >= least_run)
-    docs = docs.withColumn("runs", runs).where(F.size("runs") > 0)
-    kept = F.filter("spans", lambda s: F.exists("runs", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"])))
-    docs = docs.withColumn("spans", kept)
-    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["class_id"].alias("class_id")))
-    gone = F.filter("spans", lambda s: ~s["stays"])
-    return docs.select(
-        "id", F.size("spans").cast("long").alias("n_repeated"), F.size(gone).cast("long").alias("n_removed"),
-        plain(F.col("spans")).alias("repeated"), plain(gone).alias("removed"),
+    # runs of adjoining repeated paragraphs, by one exchange on the document
+    held = held.withColumn("fresh", F.expr("start != coalesce(lag(end) OVER (PARTITION BY id ORDER BY start), -1)").cast("int"))
+    held = held.withColumn("run", F.expr("sum(fresh) OVER (PARTITION BY id ORDER BY start)"))
+    held = held.withColumn("words", F.expr("sum(end - start) OVER (PARTITION BY id, run)")).where(F.col("words") >= least_run)
+    span = F.struct("start", "end", "class_id")
+    stays = (F.col("id") == F.col("stays.id")) & (F.col("start") == F.col("stays.start"))
+    return held.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_repeated"),
+        F.count_if(~stays).alias("n_removed"),
+        F.array_sort(F.collect_list(span)).alias("repeated"),
+        F.array_sort(F.collect_list(F.when(~stays, span))).alias("removed"),
     )
