@@ -48,10 +48,9 @@ def as_paragraph(k, words):
     return k, int(cut.contents().view(np.int64)[0]), 0, len(words), cut.bands(s).view(np.int64)[0].tolist(), packed
 
 
-@pytest.mark.parametrize("pairwise, few", [(8, pg.FEW), (2, 0), (1000, pg.FEW)])
-def test_links_equal_all_pairs_of_groups_of_near_copies(spark, monkeypatch, pairwise, few):
+@pytest.mark.parametrize("pairwise", [8, 2, 1000])
+def test_links_equal_all_pairs_of_groups_of_near_copies(spark, monkeypatch, pairwise):
     monkeypatch.setattr(pg, "PAIRWISE", pairwise)
-    monkeypatch.setattr(pg, "FEW", few)
     rng = random.Random(4)
     words = []
     for g in range(3):
