@@ -24,13 +24,16 @@ HEADLINE = [
     "a7_spearman",
     "m1_trend_forecast",
     "m5_forecast_run_short_series",
+    "m6_order_search",
     "m9_cusum_break",
     "m8_granger",
+    "m16_isolation_forest",
     "m17_tail_score_customers",
     "m24_panel_features",
     "m27_simplex_weights",
     "q1_ks_distance",
     "q3_psi_quantile",
+    "q7_monitor",
     "a19_dedupe",
     "r1_clean_job",
     "v4_unique",
