@@ -86,6 +86,11 @@ def weights(words: list[bytes], width: int) -> np.ndarray:
     return (sums[width:] - sums[:-width]).astype(np.int32)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _signed_bits(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
     return (2 * bits - 1) * weight[:, None]
@@ -172,14 +177,14 @@ class Index:
             if not len(h):
                 continue
             at = np.flatnonzero(self.gate[width][h >> np.uint64(44)])
-            at = at[np.isin(h[at], self.known[width])]
+            at = at[_among(h[at], self.known[width])]
             if not len(at):
                 continue
             w = weights(words, width)
             for size in self.sizes:
                 if size.width != width:
                     continue
-                own = at[np.isin(h[at], size.known)]
+                own = at[_among(h[at], size.known)]
                 if not len(own):
                     continue
                 for item, x, a, b, d in size.search(h, w, own, self.least):
