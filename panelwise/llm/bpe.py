@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 #: Pre-tokens of at most LONG characters are remembered, up to REMEMBERED of them for each worker.
 LONG = 48
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 #: Characters of text that are cut and merged at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -287,6 +287,7 @@ class Tokenizer:
             codec = _codec(raw.value, pattern)
             for part in texts:
                 yield pa.array(_in_chunks(codec, part), pa.binary())
+            codec.known.clear()  # the worker goes on to other stages
 
         @F.arrow_udf(T.BinaryType())
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -35,7 +35,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8), remembered up to a bound."""
 
-    def __init__(self, bound: int = 1 << 18):
+    def __init__(self, bound: int = 1 << 17):
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:

@@ -89,7 +89,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in set(words_of(text.as_py())):
                 if w:
                     seen.setdefault(w, [0, 0])[toxic] += 1
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 yield flush()
     yield flush()
 
@@ -134,7 +134,7 @@ class Weights:
     word: dict[int, float]
 
     def __post_init__(self) -> None:
-        self.of = lru_cache(maxsize=1 << 17)(self._of)
+        self.of = lru_cache(maxsize=1 << 15)(self._of)
 
     def _of(self, raw: str) -> float:
         word = raw.strip(EDGE)
@@ -195,6 +195,7 @@ def _finder(shared):
         model = _weights(shared.value)
         for part in texts:
             yield pa.array([model.find(t.as_py()) for t in part], FOUND_ARROW)
+        model.of.cache_clear()  # the worker goes on to other stages
 
     return find
 
