@@ -8,9 +8,9 @@ reported only if their complement lies in the same scope, ``SCOPE`` code points
 * a user name beside a secret (assignment, hex run or key-like token),
 * an endpoint beside both an identifier and a secret.
 
-Parts meet by an interval join: each weak part is filed under its own bucket of the text and
-the two beside it, its complements under theirs, and a semi-join on (text, bucket) keeps it
-if one is near enough. A bucket holds at most ``SCOPE`` code points, hence few parts, and no pair leaves the
+Parts meet by an interval join: each weak part is filed under every bucket of the text from ``SCOPE``
+before its start to ``SCOPE`` after its end, its complements under all that they touch, and a semi-join on
+(text, bucket) keeps it if one is near enough. A bucket holds at most ``SCOPE`` code points, hence few parts, and no pair leaves the
 join. Only texts that hold a weak part take part.
 
 Positions are counted in code points. Matches are cut out of the text by the pattern itself
@@ -77,11 +77,12 @@ def joined(spans: Column) -> Column:
 
 def _near(weak: DataFrame, other: DataFrame, scope: int) -> DataFrame:
     """Rows of ``weak`` that have a row of ``other`` in scope; both hold (id, print, start, kind, end)."""
-    tried = weak.withColumn("bucket", F.explode(F.array(*[(F.col("start") / scope).cast("bigint") + k for k in (-1, 0, 1)])))
-    # a long part is filed under every bucket that it touches
+    bucket = lambda at: F.floor(at / scope).cast("bigint")
+    # both sides are filed under every bucket that they touch, the weak part with its scope
+    tried = weak.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start") - scope), bucket(F.col("end") + scope))))
     filed = other.select(
         F.col("id").alias("i"), F.col("print").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"),
-        F.explode(F.sequence((F.col("start") / scope).cast("bigint"), (F.col("end") / scope).cast("bigint"))).alias("b"),
+        F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("b"),
     )
     gap = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"))
     apart = ~((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
