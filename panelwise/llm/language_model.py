@@ -7,7 +7,7 @@ Model. One attention layer with a learnt bias for each distance, a feed-forward
 of neighbouring classes predict the next id's class from the ids before it; a frequent id is a class of its own, the others share classes of about equal
 frequency, inside which the corpus frequencies decide. Ids that begin a word and others never share a class, so a word's
 probability as subwords is that of its ids times that of another beginning (or the end) after them. A word's
-probability is the mean of that and of its share of the corpus (of the most frequent words), weighted by ``UNIGRAM``: the
+probability is the mean of that and of its share of the corpus, weighted by ``UNIGRAM``: the
 words' probabilities add up to at most one, and every text has a positive one.
 
 Training. Each round trains a copy of the model in every partition, on a share of the training documents that grows with the corpus,
@@ -17,8 +17,9 @@ Scoring. A text is cut into windows of ``WINDOW`` ids that overlap by ``WINDOW -
 texts form one batch of masked attention, and each id is scored once, in the first window that has
 it, so all but a text's first window see at least the overlap as context.
 
-Base scores need the count of every word. The most frequent words are broadcast (``TOP`` of them);
-the others leave the text as (row, word hash, number) and meet the counts in a join.
+Both scores need the count of every word. The most frequent words are broadcast (``TOP`` of them);
+the others leave the text as (row, word hash, log-probabilities as subwords) and meet the counts in a join, which
+mixes in their shares.
 """
 
 from __future__ import annotations
@@ -338,10 +339,10 @@ class Trainer:
                 self.w[name] -= np.float32(rate) * unbiased[0] / (np.sqrt(unbiased[1]) + 1e-8)
 
 
-def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each text.
+def word_logs(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray]) -> np.ndarray:
+    """Log-probability as subwords of each word and the end of each text, one after another.
 
-    ``pieces`` has the number of ids of each word of a text, ``shares`` the corpus share of each word and of the end.
+    ``pieces`` has the number of ids of each word of a text.
     """
     lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     inputs, targets, fresh, text = windows(sequences, len(shape.cls) - 1)
@@ -362,8 +363,19 @@ def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarr
     words = np.array([len(p) + 1 for p in pieces])
     after = np.append(log_begin[first[1:]], 0.0)
     after[np.cumsum(words) - 1] = 0.0  # nothing comes after the end
-    share = np.concatenate(shares)
-    logp = np.logaddexp(np.log(UNIGRAM) + np.log(np.maximum(share, 1e-300)), np.log(1 - UNIGRAM) + whole + after)
+    return whole + after
+
+
+def mixed(own: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log-probability of words from that as subwords and their corpus shares."""
+    with np.errstate(divide="ignore"):  # a word without a share has its subwords only
+        return np.logaddexp(np.log(UNIGRAM * share), np.log(1 - UNIGRAM) + own)
+
+
+def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of each text; ``shares`` has the corpus share of each word and of the end."""
+    words = np.array([len(p) + 1 for p in pieces])
+    logp = mixed(word_logs(shape, w, sequences, pieces), np.concatenate(shares))
     return np.add.reduceat(logp, np.cumsum(words) - words) / np.log(10)
 
 
@@ -455,22 +467,26 @@ def _score(subwords_of, fitted, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, (shape, w), (top, tokens) = _subwords(subwords_of), fitted.value, frequent.value
         for batch, chunk in _chunks(batches):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "numbers")}
-            shares = []
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "own", "score")}
+            logs, at = word_logs(shape, w, *subwords.encode_all(chunk)), 0
             for words in chunk:
                 found = [*map(top.get, words), top.get(END)]
                 counts = np.array([c or 0 for c in found], np.float64)
-                rare = Counter([x for x, c in zip(words, found) if c is None]) if None in found else {}
-                shares.append(counts / max(tokens, 1))
+                own = logs[at : at + len(found)]
+                at += len(found)
+                rare: dict[bytes, list[float]] = {}
+                if None in found:
+                    for x, c, log in zip([*words, END], found, own.tolist()):
+                        if c is None:
+                            rare.setdefault(x, []).append(log)
                 out["n_tokens"].append(len(found))
                 out["known"].append(int(np.count_nonzero(counts)))
                 out["logs"].append(float(np.log10(counts + 1.0).sum()))
                 out["rare"].append([word_key(x) for x in rare])
-                out["numbers"].append(list(rare.values()))
-            score = text_scores(shape, w, *subwords.encode_all(chunk), shares)
-            kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": pa.list_(pa.int64()), "numbers": pa.list_(pa.int64())}
-            arrays = [pa.array(out[k], t) for k, t in kinds.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays, pa.array(score)], ["id", *kinds, "score"])
+                out["own"].append(list(rare.values()))
+                out["score"].append(float(mixed(own, counts / max(tokens, 1)).sum() / np.log(10)))
+            kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": pa.list_(pa.int64()), "own": pa.list_(pa.list_(pa.float64())), "score": pa.float64()}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(out[k], t) for k, t in kinds.items()]], ["id", *kinds])
 
     return run
 
@@ -480,12 +496,20 @@ def scored(rows: DataFrame, model: Model, top: int = TOP) -> DataFrame:
     spark = model.spark
     frequent = {bytes(r["word"]): r["n"] for r in model.words.orderBy(F.desc("n"), "word").limit(top).collect()}
     run = _score(model.subwords, model.fitted, spark.sparkContext.broadcast((frequent, model.tokens)))
-    schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, logs double, rare array<long>, numbers array<long>, score double"
+    schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, logs double, rare array<long>, own array<array<double>>, score double"
     # numbered after storing, so that every later read gives a row the same number
     first = store(rows.mapInArrow(run, schema), "scores").withColumn("row", F.monotonically_increasing_id())
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "numbers")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.numbers").alias("number"))
+    rare = first.select("row", F.explode(F.arrays_zip("rare", "own")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.own").alias("own"))
     counts = model.words.select(F.xxhash64("word").alias("key"), "n")
-    more = rare.join(counts, "key").groupBy("row").agg(F.sum(F.col("number") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("number").alias("more_known"))
+    share = F.log(F.lit(UNIGRAM) * F.col("n") / F.lit(float(max(model.tokens, 1))))
+
+    def gain(total: Column, own: Column) -> Column:
+        """``total`` and what the corpus share adds to a word that was scored by its subwords only."""
+        alone = own + F.lit(float(np.log(1 - UNIGRAM)))
+        return total + F.greatest(share, alone) + F.log1p(F.exp(-F.abs(share - alone))) - alone
+
+    more = rare.join(counts, "key").select("row", "n", F.size("own").alias("number"), F.aggregate("own", F.lit(0.0), gain).alias("gain"))
+    more = more.groupBy("row").agg(F.sum(F.col("number") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("number").alias("more_known"), F.sum("gain").alias("gain"))
     out = first.join(more, "row", "left")
     per_token = float(np.log10(model.tokens + model.different + 1.0))
     return out.select(
@@ -495,7 +519,7 @@ def scored(rows: DataFrame, model: Model, top: int = TOP) -> DataFrame:
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gain", F.lit(0.0)) / F.lit(float(np.log(10)))).alias("score"),
     )
 
 

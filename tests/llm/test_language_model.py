@@ -96,6 +96,16 @@ def test_counts_and_base_scores(spark, case, top):
     assert (got.score < 0).all() and np.isfinite(got.score).all()
 
 
+def test_scores_do_not_depend_on_the_number_of_broadcast_words(spark, case):
+    rows = case[1].where("doc_id IS NOT NULL").selectExpr("row", "doc_id id", "text")
+    model = lm.fit(rows.select("id", "text"), PATH)
+    found = {}
+    for top in (lm.TOP, 50, 1, 0):
+        got = lm.scored(rows.select("id", "text"), model, top).collect()
+        found[top] = sorted((r.id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    assert found[50] == found[1] == found[0] == found[lm.TOP]
+
+
 def test_empty_tables(spark, case):
     _, df = case
     assert lm.scores(df.limit(0), PATH).count() == 0
