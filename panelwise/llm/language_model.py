@@ -10,8 +10,8 @@ probability as subwords is that of its ids times that of another beginning (or t
 probability is the mean of that and of its share of the corpus, weighted by ``UNIGRAM``: the
 words' probabilities add up to at most one, and every text has a positive one.
 
-Training. Each round trains a copy of the model in every partition, on a share of the training documents that grows with the corpus,
-and averages the copies, weighted by their tokens (local stochastic gradient descent).
+Training. The rounds make one pass over all training documents, each on its own share of them. A round trains a copy of the
+model in every partition and averages the copies, weighted by their tokens (local stochastic gradient descent).
 
 Scoring. A text is cut into windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; windows of many
 texts form one batch of masked attention, and each id is scored once, in the first window that has
@@ -42,9 +42,8 @@ WIDTH, HIDDEN = 16, 32
 WINDOW, STRIDE = 32, 24
 OWN_CLASSES, SHARED_CLASSES = 95, 32
 OWN_ROWS = 4096
+#: Rounds of one pass over the training documents.
 ROUNDS = 2
-#: Share of the training documents that a round trains on; small corpora give at least LEAST_CHARS.
-SHARE, LEAST_CHARS = 1 / 32, 8_000_000
 BATCH, RATE = 64, 0.01
 UNIGRAM = 0.3
 SCORE_BATCH = 256
@@ -431,16 +430,18 @@ class Model:
     words: DataFrame
     tokens: int
     different: int
+    #: Subword ids and ends that the network was trained on, over all rounds.
+    trained: int
 
 
-def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Fit on the rows (id, text) outside the held-out fold; a null id is never held out."""
+def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Model:
+    """Fit on all rows (id, text) outside the held-out fold, each in one round; a null id is never held out."""
     spark = rows.sparkSession
     with open(vocabulary, "rb") as f:
         subwords = spark.sparkContext.broadcast(f.read())
     train = rows.where(F.coalesce(fold("id") != HELD_OUT, F.lit(True)))
     words = store(word_counts(train), "words")
-    state = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("ends"), F.sum(F.col("n") * (F.length("word") + 1)).alias("chars")).first()
+    state = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("ends")).first()
     ranks = parse_ranks(subwords.value)
     counts, begins = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, bool)
     begins[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
@@ -449,18 +450,16 @@ def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: float = S
         counts[r["id"]] = r["n"]
     shape = shape_of(counts, state["ends"] or 0, begins)
     weights = blank(shape)
-    part = max(share, min(1.0, LEAST_CHARS / max(state["chars"] or 1, 1)))
+    trained = 0
     for k in range(rounds):
-        # another share each round, the same again only if a share is more than its part
-        place = F.pmod(F.xxhash64("id", "text", F.lit(k if part > 1 / rounds else 0)), F.lit(1 << 30)) / float(1 << 30)
-        lo = 0.0 if part > 1 / rounds else k * part
         model = spark.sparkContext.broadcast((shape, weights))
-        chosen = train.where((place >= lo) & (place < lo + part))
-        mean = chosen.select("text").mapInArrow(_train(subwords, model), "at long, value double, tokens double").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))
-        got = mean.toPandas()
+        chosen = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k)
+        copies = chosen.select("text").mapInArrow(_train(subwords, model), "at long, value double, tokens double")
+        got = copies.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"), F.sum("tokens").alias("tokens")).toPandas()
         if len(got):
             weights = _unpack(got.sort_values("at")["value"].to_numpy(), weights)
-    return Model(spark, subwords, spark.sparkContext.broadcast((shape, weights)), words, state["n"] or 0, state["v"] or 0)
+            trained += int(got["tokens"].iloc[0])
+    return Model(spark, subwords, spark.sparkContext.broadcast((shape, weights)), words, state["n"] or 0, state["v"] or 0, trained)
 
 
 def _score(subwords_of, fitted, frequent):

@@ -106,6 +106,15 @@ def test_scores_do_not_depend_on_the_number_of_broadcast_words(spark, case):
     assert found[50] == found[1] == found[0] == found[lm.TOP]
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_training_is_one_pass_over_all_training_texts(spark, case, rounds):
+    rows, df = case
+    train = [lm.words_of(t) for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    subwords = lm.Subwords(open(PATH, "rb").read())
+    ids = sum(len(s) + 1 for s in subwords.encode_all(train)[0])
+    assert lm.fit(df.selectExpr("doc_id id", "text"), PATH, rounds).trained == ids
+
+
 def test_empty_tables(spark, case):
     _, df = case
     assert lm.scores(df.limit(0), PATH).count() == 0
