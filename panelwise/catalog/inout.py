@@ -19,6 +19,7 @@ from panelwise.catalog.relational import DIRTY_T, ENTROPY_BINS, ROBUST_COLS, ROB
 from panelwise.catalog.quality import PSI1, _bins
 from panelwise.catalog.sql import build, r, rs, ym
 from panelwise.operators import indices, rollup, stats
+from panelwise.operators.ordered import with_row
 from panelwise.plans import bindings as b
 from panelwise.plans import jobs
 from panelwise.session import materialize, scratch_path
@@ -263,6 +264,36 @@ def _(s, d):
     return jobs.validate_job({"b": b.facts_b(s, d)}, b.indexed(s, d))
 
 
+R8_OUTPUTS = "unnest(['weights', 'effects', 'fit', 'average_effect', 'placebo_effects', 'placebo']) AS output"
+
+
 @query("r8_counterfactual_job")
 def _(s, d):
-    return edge(jobs.counterfactual_job(b.panel(s, d), "NATION_3", "activity", "1999-01-01", ["NATION_8"])["average_effect"])
+    out = jobs.counterfactual_job(b.panel(s, d), "NATION_3", "activity", "1999-01-01", ["NATION_8"])
+    return edge(with_row(out["average_effect"].withColumnRenamed("n_periods", "n_post").join(out["fit"], "treated"), out["placebo"].withColumnRenamed("significant", "placebo_significant").withColumnRenamed("p_value", "placebo_p")))
+
+
+@query(
+    "r8_counterfactual_outputs",
+    build(
+        "panel",
+        f"""SELECT output, n, true AS sound FROM (SELECT {R8_OUTPUTS}, unnest([NULL, (SELECT count(*) FROM panel WHERE entity='NATION_3'), 1, 1,
+ (SELECT count(DISTINCT entity) FROM panel WHERE entity<>'NATION_8'), 1]) AS n)""",
+    ),
+)
+def _(s, d):
+    """Rows of every output (weights: as many as the fit keeps) and whether each is sound in itself."""
+    from functools import reduce
+
+    out = jobs.counterfactual_job(b.panel(s, d), "NATION_3", "activity", "1999-01-01", ["NATION_8"])
+    sound = {
+        "weights": (F.abs(F.sum("weight") - 1) < 1e-9) & (F.min("weight") > 0) & (F.count_if(F.col("donor").isin("NATION_3", "NATION_8")) == 0),
+        "effects": F.count_if(F.abs(F.col("actual") - F.col("synthetic") - F.col("effect")) > 1e-6) == 0,
+        "fit": F.min("converged") & (F.min("pre_rmse") >= 0),
+        "average_effect": (F.min("p_value") >= 0) & (F.max("p_value") <= 1),
+        "placebo_effects": F.min("converged") & (F.count_if("real") == 1),
+        "placebo": (F.min("p_value") >= 0) & (F.max("p_value") <= 1) & (F.min("n_without") == 0),
+    }
+    rows = F.count(F.lit(1))
+    parts = [out[k].agg(F.lit(k).alias("output"), (F.lit(None) if k == "weights" else rows).cast("bigint").alias("n"), test.alias("sound")) for k, test in sound.items()]
+    return reduce(lambda a, c: a.unionByName(c), parts)

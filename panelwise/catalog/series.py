@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelwise.catalog.registry import edge, query
 from panelwise.catalog.sql import build, r, rs, ym
 from panelwise.operators import causal, forecast, indices, rollup, stats, synthetic
+from panelwise.operators.ordered import with_row
 from panelwise.plans import bindings as b
 from panelwise.session import materialize
 
@@ -319,16 +320,46 @@ def _equal_effects(s, d):
     return synthetic.effect_series(p, w, "activity", CUT)
 
 
+def _weights(s, d, method):
+    """Every donor's weight, 0 where the fit leaves it out."""
+    p = materialize(_panel(s, d).select("entity", "period", "activity"))
+    donors = synthetic.donor_pool(p, UNIT).select(F.lit(UNIT).alias("treated"), F.col("entity").alias("donor"))
+    return donors.join(synthetic.fit_weights(p, [UNIT], "activity", CUT, method=method), ["treated", "donor"], "left").fillna({"weight": 0.0})
+
+
 @query("m27_simplex_weights")
 def _(s, d):
-    p = materialize(_panel(s, d).select("entity", "period", "activity"))
-    return edge(synthetic.fit_weights(p, [UNIT], "activity", CUT))
+    return edge(_weights(s, d, "simplex"))
 
 
 @query("m28_ridge_weights")
 def _(s, d):
+    return edge(_weights(s, d, "ridge"))
+
+
+SHARED = f"SELECT period FROM panel WHERE period<DATE '{CUT}' GROUP BY 1 HAVING count(DISTINCT entity)=(SELECT count(DISTINCT entity) FROM panel WHERE period<DATE '{CUT}')"
+OPTIMAL = """SELECT entity AS treated, (SELECT count(DISTINCT entity)-1 FROM panel)::BIGINT AS n_donors, (SELECT count(*) FROM shared)::BIGINT AS n_periods,
+ true AS sums_to_one, true AS non_negative, true AS optimal, true AS converged FROM (SELECT DISTINCT entity FROM panel)"""
+
+
+def _optimality(s, d, method, alpha=None):
+    """What holds at the optimum and nowhere else, recomputed from the panel for every entity as the treated one."""
     p = materialize(_panel(s, d).select("entity", "period", "activity"))
-    return edge(synthetic.fit_weights(p, [UNIT], "activity", CUT, method="ridge"))
+    fitted = materialize(synthetic.fit(p, p.select("entity").distinct(), "activity", CUT, method=method))
+    found = synthetic.optimality(p, synthetic.weights_of(fitted), "activity", CUT, alpha=alpha)
+    return found.join(fitted.select("treated", "converged"), "treated").select(
+        "treated", "n_donors", "n_periods", (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"), (F.col("least") >= 0).alias("non_negative"), (F.col("gap") < 1e-6).alias("optimal"), "converged"
+    )
+
+
+@query("m27_simplex_optimality", build("panel", OPTIMAL, shared=SHARED))
+def _(s, d):
+    return _optimality(s, d, "simplex")
+
+
+@query("m28_ridge_optimality", build("panel", OPTIMAL, shared=SHARED))
+def _(s, d):
+    return _optimality(s, d, "ridge", synthetic.RIDGE)
 
 
 @query("m29_effect_series", build("panel", f"SELECT treated, {ym()} AS period, {rs('actual', 'synthetic', 'effect')}, post FROM eff", eff=EQUAL))
@@ -354,6 +385,28 @@ def _(s, d):
     return edge(synthetic.placebo_test(_panel(s, d), UNIT, "activity", CUT))
 
 
+@query("m31_placebo_effects")
+def _(s, d):
+    return edge(synthetic.placebo_effects(_panel(s, d), UNIT, "activity", CUT))
+
+
+@query(
+    "m31_placebo_units",
+    build(
+        "panel",
+        f"""SELECT entity AS treated, entity='{UNIT}' AS real, true AS has_effect, true AS converged, true AS share_agrees FROM (SELECT DISTINCT entity FROM panel)""",
+    ),
+)
+def _(s, d):
+    """Every entity takes part, and the share equals a count by ranks of the absolute effects."""
+    p = _panel(s, d)
+    found = materialize(synthetic.placebo_effects(p, UNIT, "activity", CUT))
+    share = synthetic.placebo_share(found).select("p_value", "n_placebos")
+    wide = found.agg(F.sort_array(F.collect_list(F.when(~F.col("real"), F.abs("ate")))).alias("sizes"), F.max(F.when(F.col("real"), F.abs("ate"))).alias("own"))
+    agree = with_row(wide, share).select(((F.size("sizes") == F.col("n_placebos")) & (F.abs(F.size(F.filter("sizes", lambda v: v >= F.col("own"))) / F.size("sizes") - F.col("p_value")) < 1e-12)).alias("share_agrees"))
+    return with_row(found, agree).select("treated", "real", F.col("ate").isNotNull().alias("has_effect"), "converged", "share_agrees")
+
+
 @query("m32_donor_pool", build("panel", f"SELECT DISTINCT entity FROM panel WHERE entity NOT IN ('{UNIT}','NATION_8')"))
 def _(s, d):
     return synthetic.donor_pool(_panel(s, d), UNIT, ["NATION_8"])

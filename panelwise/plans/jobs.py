@@ -108,16 +108,19 @@ def validate_job(feeds: Mapping[str, DataFrame], profile: DataFrame | None = Non
     return stats.union_all(parts)
 
 
-def counterfactual_job(panel: DataFrame, treated: str, value: str, intervention: str, exclude: Sequence[str] = (), placebos: int | None = None) -> dict[str, DataFrame]:
+def counterfactual_job(panel: DataFrame, treated: str, value: str, intervention: str, exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
     p = materialize(panel.select("entity", "period", value))
-    weights = materialize(synthetic.fit_weights(p, [treated], value, intervention, exclude=exclude))
+    fitted = materialize(synthetic.fit(p, [treated], value, intervention, exclude=exclude))
+    weights = synthetic.weights_of(fitted)
     effects = materialize(synthetic.effect_series(p, weights, value, intervention))
+    placebos = materialize(synthetic.placebo_effects(p, treated, value, intervention, exclude))
     return {
         "weights": weights,
         "effects": effects,
-        "fit": synthetic.fit_quality(effects),
+        "fit": synthetic.fit_quality(effects).join(fitted.select("treated", "gap", "converged", "n_periods"), "treated", "right"),
         "average_effect": synthetic.average_effect(effects),
-        "placebo": synthetic.placebo_test(p, treated, value, intervention, placebos, exclude),
+        "placebo_effects": placebos,
+        "placebo": synthetic.placebo_share(placebos),
     }
 
 

@@ -131,20 +131,82 @@ def donors(spark):
     return series(spark, d | {"t": t})
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_simplex_weights_are_recovered(donors, limit):
-    w = synthetic.fit_weights(donors, ["t"], "y", month(20).isoformat(), max_cells=limit).toPandas().set_index("donor")["weight"]
-    assert w.sum() == pytest.approx(1) and (w >= 0).all()
-    assert w["d1"] == pytest.approx(0.3, abs=1e-3) and w["d4"] == pytest.approx(0.7, abs=1e-3)
+def fitted(df, treated, cut=20, **kw):
+    rows = synthetic.fit(df, treated, "y", month(cut).isoformat(), **kw).collect()
+    return {r.treated: (dict(zip(r.donors, r.weights)), r) for r in rows}
 
 
-def test_simplex_fit_meets_its_optimality_conditions():
+@pytest.mark.parametrize("taken,block", [(256, 1024), (2, 3)])
+def test_simplex_weights_are_recovered_at_every_size(donors, taken, block):
+    w, row = fitted(donors, ["t"], taken=taken, block=block)["t"]
+    assert sum(w.values()) == pytest.approx(1) and min(w.values()) > 0 and row.converged and row.n_periods == 20
+    assert w["d1"] == pytest.approx(0.3, abs=1e-9) and w["d4"] == pytest.approx(0.7, abs=1e-9)
+
+
+def plain_simplex(x, y, rounds=60_000):
+    """Projected gradient, far from the tested method."""
+    w, step = np.full(x.shape[1], 1 / x.shape[1]), 1 / np.linalg.eigvalsh(x.T @ x)[-1]
+    for _ in range(rounds):
+        v = w - step * (x.T @ (x @ w - y))
+        u = np.sort(v)[::-1]
+        cum = np.cumsum(u) - 1
+        k = np.flatnonzero(u - cum / np.arange(1, len(v) + 1) > 0)[-1]
+        w = np.maximum(v - cum[k] / (k + 1), 0)
+    return w
+
+
+@pytest.mark.parametrize("taken,block", [(256, 1024), (4, 6)])
+def test_every_entity_as_the_treated_one(spark, taken, block):
+    rng = np.random.default_rng(9)
+    values = {f"e{k:02d}": 50 + rng.normal(size=24) * 8 for k in range(14)}
+    values["same"] = values["e03"].copy()
+    df = series(spark, values)
+    got = fitted(df, df.select("entity").distinct(), taken=taken, block=block)
+    assert got.keys() == values.keys()
+    for name, (w, row) in got.items():
+        donors = [n for n in values if n != name]
+        x, y = np.array([values[n][:20] for n in donors]).T, values[name][:20]
+        own = np.array([w.get(n, 0.0) for n in donors])
+        loss, best = ((x @ own - y) ** 2).sum(), ((x @ plain_simplex(x, y) - y) ** 2).sum()
+        assert loss <= best + 1e-6 and own.sum() == pytest.approx(1) and row.converged
+
+
+def test_active_set_meets_the_optimality_conditions():
     rng = np.random.default_rng(8)
-    x, y = rng.normal(size=(40, 12)), rng.normal(size=40)
-    w = synthetic.simplex_fit(x, y)
-    grad = x.T @ (x @ w - y)
-    assert w.sum() == pytest.approx(1) and (w >= 0).all()
-    assert (grad[w > 1e-9] - grad.min()).max() < 1e-6
+    for trial in range(60):
+        x, y = rng.normal(size=(rng.integers(1, 30), rng.integers(1, 30))), rng.normal(size=1)
+        y = rng.normal(size=len(x))
+        g, b = x.T @ x, x.T @ y
+        w = synthetic.active_set(g, b)
+        slope = g @ w - b
+        assert w.sum() == pytest.approx(1) and (w >= 0).all() and w @ slope - slope.min() < 1e-8
+        w = synthetic.active_set(g + 0.1 * np.eye(len(b)), b, affine=False)
+        slope = g @ w + 0.1 * w - b
+        assert (w >= 0).all() and slope.min() > -1e-8 and abs(w @ slope) < 1e-8
+
+
+@pytest.mark.parametrize("taken,block", [(256, 1024), (2, 3)])
+def test_short_excluded_entities_and_gaps(spark, taken, block):
+    """An excluded short entity costs no periods; a treated one outside the pool uses the periods it has."""
+    rng = np.random.default_rng(5)
+    values = {f"d{k}": 20 + rng.normal(size=30).cumsum() for k in range(5)}
+    values["t"] = 0.4 * values["d0"] + 0.6 * values["d2"]
+    df = series(spark, values)
+    short = df.where("NOT (entity = 't' AND month(period) = 3)").unionByName(df.where("entity = 'd1' AND month(period) = 5").withColumn("entity", F.lit("x")))
+    w, row = fitted(short, ["t"], exclude=["x", "t"], taken=taken, block=block)["t"]
+    gone = sum(month(k).month == 3 for k in range(20))
+    assert row.n_periods == 20 - gone and w["d0"] == pytest.approx(0.4, abs=1e-9) and w["d2"] == pytest.approx(0.6, abs=1e-9)
+    assert fitted(short, ["t", "none"], exclude=[], taken=taken, block=block)["t"][1].n_periods == sum(month(k).month == 5 for k in range(20))
+
+
+def test_optimality_tells_good_weights_from_bad(spark, donors):
+    cut = month(20).isoformat()
+    good = synthetic.fit_weights(donors, ["t"], "y", cut)
+    assert abs(synthetic.optimality(donors, good, "y", cut).first()["gap"]) < 1e-12
+    bad = spark.createDataFrame([("t", "d1", 0.31), ("t", "d4", 0.69)], "treated string, donor string, weight double")
+    assert synthetic.optimality(donors, bad, "y", cut).first()["gap"] > 1e-7
+    ridge = synthetic.fit_weights(donors, ["t"], "y", cut, method="ridge")
+    assert abs(synthetic.optimality(donors, ridge, "y", cut, alpha=synthetic.RIDGE).first()["gap"]) < 1e-10
 
 
 def test_effect_and_placebo(donors):
@@ -152,15 +214,22 @@ def test_effect_and_placebo(donors):
     w = synthetic.fit_weights(donors, ["t"], "y", cut)
     eff = synthetic.effect_series(donors, w, "y", cut)
     got = synthetic.average_effect(eff).first()
-    assert got["ate"] == pytest.approx(25, abs=0.5) and got["n_periods"] == 10 and got["significant"]
-    assert synthetic.fit_quality(eff).first()["pre_rmse"] < 0.2
+    assert got["ate"] == pytest.approx(25, abs=1e-6) and got["n_periods"] == 10 and got["significant"]
+    assert synthetic.fit_quality(eff).first()["pre_rmse"] < 1e-6
+    rows = {r.treated: r for r in synthetic.placebo_effects(donors, "t", "y", cut).collect()}
+    assert len(rows) == 7 and rows["t"].real and rows["t"].ate == pytest.approx(25, abs=1e-6) and all(r.converged for r in rows.values())
+    alone = synthetic.fit_weights(donors, ["d2"], "y", cut, exclude=["t"])
+    assert synthetic.average_effect(synthetic.effect_series(donors, alone, "y", cut)).first()["ate"] == pytest.approx(rows["d2"].ate)
     placebo = synthetic.placebo_test(donors, "t", "y", cut).first()
-    assert placebo["n_placebos"] == 6 and 0 <= placebo["p_value"] <= 1
+    assert placebo["n_placebos"] == 6 and placebo["n_without"] == 0
+    assert placebo["p_value"] == pytest.approx(np.mean([abs(r.ate) >= 25 for r in rows.values() if not r.real]))
 
 
 def test_ridge_weights(donors):
-    w = synthetic.fit_weights(donors, ["t"], "y", month(20).isoformat(), method="ridge").toPandas()
-    assert w["weight"].sum() == pytest.approx(1) and (w["weight"] >= 0).all()
+    for taken, block in ((256, 1024), (2, 3)):
+        w, row = fitted(donors, ["t"], method="ridge", taken=taken, block=block)["t"]
+        assert sum(w.values()) == pytest.approx(1) and min(w.values()) > 0 and row.converged
+        assert w["d1"] == pytest.approx(0.3, abs=1e-2) and w["d4"] == pytest.approx(0.7, abs=1e-2)
 
 
 def test_pooled_features_and_forecast(spark):
