@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwise.catalog.registry import edge, query
 from panelwise.catalog.sql import build, r, rs, ym
 from panelwise.operators import anomaly, attribution, cluster, indices, pooled
+from panelwise.operators.ordered import with_row
 from panelwise.plans import bindings as b
 from panelwise.session import materialize
 
@@ -106,18 +107,43 @@ def _vectors(s, d):
     return cluster.assemble(_customer_indices(s, d), indices.INDICES)
 
 
+CUSTOMERS = "SELECT count(DISTINCT o_custkey)::BIGINT AS n FROM orders"
+PARAMETERS = "(k*15-1)"
+
+
 @query("m10_order_selection")
 def _(s, d):
-    v = _vectors(s, d)
-    return edge(cluster.selection_table(cluster.select_and_fit(v, indices.INDICES, (2, 5), (1, 2)), s))
+    return edge(cluster.selection_table(cluster.select_and_fit(_vectors(s, d), indices.INDICES), s))
+
+
+@query(
+    "m10_order_penalties",
+    f"""SELECT k::BIGINT AS k, {r(f'2*{PARAMETERS}')} AS aic_penalty, {r(f'{PARAMETERS}*ln(n)')} AS bic_penalty,
+ {r(f'2*{PARAMETERS}+(2*{PARAMETERS}*{PARAMETERS}+2*{PARAMETERS})/(n-{PARAMETERS}-1)::DOUBLE')} AS aicc_penalty, true AS finite FROM ({CUSTOMERS}), (SELECT unnest(range(2,9)) AS k)""",
+)
+def _(s, d):
+    """What each criterion adds to minus twice the likelihood."""
+    found = cluster.selection_table(cluster.select_and_fit(_vectors(s, d), indices.INDICES), s)
+    more = lambda c: (F.col(c) + 2 * F.col("log_likelihood")).alias(f"{c}_penalty")
+    return edge(found.select("k", more("aic"), more("bic"), more("aicc"), (F.abs("log_likelihood") < float("inf")).alias("finite")))
 
 
 @query("m11_anchored_labels")
 def _(s, d):
     v = _vectors(s, d)
-    mix = cluster.select_and_fit(v, indices.INDICES, (3, 3), (1,))
-    out = cluster.assign(v, mix)
-    return edge(out.select("entity", "cluster", "cluster_name", *[F.col("probabilities")[k].alias(f"probability_{k}") for k in range(3)]))
+    out = cluster.assign(v, cluster.select_and_fit(v, indices.INDICES))
+    return edge(out.select("entity", "cluster", "cluster_name", F.array_join(F.transform("probabilities", lambda p: F.format_number(p, 6)), " ").alias("probabilities")))
+
+
+@query("m11_label_checks", "SELECT o_custkey AS entity, true AS sums_to_one, true AS most_likely, true AS anchored FROM orders GROUP BY 1")
+def _(s, d):
+    """Each label is the most likely one, and the anchor's means fall with the label."""
+    v = _vectors(s, d)
+    mix = cluster.select_and_fit(v, indices.INDICES)
+    falls = bool((np.diff(mix.means[:, 0]) <= 0).all())
+    total = F.aggregate("probabilities", F.lit(0.0), lambda acc, p: acc + p)
+    own = F.get("probabilities", F.col("cluster"))
+    return cluster.assign(v, mix).select("entity", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (own == F.array_max("probabilities")).alias("most_likely"), F.lit(falls).alias("anchored"))
 
 
 MU = np.array([[0.5, 0.4, -0.2, 0.1], [-0.6, -0.3, 0.2, 0.0]])
@@ -147,7 +173,7 @@ def _(s, d):
 @query("m13_profile_names")
 def _(s, d):
     v = _vectors(s, d)
-    mix = cluster.select_and_fit(v, indices.INDICES, (4, 4), (1,))
+    mix = cluster.select_and_fit(v, indices.INDICES)
     return edge(cluster.centroids(cluster.assign(v, mix), mix, _customer_indices(s, d)))
 
 
@@ -158,13 +184,25 @@ def _(s, d):
 
 @query("m15_cluster_run")
 def _(s, d):
-    out = cluster.run(_customer_indices(s, d), k_range=(2, 3), seeds=(1,))["clustered"]
+    out = cluster.run(_customer_indices(s, d))["clustered"]
     return edge(out, "entity", "cluster", "cluster_name", "mahalanobis", "x_1", "x_2")
 
 
 @query("m15_cluster_summary")
 def _(s, d):
-    return edge(cluster.run(_customer_indices(s, d), k_range=(2, 3), seeds=(1,))["summary"])
+    return edge(cluster.run(_customer_indices(s, d))["summary"])
+
+
+@query("m15_cluster_outputs", f"SELECT n AS clustered, n AS in_summary, n AS in_centroids, 7::BIGINT AS orders_tried, true AS least_chosen FROM ({CUSTOMERS})")
+def _(s, d):
+    """Sizes of all outputs, and whether the order with the least AICc was taken."""
+    out = cluster.run(_customer_indices(s, d))
+    picked = out["selection"].agg(F.count(F.lit(1)).alias("orders_tried"), F.min_by("k", "aicc").alias("k"))
+    parts = [out["clustered"].agg(F.count("cluster").alias("clustered")), out["summary"].agg(F.sum("size").alias("in_summary")), out["centroids"].agg(F.sum("size").alias("in_centroids"), F.count(F.lit(1)).alias("held"))]
+    row = picked
+    for part in parts:
+        row = with_row(row, part)
+    return row.select("clustered", "in_summary", "in_centroids", "orders_tried", (F.col("k") == F.col("held")).alias("least_chosen"))
 
 
 @query(

@@ -128,3 +128,41 @@ def test_small_tables_cap_k_and_infinite_criteria():
 def test_profile_names_are_used_once():
     names = cluster.name_profiles(np.array([[0.9, 0.1, 0.0, 0.9], [0.1, 0.9, 0.9, 0.1], [0.9, 0.2, 0.1, 0.8]]), indices.INDICES)
     assert len(set(names)) == 3
+
+
+def plain_density(x, w, mu, cov):
+    """Weighted densities by the textbook formula."""
+    out = []
+    for a, m, c in zip(w, mu, cov):
+        z = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+        out.append(a * np.exp(-z / 2) / np.sqrt((2 * np.pi) ** x.shape[1] * np.linalg.det(c)))
+    return np.array(out).T
+
+
+def test_one_pass_serves_all_mixtures(spark, blobs):
+    vectors = cluster.assemble(blobs, indices.INDICES)
+    x = np.array(vectors.select(*[f"z_{f}" for f in indices.INDICES]).collect())
+    fits = cluster.fit_all(vectors, indices.INDICES, [(2, 1), (3, 2), (2, 5)], max_iter=3, tol=0.0)
+    sums = cluster._pass(vectors, indices.INDICES, fits)
+    for fit, got in zip(fits, sums):
+        p = plain_density(x, fit.weights, fit.means, fit.covariances)
+        share = p / p.sum(1, keepdims=True)
+        want = np.r_[np.log(p.sum(1)).sum(), share.sum(0), (share.T @ x).ravel(), np.einsum("nk,ni,nj->kij", share, x, x).ravel()]
+        assert np.allclose(got, want) and fit.log_likelihood == pytest.approx(want[0])
+
+
+def test_mixtures_do_not_depend_on_partitions_and_gain_likelihood(blobs):
+    a, b = ([cluster.fit_all(cluster.assemble(blobs, indices.INDICES).repartition(n), indices.INDICES, [(2, 1), (3, 1)], max_iter=m) for n, m in ((3, 100), (1, 100))])
+    for f, g in zip(a, b):
+        assert f.converged and f.log_likelihood == pytest.approx(g.log_likelihood) and np.allclose(f.means, g.means)
+    early = cluster.fit_all(cluster.assemble(blobs, indices.INDICES), indices.INDICES, [(2, 1), (3, 1)], max_iter=1, tol=0.0)
+    assert all(e.log_likelihood <= f.log_likelihood + 1e-6 and not e.converged for e, f in zip(early, a))
+
+
+def test_assignment_is_the_textbook_one(blobs):
+    vectors = cluster.assemble(blobs, indices.INDICES)
+    mix = cluster.select_and_fit(vectors, indices.INDICES, (2, 3))
+    rows = cluster.assign(vectors, mix).toPandas()
+    p = plain_density(rows[[f"z_{f}" for f in indices.INDICES]].to_numpy(), mix.weights, mix.means, mix.covariances)
+    assert np.allclose(np.stack(rows.probabilities.to_numpy()), p / p.sum(1, keepdims=True)) and (rows.cluster == p.argmax(1)).all()
+    assert rows.loc[rows.entity == "e099", "cluster"].item() == 0
