@@ -282,7 +282,7 @@ def _(s, d):
 
 @query("r5_attribution_job")
 def _(s, d):
-    return edge(attribution.run(_focus(s, d), trees=20)["attribution"])
+    return edge(attribution.run(_focus(s, d))["attribution"])
 
 
 # ---- pooled forecasting --------------------------------------------------------------------------
@@ -315,17 +315,50 @@ def _values(s, d):
 
 @query("m25_cross_validation")
 def _(s, d):
-    return edge(pooled.cross_validate(pooled.training_rows(_values(s, d)), trees=10))
+    return edge(pooled.cross_validate(pooled.training_rows(_values(s, d))))
 
 
 @query("m25_pooled_forecast")
 def _(s, d):
     v = _values(s, d)
-    model = pooled.fit(pooled.training_rows(v), trees=10)
-    return edge(pooled.forecast(v, model, horizon=6))
+    return edge(pooled.forecast(v, pooled.fit(pooled.training_rows(v))))
+
+
+@query(
+    "m25_forecast_keys",
+    build(
+        "panel",
+        """SELECT entity, strftime(period,'%Y-%m') AS period, true AS finite, true AS adds_up FROM (
+ SELECT entity, (max(period)+to_months(step::INT))::DATE AS period FROM panel, (SELECT unnest(range(1,13)) AS step) GROUP BY entity, step
+ UNION SELECT 'National', (last+to_months(step::INT))::DATE FROM (SELECT max(period) AS last FROM panel GROUP BY entity), (SELECT unnest(range(1,13)) AS step))""",
+    ),
+)
+def _(s, d):
+    """Every entity has all its months, and the total is the sum of its parts."""
+    v = _values(s, d)
+    out = materialize(pooled.forecast(v, pooled.fit(pooled.training_rows(v))))
+    parts = out.where("entity <> 'National'").groupBy("period").agg(F.sum("forecast").alias("parts"))
+    checked = out.join(parts, "period").withColumn("adds_up", (F.col("entity") != "National") | (F.abs(F.col("forecast") - F.col("parts")) < 1e-6 * (1 + F.abs("parts"))))
+    return checked.select("entity", F.date_format("period", "yyyy-MM").alias("period"), (F.abs("forecast") < float("inf")).alias("finite"), "adds_up")
+
+
+@query(
+    "m25_fold_rows",
+    build(
+        "panel",
+        """SELECT fold, count(*)::BIGINT AS rows, strftime(min(period),'%Y-%m') AS test_from, strftime(max(period),'%Y-%m') AS test_to FROM (
+ SELECT *, 2-((n-1-pos)//(n//4)) AS fold FROM (
+  SELECT period, dense_rank() OVER (ORDER BY period)-1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period) AS k FROM panel) WHERE k>12),
+  (SELECT count(DISTINCT period) AS n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period) AS k FROM panel) WHERE k>12))
+ WHERE fold>=0 GROUP BY 1""",
+    ),
+)
+def _(s, d):
+    found = pooled.cross_validate(pooled.training_rows(_values(s, d)))
+    return edge(found.where("rmse >= mae AND trees >= 1").select("fold", "rows", "test_from", "test_to")).withColumns({c: F.substring(c, 1, 7) for c in ("test_from", "test_to")})
 
 
 @query("m26_model_importance")
 def _(s, d):
     v = _values(s, d)
-    return edge(pooled.importance(pooled.fit(pooled.training_rows(v), trees=10), s))
+    return edge(pooled.importance(pooled.fit(pooled.training_rows(v)), s))

@@ -51,17 +51,27 @@ MODEL_FEATURES = [
 
 
 def _history_features(past: Column) -> dict[str, Column]:
-    """Lag and window features from the array of the last 12 values, oldest first."""
-    out = {f"lag_{k}": F.element_at(past, -k) for k in LAGS}
+    """Lag and window features from the array of the last values (at most 12), oldest first.
+
+    A shorter history fills what it lacks: a lag before its start is 0, a window covers the values there
+    are, the deviation of fewer than two is 0.
+    """
+    size = F.size(past)
+    out = {f"lag_{k}": F.coalesce(F.get(past, size - k), F.lit(0.0)) for k in LAGS}
     for w in WINDOWS:
-        last = F.slice(past, -w, w)
-        mean = F.aggregate(last, F.lit(0.0), lambda s, v: s + v) / F.lit(float(w))
+        n = F.least(size, F.lit(w)).cast("double")
+        last = F.slice(past, F.greatest(size - w, F.lit(0)) + 1, F.lit(w))
+        mean = F.when(n > 0, F.aggregate(last, F.lit(0.0), lambda s, v: s + v) / n).otherwise(0.0)
         sq = F.aggregate(last, F.lit(0.0), lambda s, v: s + v * v)
         out[f"past_mean_{w}"] = mean
-        out[f"past_std_{w}"] = F.sqrt(F.greatest(F.lit(0.0), (sq - F.lit(float(w)) * mean * mean) / F.lit(float(w - 1))))
+        out[f"past_std_{w}"] = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (sq - n * mean * mean) / (n - 1)))).otherwise(0.0)
     return out
 
 
+def _last(past: Column) -> Column:
+    return F.slice(past, F.greatest(F.size(past) - DEPTH, F.lit(0)) + 1, F.lit(DEPTH))
+
+
 def training_rows(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows with a full 12-row history, as model features and label."""
     w = Window.partitionBy("entity").orderBy("period")
@@ -75,12 +85,17 @@ def _vectors(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features").transform(df)
 
 
-def _learner(trees: int) -> GBTRegressor:
-    return GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, seed=42)
+VALIDATION = "_validation"
+
+
+def _learner(trees: int, stop: bool = False) -> GBTRegressor:
+    """``stop``: trees are added only while the rows marked for validation gain from them."""
+    more = {"validationIndicatorCol": VALIDATION, "validationTol": 0.0} if stop else {}
+    return GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, seed=42, **more)
 
 
 def cross_validate(rows: DataFrame, folds: int = 3, trees: int = 30) -> DataFrame:
-    """Forward-chaining validation on period cut-offs: train before, test after."""
+    """Forward-chaining validation on period cut-offs: train before, stop and test after. ``trees`` is the most that are added."""
     rows = materialize(_vectors(rows))
     # the list of periods is short
     periods = [r[0] for r in rows.select("period").distinct().orderBy("period").collect()]
@@ -88,10 +103,14 @@ def cross_validate(rows: DataFrame, folds: int = 3, trees: int = 30) -> DataFram
     parts = []
     for k in range(folds):
         lo, hi = periods[len(periods) - (folds - k) * size], periods[min(len(periods) - 1, len(periods) - (folds - k - 1) * size - 1)]
-        model = _learner(trees).fit(rows.where(F.col("period") < F.lit(lo)))
-        scored = model.transform(rows.where(F.col("period").between(F.lit(lo), F.lit(hi))))
+        own = rows.where(F.col("period") <= F.lit(hi)).withColumn(VALIDATION, F.col("period") >= F.lit(lo))
+        model = _learner(trees, stop=True).fit(own)
+        scored = model.transform(own.where(VALIDATION))
         err = F.col("label") - F.col("prediction")
-        parts.append(scored.agg(F.lit(k).alias("fold"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.count(F.lit(1)).alias("rows")))
+        parts.append(scored.agg(
+            F.lit(k).alias("fold"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.count(F.lit(1)).alias("rows"),
+            F.lit(model.getNumTrees).alias("trees"), F.lit(lo).alias("test_from"), F.lit(hi).alias("test_to"),
+        ))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -103,25 +122,24 @@ def fit(rows: DataFrame, trees: int = 30):
 
 
 def forecast(df: DataFrame, model, value: str = "value", horizon: int = 12, total: str | None = "National") -> DataFrame:
-    """Recursive forecast: every step scores all entities at once.
+    """Recursive forecast: every step scores all entities at once, each from the month after its own last row.
 
-    The state is one row per entity with its last 12 values; each step is written to
-    the checkpoint folder, so lineage stays one step long.
+    The state is one row per entity with its last 12 values (fewer for a short history; rows without a value are none); each step is
+    written to the checkpoint folder, so lineage stays one step long. Every entity has ``horizon`` rows.
     """
     ordered = F.sort_array(F.collect_list(F.struct("period", F.col(value).cast("double").alias("v"))))
-    w = Window.partitionBy("entity").orderBy(F.desc("period"))
+    w = Window.partitionBy("entity").orderBy(F.col(value).isNull(), F.desc("period"))
     last = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= DEPTH)
-    sizes = df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    state = last.groupBy("entity").agg(ordered.alias("_h")).where(F.size("_h") == DEPTH).join(sizes, "entity").join(entity_codes(df), "entity")
-    state = materialize(
-        state.select("entity", "entity_code", F.transform("_h", lambda s: s["v"]).alias("past"), F.element_at("_h", -1)["period"].alias("period"), F.col("n").cast("double").alias("trend"))
-    )
+    sizes = df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("period").alias("last"))
+    state = last.groupBy("entity").agg(ordered.alias("_h")).join(sizes, "entity").join(entity_codes(df), "entity")
+    past = F.filter(F.transform("_h", lambda s: s["v"]), lambda v: v.isNotNull())
+    state = materialize(state.select("entity", "entity_code", past.alias("past"), F.col("last").alias("period"), F.col("n").cast("double").alias("trend")))
     steps = []
     for _ in range(horizon):
         nxt = state.withColumn("period", F.add_months("period", 1))
         x = nxt.withColumns(calendar_features(F.col("period")) | _history_features(F.col("past")))
         scored = model.transform(_vectors(x)).select(
-            "entity", "entity_code", "period", (F.col("trend") + 1).alias("trend"), F.slice(F.concat("past", F.array("prediction")), -DEPTH, DEPTH).alias("past"), F.col("prediction").alias("forecast")
+            "entity", "entity_code", "period", (F.col("trend") + 1).alias("trend"), _last(F.concat("past", F.array("prediction"))).alias("past"), F.col("prediction").alias("forecast")
         )
         state = materialize(scored)
         steps.append(state.select("entity", "period", "forecast"))

@@ -250,6 +250,31 @@ def test_pooled_features_and_forecast(spark):
     assert np.allclose(total, parts)
 
 
+def test_short_histories_have_all_their_months(spark):
+    t = np.arange(30)
+    table = {"p": 100 + t, "q": 200 - t, "two": np.array([5.0, 7.0]), "one": np.array([3.0])}
+    df = series(spark, table).withColumnRenamed("y", "value")
+    df = df.unionByName(spark.createDataFrame([("none", month(4), None)], "entity string, period date, value double"))
+    model = pooled.fit(pooled.training_rows(df), trees=2)
+    out = pooled.forecast(df, model, horizon=12).toPandas()
+    assert out.groupby("entity").size().drop("National").to_dict() == dict.fromkeys(["p", "q", "two", "one", "none"], 12)
+    assert out["forecast"].notna().all()
+    assert out[out.entity == "two"]["period"].min() == month(2) and out[out.entity == "none"]["period"].max() == month(16)
+    x = spark.createDataFrame([([5.0, 7.0],), ([],), ([float(v) for v in range(12)],)], "past array<double>")
+    got = x.select(*[c.alias(n) for n, c in pooled._history_features(F.col("past")).items()]).toPandas()
+    assert got.loc[0, ["lag_1", "lag_2", "lag_3", "past_mean_3", "past_mean_12"]].tolist() == [7, 5, 0, 6, 6]
+    assert got.loc[0, "past_std_6"] == pytest.approx(np.sqrt(2)) and (got.loc[1] == 0).all()
+    assert got.loc[2, "lag_12"] == 0 and got.loc[2, "past_mean_6"] == 8.5 and got.loc[2, "past_std_12"] == pytest.approx(np.arange(12).std(ddof=1))
+
+
+def test_validation_stops_adding_trees(spark):
+    rng = np.random.default_rng(3)
+    df = series(spark, {e: 100 + rng.normal(size=60) for e in ("p", "q", "r")}).withColumnRenamed("y", "value")
+    found = pooled.cross_validate(pooled.training_rows(df), trees=8).toPandas()
+    assert found["trees"].between(1, 8).all() and (found["trees"] < 8).any()  # noise: more trees don't help
+    assert found["rows"].tolist() == [36, 36, 36] and (found["rmse"] >= found["mae"]).all()
+
+
 def test_rows_are_consecutive_even_when_months_are_missing(spark):
     rows = [("e", dt.date(2025, m, 1), float(m)) for m in (1, 2, 5, 6)]
     df = spark.createDataFrame(rows, "entity string, period date, y double")
