@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwise.llm.common import release
+
 #: Pre-tokens of at most LONG characters are remembered, up to REMEMBERED of them for each worker.
 LONG = 48
 REMEMBERED = 1 << 16
-#: Characters of text that are cut and merged at a time.
-CHUNK = 1 << 20
+#: Characters of text that are cut and merged at a time. Of a chunk, each different pre-token is held once; its places are numbers.
+CHUNK = 1 << 22
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -209,6 +212,14 @@ class Merges:
         return flat[take], bounds
 
 
+class Numbers(dict):
+    """Numbers different pre-tokens in the order they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded memory of pre-tokens."""
 
@@ -235,16 +246,21 @@ class Codec:
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.pieces, texts))
-        used = set().union(*cut)
-        if fresh := list(used.difference(self.known)):
+        number = Numbers()
+        cut = [np.fromiter(map(number.__getitem__, self.pieces(t)), np.uint32) for t in texts]
+        used = list(number)
+        del number
+        fresh = [p for p in used if p not in self.known]
+        if fresh:
             self.known.update(self._learn(fresh))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for p in [p for p in used if len(p) > LONG]:
-            del self.known[p]
-        if len(self.known) > REMEMBERED:  # go on with what this chunk has used
-            self.known = {p: self.known[p] for p in used if p in self.known} if len(used) < REMEMBERED else {}
-        return out
+        packed = list(map(self.known.__getitem__, used))
+        if len(self.known) > REMEMBERED:  # go on with what this chunk has used, the first met first
+            self.known = dict(islice(((p, self.known[p]) for p in used if len(p) <= LONG), REMEMBERED))
+        else:
+            for p in fresh:
+                if len(p) > LONG:
+                    del self.known[p]
+        return [b"".join(map(packed.__getitem__, c.tolist())) for c in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -269,6 +285,9 @@ def _in_chunks(codec: Codec, texts: pa.Array) -> Iterator[bytes]:
         yield from codec.encode_all(chunk)
 
 
+BOTH = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+
 class Tokenizer:
     """Columns that encode and decode with the ranks in ``path`` (read by Spark on the driver).
 
@@ -287,15 +306,29 @@ class Tokenizer:
             codec = _codec(raw.value, pattern)
             for part in texts:
                 yield pa.array(_in_chunks(codec, part), pa.binary())
-            codec.known.clear()  # the worker goes on to other stages
+            release()
 
         @F.arrow_udf(T.BinaryType())
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = _codec(raw.value, pattern)
             for part in ids:
-                yield pa.array([codec.decode(i.as_py() or b"") for i in part], pa.binary())
+                yield pa.array((codec.decode(i.as_py() or b"") for i in part), pa.binary())
+            release()
+
+        @F.arrow_udf(BOTH)
+        def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = _codec(raw.value, pattern)
+            for part in texts:
+                ids = pa.array(_in_chunks(codec, part), pa.binary())
+                decoded = pa.array((codec.decode(i.as_py()) for i in ids), pa.binary())
+                yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+            release()
+
+        self._encode, self._decode, self._both = encode, decode, both
 
-        self._encode, self._decode = encode, decode
+    def round_trip(self, text: str | Column) -> Column:
+        """Packed ids of a text column and the bytes that they decode to, in one pass over the rows."""
+        return self._both(text)
 
     def encode(self, text: str | Column) -> Column:
         """Packed ids of a text column."""

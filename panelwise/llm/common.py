@@ -32,6 +32,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8), remembered up to a bound."""
 
@@ -48,3 +59,16 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+
+
+def release() -> None:
+    """Give back what a task held in a Python worker, which goes on to tasks of other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

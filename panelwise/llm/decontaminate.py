@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import HASHES, pick
+from panelwise.llm.common import HASHES, pick, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -211,6 +211,7 @@ def _finder(shared, least: float, radius: int):
         index = _built(shared, least, radius)
         for part in texts:
             yield pa.array([index.find(t.as_py()) for t in part], HIT_ARROW)
+        release()
 
     return find
 

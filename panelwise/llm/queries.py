@@ -35,13 +35,12 @@ def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> bpe.
 
 @query("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = vocabulary(spark)
-    ids = table(spark, sf_dir, "documents").select("doc_id", tokenizer.encode("text").alias("ids"))
-    return ids.select(
+    both = table(spark, sf_dir, "documents").select("doc_id", vocabulary(spark).round_trip("text").alias("both"))
+    return both.select(
         "doc_id",
-        bpe.n_tokens("ids").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(tokenizer.decode("ids"), 256).alias("decoded_sha256"),
+        bpe.n_tokens("both.ids").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"),
     )
 
 

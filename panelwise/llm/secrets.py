@@ -22,46 +22,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import store
+from panelwise.llm.common import fresh_names, store
 
 SCOPE = 120
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> (pattern, least code points of the match, least of its second group)
 BASE = {"assign": (ASSIGN, 0, 6), "access": (r"AKIA[A-Z0-9]+", 20, 0), "hex": (r"[0-9a-f]{24,}", 24, 0)}
+#: a mail address's own part may follow punctuation, which the match takes along and the span leaves out; every quantifier over a
+#: run of unknown length is possessive, and a match starts only where its run starts, so a long text costs one pass and no recursion
+LEAD = "._%+-"
 WEAK = {
-    "user": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0, 0),
-    "key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])(?=[0-9+/=_-]*[A-Za-z])[A-Za-z0-9+/=_-]{32,}", 0, 0),
-    "endpoint": (r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\s\"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])", 0, 0),
+    "user": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0, 0),
+    "key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])(?=[0-9+/=_-]*+[A-Za-z])[A-Za-z0-9+/=_-]{32,}+", 0, 0),
+    "endpoint": (r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\s\"'<>]++|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])", 0, 0),
 }
 KINDS = [*BASE, *WEAK]
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, least: int, least_group: int) -> Column:
-    """Array of (start, kind, end) of the leftmost non-overlapping matches that are long enough."""
+#: matches of a text are walked in groups, so that long lists are not copied for each match
+GROUP = 256
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Array of (gap before, match) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    none = F.array().cast("array<struct<gap:string,hit:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.arrays_zip(gaps.alias("gap"), found.alias("hit"))).otherwise(none)
+
+
+def _spans(matches: str, kind: str, pattern: str, least: int, least_group: int) -> Column:
+    """Array of (start, kind, end) of the column ``matches``, only of those that are long enough."""
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
+    empty = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        own = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end")))
+        end = acc["at"] + F.length(x["gap"]) + F.length(x["hit"])
+        size = F.length(F.ltrim(x["hit"], F.lit(LEAD))) if kind == "user" else F.length(x["hit"])
         keep = F.lit(True)
         if least:
             keep = keep & (F.length(x["hit"]) >= least)
         if least_group:
             keep = keep & (F.length(F.regexp_extract(x["hit"], pattern, 2)) >= least_group)
+        own = F.array(span(end - size, end))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.lit(None).cast(SPAN)
-    empty = F.coalesce(none, F.array().cast(SPAN))
-    walk = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")),
-        step,
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(F.array().cast(SPAN))
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["spans"], lambda s: span(s["start"] + acc["at"], s["end"] + acc["at"]))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["parts"], F.array(moved)).alias("parts"))
+
+    zero = F.lit(0).cast("bigint")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / GROUP).cast("int")), lambda g: F.slice(F.col(matches), g * GROUP + 1, F.lit(GROUP)))
+    walked = F.transform(groups, lambda g: F.aggregate(g, F.struct(zero.alias("at"), empty.alias("spans")), step))
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+    return F.when(F.size(matches) > 0, F.flatten(F.aggregate(walked, start, join, lambda acc: acc["parts"]))).otherwise(empty)
 
 
 def _in_order(spans: Column) -> Column:
@@ -108,8 +123,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     than the two named don't matter.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = lambda kinds: F.concat(*[_spans(F.col("text"), k, *p) for k, p in kinds.items()])
-    scanned = store(rows.select("id", F.xxhash64("text").alias("print"), spans(BASE).alias("base"), spans(WEAK).alias("weak")), "spans")
+    rows = rows.select("id", F.xxhash64("text").alias("print"), *[_matches(F.col("text"), p).alias(f"m_{k}") for k, (p, *_) in {**BASE, **WEAK}.items()])
+    spans = lambda kinds: F.concat(*[_spans(f"m_{k}", k, *p) for k, p in kinds.items()])
+    scanned = store(rows.select("id", "print", spans(BASE).alias("base"), spans(WEAK).alias("weak")), "spans")
     parts = scanned.where(F.size("weak") > 0).select("id", "print", F.inline(F.concat("base", "weak"))).distinct()
     linked = link(parts, scope).groupBy(F.col("id").alias("i"), F.col("print").alias("p")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     out = scanned.join(linked, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p")), "left")
@@ -134,8 +150,9 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``df`` with secrets masked in its text; rows without secrets come back as they were."""
+    i, p, spans = fresh_names(df, "i", "p", "spans")
     found = scan(df, id_col, text_col, scope).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("id").alias("_i"), F.col("print").alias("_p")).agg(F.first("spans").alias("_spans"))
-    on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_p"))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
+    found = found.groupBy(F.col("id").alias(i), F.col("print").alias(p)).agg(F.first("spans").alias(spans))
+    on = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(p))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col(spans)))
     return df.join(found, on, "left").withColumn(text_col, text).select(*df.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import pick, store
+from panelwise.llm.common import fresh_names, pick, store
 from panelwise.llm.components import components
 
 BITS = 64
@@ -236,12 +236,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """
     prints = store(pick(df, id=id_col, text=text_col).select("id", fingerprint("text").alias("fp")), "prints")
     stay = prints.join(classes(prints, radius, segments), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("id", "component_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
-    stay = store(stay.select(F.col("id").alias("_stay_id"), F.col("fp").alias("_stay_fp"), "rows"), "stay")
-    repeated = stay.where("rows > 1").limit(1).count() > 0
-    out = df.withColumn("_own_fp", fingerprint(F.col(text_col))) if repeated else df
-    on = F.col(id_col).eqNullSafe(F.col("_stay_id"))
-    if not repeated:
-        return out.join(stay, on, "left_semi")
-    out = out.join(stay, on & (F.col("_own_fp") == F.col("_stay_fp")), "left_semi")
-    return out.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
+    stay = stay.groupBy("id", "component_id").agg(F.min("fp").alias("fp"))
+    own, stay_id, stay_fp = fresh_names(df, "own_fp", "stay_id", "stay_fp")
+    stay = store(stay.select(F.col("id").alias(stay_id), F.col("fp").alias(stay_fp)), "stay")
+    out = df.withColumn(own, fingerprint(F.col(text_col)))
+    out = out.join(stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_fp)), "left_semi")
+    return out.dropDuplicates([id_col, own]).drop(own)

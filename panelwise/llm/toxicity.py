@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import pick, store
+from panelwise.llm.common import fresh_names, pick, release, store
 
 TRAIN_ROWS = 10_000
 FEATURES = 65_536
@@ -195,7 +195,9 @@ def _finder(shared):
         model = _weights(shared.value)
         for part in texts:
             yield pa.array([model.find(t.as_py()) for t in part], FOUND_ARROW)
-        model.of.cache_clear()  # the worker goes on to other stages
+        del model
+        _weights.cache_clear()  # the worker goes on to other stages
+        release()
 
     return find
 
@@ -316,5 +318,5 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows whose text the model doesn't call toxic, with their columns as they came."""
-    name = "_toxic_found"
+    (name,) = fresh_names(df, "toxic_found")
     return df.withColumn(name, model.passages(F.col(text_col))).where(model.score(name) < 0.5).drop(name)

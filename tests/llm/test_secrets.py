@@ -95,3 +95,22 @@ def test_a_long_key_is_linked_to_an_identifier_behind_it(spark):
     assert scanned(spark, [text])[0][1] == "key:110:174,access:250:270"
     redacted = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
     assert key not in redacted and redacted.count("[SECRET]") == 2
+
+
+def test_very_long_texts_of_every_shape(spark):
+    """A megabyte that a pattern could walk again and again, or step into once a label."""
+    import time
+
+    n = 1_000_000
+    shapes = ["a" * n, "." * n, "@" * n, "7" * n, " " * n, "b." * (n // 2), "a@" + "b." * (n // 2) + "c", "a.b-" * (n // 4), "a@b" * (n // 3), "x=" * (n // 2), "a@b.c " * (n // 6), "1.2.3.4 " * (n // 8)]
+    for text in shapes:
+        start = time.time()
+        base, _ = scanned(spark, [text])[0]
+        assert base == plain_base(text) and time.time() - start < 20, text[:8]
+
+
+def test_mail_addresses_keep_their_spans(spark):
+    texts = ["..ab@c.de password=hunter2222", "x@y.z_w@q.r token: abcdefgh", "%a@b.c@d.e secret=abcdefg", "é.a@b.cd passwd=1234567"]
+    got = {k: [s for s in v[1].split(",") if s.startswith("user")] for k, v in scanned(spark, texts).items()}
+    plain = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    assert got == {k: [f"user:{m.start()}:{m.end()}" for m in plain.finditer(t)] for k, t in enumerate(texts)}
