@@ -27,10 +27,12 @@ HEADLINE = [
     "m6_order_search",
     "m9_cusum_break",
     "m8_granger",
+    "m10_order_selection",
     "m16_isolation_forest",
     "m17_tail_score_customers",
     "m24_panel_features",
     "m27_simplex_weights",
+    "m31_placebo",
     "q1_ks_distance",
     "q3_psi_quantile",
     "q7_monitor",

@@ -228,6 +228,16 @@ def _(s, d):
     return edge(drift.ks_distance(_pool(s, d), small_rows=0))
 
 
+KS_RAW = KSQ.replace(r("max(abs(fr-fc))"), "max(abs(fr-fc))")
+KS_P = f"""SELECT feature, {r('ks')} AS ks, n_ref, n_cur, {r('least(1,greatest(0,2*list_sum(list_transform(range(1,101), lambda k: (CASE WHEN k%2=1 THEN 1 ELSE -1 END)*exp(-2*k*k*d*d*n_ref*n_cur/(n_ref+n_cur)::DOUBLE)))))')} AS p_value, 'asymptotic' AS p_method
+ FROM (SELECT feature, ks, ks AS d, n_ref, n_cur FROM ksq)"""
+
+
+@query("q1_ks_asymptotic", build("", KS_P, pool=POOL, ksq=KS_RAW))
+def _(s, d):
+    return edge(drift.covariate_drift(_pool(s, d), method="asymptotic").select("feature", "ks", "n_ref", "n_cur", "p_value", "p_method"))
+
+
 @query("q1_ks_test")
 def _(s, d):
     return edge(drift.covariate_drift(_pool(s, d)))
@@ -269,7 +279,11 @@ def _(s, d):
     return edge(drift.chi_square(*_halves(s, d), ["event_type"], with_p=False))
 
 
-@query("q4_chi_square_p")
+#: upper chi-square tail by the all-positive series of the lower incomplete gamma function
+CHI_P = f"""SELECT feature, chi2, dof, {r('CASE WHEN dof=0 THEN 1 ELSE 1-list_sum(list_transform(range(0,1000), lambda k: exp((dof/2.0+k)*ln(greatest(chi2,1e-300)/2)-chi2/2-lgamma(dof/2.0+k+1)))) END')} AS p_value FROM chi"""
+
+
+@query("q4_chi_square_p", build("", CHI_P, cnt=CHI_COUNTS, chi=CHI))
 def _(s, d):
     return edge(drift.chi_square(*_halves(s, d), ["event_type"]))
 

@@ -320,6 +320,23 @@ def _equal_effects(s, d):
     return synthetic.effect_series(p, w, "activity", CUT)
 
 
+#: two-sided t tail: I_x(n/2, 1/2) or 1 - I_(1-x)(1/2, n/2), each by its all-positive series
+T_SERIES = "exp({a}*ln({x})+{b}*ln(1-{x})-ln({a})-lgamma({a})-lgamma({b})+lgamma({a}+{b}))*(1+list_sum(list_transform(range(0,3000), lambda n: exp(lgamma({a}+1)-lgamma({a}+n+2)-lgamma({a}+{b})+lgamma({a}+{b}+n+1)+(n+1)*ln({x})))))"
+
+
+@query(
+    "m30_effect_p",
+    build(
+        "panel",
+        f"""SELECT treated, n_periods, {r(f"CASE WHEN x<0.8 THEN {T_SERIES.format(a='(df/2.0)', b='0.5', x='x')} ELSE 1-{T_SERIES.format(a='0.5', b='(df/2.0)', x='(1-x)')} END")} AS p_value FROM (
+ SELECT treated, n_periods, df, df/(df+t*t) AS x FROM (SELECT treated, count(*)::BIGINT AS n_periods, count(*)-1.0::DOUBLE AS df, avg(effect)/(stddev_samp(effect)/sqrt(count(*))) AS t FROM eff WHERE post GROUP BY 1))""",
+        eff=EQUAL,
+    ),
+)
+def _(s, d):
+    return edge(synthetic.average_effect(_equal_effects(s, d)).select("treated", "n_periods", "p_value"))
+
+
 def _weights(s, d, method):
     """Every donor's weight, 0 where the fit leaves it out."""
     p = materialize(_panel(s, d).select("entity", "period", "activity"))

@@ -1,7 +1,8 @@
 """Tail probabilities of the F, t, chi-square, normal and Kolmogorov laws.
 
-Small vectorised numpy helpers; they run inside Arrow functions on one row per
-test, after Spark has reduced the data to a statistic.
+The column forms of F, t, chi-square and the asymptotic Kolmogorov law are plain expressions: continued fractions
+and series of a bounded number of terms in ``aggregate``. The exact two-sample law and the unit-root law run as
+Arrow functions on one row per test. The numpy forms are the same laws for the driver and for tests.
 """
 
 from __future__ import annotations
@@ -185,24 +186,9 @@ def _args(*series):
     return [pd.to_numeric(s).to_numpy(dtype=float, na_value=np.nan) for s in series]
 
 
-@F.pandas_udf(T.DoubleType())
-def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _guard(_args(f, df1, df2), f_sf)
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _guard(_args(t, df), t_two_sided)
-
-
-@F.pandas_udf(T.DoubleType())
-def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _guard(_args(x, df), chi2_sf)
-
-
 @F.pandas_udf(T.DoubleType())
 def _ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    one = np.vectorize(lambda a, b, c: ks_two_sample_p(a, int(b), int(c)), otypes=[float])
+    one = np.vectorize(lambda a, b, c: _ks_exact(a, int(b), int(c)), otypes=[float])
     return _guard(_args(d, n, m), one)
 
 
@@ -215,20 +201,128 @@ def _clean(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+#: Lanczos coefficients (g = 7) of the log gamma function, fixed values
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+BETA_TERMS, GAMMA_TERMS, KS_TERMS = 600, 1000, 100
+TINY = 1e-300
+
+
+def log_gamma(x: Column) -> Column:
+    """For x >= 0.5."""
+    z = x - 1.0
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + float(k))
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def _away(x: Column) -> Column:
+    return F.when(F.abs(x) < TINY, F.lit(TINY)).otherwise(x)
+
+
+def _clip(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+
+
+def _finite(*values: Column) -> Column:
+    out = F.lit(True)
+    for v in values:
+        out = out & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return out
+
+
+def _row(**fields: Column) -> Column:
+    return F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])
+
+
+def beta_tail(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta ``I_x(a, b)`` for a, b >= 0.5 (modified Lentz, two terms a step number)."""
+    flip = x > (a + 1.0) / (a + b + 2.0)
+    aa, bb, xx = F.when(flip, b).otherwise(a), F.when(flip, a).otherwise(b), F.when(flip, 1.0 - x).otherwise(x)
+
+    def step(acc: Column, n: Column) -> Column:
+        p, q, y, m = acc["a"], acc["b"], acc["x"], F.floor(n / 2).cast("double")
+        even = m * (q - m) * y / ((p + 2.0 * m - 1.0) * (p + 2.0 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2.0 * m) * (p + 2.0 * m + 1.0))
+        k = F.when(n % 2 == 0, even).otherwise(odd)
+        d, c = 1.0 / _away(1.0 + k * acc["d"]), _away(1.0 + k / acc["c"])
+        return _row(a=p, b=q, x=y, c=c, d=d, h=acc["h"] * d * c)
+
+    first = 1.0 / _away(1.0 - (aa + bb) * xx / (aa + 1.0))
+    fraction = F.aggregate(F.sequence(F.lit(2), F.lit(BETA_TERMS)), _row(a=aa, b=bb, x=xx, c=F.lit(1.0), d=first, h=first), step, lambda acc: acc["h"])
+    front = F.exp(log_gamma(aa + bb) - log_gamma(aa) - log_gamma(bb) + aa * F.ln(xx) + bb * F.log1p(-xx)) / aa
+    part = F.when(xx <= 0.0, 0.0).otherwise(front * fraction)
+    return _clip(F.when(flip, 1.0 - part).otherwise(part))
+
+
+def gamma_tail(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma ``Q(a, x)`` for a >= 0.5: a series below a + 1, a continued fraction from there."""
+    front = F.exp(-x + a * F.ln(x) - log_gamma(a))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * acc["x"] / (acc["a"] + k)
+        return _row(a=acc["a"], x=acc["x"], term=term, total=acc["total"] + term)
+
+    def step(acc: Column, k: Column) -> Column:
+        n = -k.cast("double") * (k - acc["a"])
+        b = acc["b"] + 2.0
+        d, c = 1.0 / _away(n * acc["d"] + b), _away(b + n / acc["c"])
+        return _row(a=acc["a"], b=b, c=c, d=d, h=acc["h"] * d * c)
+
+    terms, base = F.sequence(F.lit(1), F.lit(GAMMA_TERMS)), x + 1.0 - a
+    low = F.aggregate(terms, _row(a=a, x=x, term=1.0 / a, total=1.0 / a), add, lambda acc: acc["total"])
+    high = F.aggregate(terms, _row(a=a, b=base, c=F.lit(1 / TINY), d=1.0 / _away(base), h=1.0 / _away(base)), step, lambda acc: acc["h"])
+    return _clip(F.when(x <= 0.0, 1.0).when(x < a + 1.0, 1.0 - front * low).otherwise(front * high))
+
+
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
-    return _clean(_f_tail(f.cast("double"), df1.cast("double"), df2.cast("double")))
+    """P(F > f); null where an argument is missing or not finite, or without degrees of freedom."""
+    f, df1, df2 = (c.cast("double") for c in (f, df1, df2))
+    inner = beta_tail(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * F.greatest(f, F.lit(0.0))))
+    return F.when(_finite(f, df1, df2) & (df1 > 0) & (df2 > 0), F.when(f <= 0.0, 1.0).otherwise(inner))
 
 
 def t_tail(t: Column, df: Column) -> Column:
-    return _clean(_t_tail(t.cast("double"), df.cast("double")))
+    """Two-sided P(|T| > t)."""
+    t, df = t.cast("double"), df.cast("double")
+    return F.when(_finite(t, df) & (df > 0), beta_tail(df / 2.0, F.lit(0.5), df / (df + t * t)))
 
 
 def chi2_tail(x: Column, df: Column) -> Column:
-    return _clean(_chi2_tail(x.cast("double"), df.cast("double")))
-
-
-def ks_tail(d: Column, n: Column, m: Column) -> Column:
-    return _clean(_ks_tail(d.cast("double"), n.cast("double"), m.cast("double")))
+    """P(chi-square > x)."""
+    x, df = x.cast("double"), df.cast("double")
+    return F.when(_finite(x, df) & (df > 0), gamma_tail(df / 2.0, x / 2.0))
+
+
+def kolmogorov_tail(x: Column) -> Column:
+    """Asymptotic two-sided law: one of two series, whichever converges at once."""
+    one = lambda k: F.exp(-(2.0 * k - 1.0) * (2.0 * k - 1.0) * F.lit(math.pi**2) / (8.0 * x * x))
+    two = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x)
+    terms = F.sequence(F.lit(1), F.lit(KS_TERMS))
+    total = lambda term: F.aggregate(F.transform(terms, lambda k: term(k.cast("double"))), F.lit(0.0), lambda acc, v: acc + v)
+    small = 1.0 - F.lit(math.sqrt(2 * math.pi)) / x * total(one)
+    return _clip(F.when(x <= 0.0, 1.0).when(x < 1.18, small).otherwise(2.0 * total(two)))
+
+
+def ks_method(n: Column, m: Column, method: str = "auto") -> Column:
+    """``exact`` or ``asymptotic``; ``auto`` is the usual rule, exact up to ``EXACT_LIMIT`` rows a side."""
+    return F.lit(method) if method != "auto" else F.when(F.greatest(n, m) <= EXACT_LIMIT, "exact").otherwise("asymptotic")
+
+
+def ks_tail(d: Column, n: Column, m: Column, method: str = "auto") -> Column:
+    """Two-sample p-value by the method that :func:`ks_method` names."""
+    d, n, m = (c.cast("double") for c in (d, n, m))
+    known = _finite(d, n, m) & (n > 0) & (m > 0)
+    far = F.when(known, kolmogorov_tail(d * F.sqrt(n * m / (n + m))))
+    if method == "asymptotic":
+        return far
+    is_exact = ks_method(n, m, method) == "exact"
+    near = _clean(_ks_tail(F.when(is_exact, d), n, m))
+    return F.when(is_exact, near).otherwise(far)
 
 
 def adf_tail(t: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.columns import nan_to_null
-from panelwise.functions.tails import chi2_tail, ks_tail
+from panelwise.functions.tails import chi2_tail, ks_method, ks_tail
 from panelwise.operators.ordered import group_quantiles, ladder
 
 KS_LIMIT, PSI_LIMIT, JS_LIMIT = 0.05, 0.1, 0.1
@@ -50,11 +50,11 @@ def ks_distance(pool: DataFrame, small_rows: int | None = None) -> DataFrame:
     return steps.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("total_ref").alias("n_ref"), F.max("total_cur").alias("n_cur"))
 
 
-def covariate_drift(pool: DataFrame, alpha: float = 0.05, small_rows: int | None = None) -> DataFrame:
-    """Distance, p-value, drift flag and severity by alpha and alpha / 10."""
+def covariate_drift(pool: DataFrame, alpha: float = 0.05, small_rows: int | None = None, method: str = "auto") -> DataFrame:
+    """Distance, p-value and its method, drift flag and severity by alpha and alpha / 10."""
     enough = (F.col("n_ref") >= 2) & (F.col("n_cur") >= 2)
     out = ks_distance(pool, small_rows).withColumn("ks", F.when(enough, F.col("ks")))
-    out = out.withColumn("p_value", ks_tail(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
+    out = out.withColumn("p_value", ks_tail(F.col("ks"), F.col("n_ref"), F.col("n_cur"), method)).withColumn("p_method", ks_method(F.col("n_ref"), F.col("n_cur"), method))
     drifted = F.coalesce(F.col("p_value") < alpha, F.lit(False))
     severity = (
         F.when(~enough, F.lit("insufficient_data"))

@@ -105,3 +105,30 @@ def test_moments_of_f_helper(spark):
     df = spark.createDataFrame([(0.5,), (float("nan"),)], "x double")
     assert [r[0] for r in df.select(c.nan_to_null("x")).collect()] == [0.5, None]
     assert df.select(F.sum(c.nan_to_null("x"))).first()[0] == 0.5
+
+
+def test_tail_expressions_equal_the_numpy_laws(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(float(f), float(a), float(b)) for f, a, b in zip(10 ** rng.uniform(-4, 2.5, 150), rng.integers(1, 60, 150), rng.integers(1, 400, 150))]
+    df = spark.createDataFrame(rows, "x double, a double, b double")
+    got = df.select("x", "a", "b", tails.f_tail(F.col("x"), F.col("a"), F.col("b")).alias("f"), tails.t_tail(F.col("x"), F.col("a")).alias("t"), tails.chi2_tail(F.col("x"), F.col("a")).alias("c")).toPandas()
+    for name, want in (("f", tails.f_sf(got.x, got.a, got.b)), ("t", tails.t_two_sided(got.x, got.a)), ("c", tails.chi2_sf(got.x, got.a))):
+        assert np.allclose(got[name], want, rtol=1e-8, atol=1e-12), name
+    ks = spark.createDataFrame([(float(v),) for v in [0.0, 0.05, 0.3, 0.8, 1.17, 1.18, 1.5, 3.0]], "x double").select("x", tails.kolmogorov_tail(F.col("x")).alias("p")).collect()
+    assert all(r.p == pytest.approx(tails.kolmogorov_sf(r.x), abs=1e-12) for r in ks)
+
+
+def test_tails_of_missing_values_are_null(spark):
+    df = spark.createDataFrame([(None, 3.0), (float("nan"), 3.0), (1.0, 0.0), (float("inf"), 2.0)], "x double, n double")
+    x, n = F.col("x"), F.col("n")
+    assert [tuple(r) for r in df.select(tails.f_tail(x, n, n), tails.t_tail(x, n), tails.chi2_tail(x, n)).collect()] == [(None,) * 3] * 4
+
+
+@pytest.mark.parametrize("method,want", [("auto", "exact"), ("exact", "exact"), ("asymptotic", "asymptotic")])
+def test_ks_method_is_an_argument(spark, method, want):
+    df = spark.createDataFrame([(0.25, 40, 60)], "d double, n long, m long")
+    row = df.select(tails.ks_tail(F.col("d"), F.col("n"), F.col("m"), method).alias("p"), tails.ks_method(F.col("n"), F.col("m"), method).alias("how")).first()
+    exact, far = tails.ks_two_sample_p(0.25, 40, 60), tails.kolmogorov_sf(0.25 * (40 * 60 / 100) ** 0.5)
+    assert row.how == want and row.p == pytest.approx(exact if want == "exact" else far)
