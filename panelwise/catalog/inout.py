@@ -220,6 +220,28 @@ def _(s, d):
     return edge(out, "entity", "label", "status", "flag_count", "maturity", "pressure", "volatility", "predictability", "priority")
 
 
+@query(
+    "r2_core_outputs",
+    build(
+        "fa fb fc panel idx",
+        """SELECT unnest(['a_ready', 'b_ready', 'c_ready', 'panel', 'stability', 'lag_features', 'rank_persistence', 'rank_correlations', 'profile', 'anomalies', 'focus_summary', 'period_summary', 'pareto']) AS output,
+ unnest([(SELECT count(*) FROM fa), (SELECT count(*) FROM fb), (SELECT count(*) FROM fc), np, ne, ne, ne, 2, ne, ne, ne, (SELECT count(DISTINCT period) FROM panel), ne]) AS n,
+ unnest([(SELECT sum(a_1+a_2+a_3) FROM fa), (SELECT sum(b_1+b_2) FROM fb), (SELECT sum(c_1+c_2) FROM fc), (SELECT sum(activity) FROM panel), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL])::BIGINT AS total
+ FROM (SELECT (SELECT count(*) FROM panel) AS np, (SELECT count(*) FROM idx) AS ne)""",
+    ),
+)
+def _(s, d):
+    """Rows of every output, and the sum of its counts where it holds them."""
+    out = jobs.core_job(b.facts_a(s, d), b.facts_b(s, d), b.facts_c(s, d))
+    sums = {"a_ready": "a_total", "b_ready": "b_total", "c_ready": "c_total", "panel": "activity"}
+    skip = ("activity_correlation", "index_correlation")  # matrices, compared by a5_corr_matrix and a5_index_corr_matrix
+    parts = [
+        df.agg(F.lit(n).alias("output"), F.count(F.lit(1)).alias("n"), (F.sum(sums[n]) if n in sums else F.lit(None)).cast("bigint").alias("total"))
+        for n, df in out.items() if n not in skip
+    ]
+    return stats.union_all(parts)
+
+
 @query("r3_advanced_job")
 def _(s, d):
     core = jobs.core_job(b.facts_a(s, d), b.facts_b(s, d), b.facts_c(s, d))
