@@ -10,9 +10,11 @@ probability 1 - (1 - s ** ROWS) ** BANDS: 0.983 at 0.8, 0.999 at 0.9; equal para
 paragraphs are one content before banding, so copies cost one row a task.
 
 Verification. In a bucket of up to ``PAIRWISE`` contents all pairs are verified by exact Jaccard
-similarity. In a larger one every content meets the smallest one first; contents that are still in
-another component than that one are then compared with all contents of other components that share one
-of their rarest shingles, as every pair of that similarity does (prefix filtering). A pair inside a
+similarity. In a larger one every content meets the smallest one first. Where a bucket still holds several components,
+its contents are filed under their rarest shingles, as every pair of that similarity shares one (prefix filtering), and
+meet, under each, the one that has fewest rarer shingles. What is still apart after that is compared with the contents of other components
+under the same shingle, if sizes and positions let the pair reach the similarity; the component that holds most of a shingle meets only the
+rest, so that a group of copies costs its size. A pair inside a
 component is never compared, as it could add nothing, and no linked pair of different components is left out.
 
 Removals. A class of paragraphs that occurs in at least two documents is repeated. Its first occurrence (smallest
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,30 +209,47 @@ def linked(parts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     root = components(edges)
     if not large.limit(1).count():
         return root
-    own = large.join(root, large["content"] == root["node"], "left").select("key", "content", "lead", F.coalesce("root", "content").alias("root"))
-    first = own.where("content = lead").select("key", F.col("root").alias("lead_root"))
-    members = own.join(first, "key").groupBy("content", "root").agg(F.max(F.col("root") != F.col("lead_root")).alias("apart"))
-    members = store(members, "members")
-    # contents of a large bucket that are in another component than its smallest one
-    prefix = store(_prefixes(sets.join(members, "content"), least), "prefixes")
-    x = prefix.where("apart").select("shingle", F.col("content").alias("a"), "root")
-    y = prefix.select("shingle", F.col("content").alias("b"), F.col("root").alias("other"))
-    met = x.join(y, "shingle").where("root != other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = store(verified(met, sets, least), "links")
+    prefix = store(_prefixes(sets.join(_mixed_members(large, root), "content"), least), "prefixes")
+    # every shingle's plainest content first: what it links is one component after that
+    lead = prefix.groupBy("shingle").agg(F.min(F.struct("k", "n", "content", "root")).alias("lead"))
+    led = prefix.join(lead, "shingle").where((F.col("root") != F.col("lead.root")) & _may_reach(least, "k", "n", "lead.k", "lead.n"))
+    edges = store(edges.union(verified(led.select(F.col("lead.content").alias("a"), F.col("content").alias("b")), sets, least)), "links")
+    root = components(edges)
+    now = prefix.drop("root").join(root, prefix["content"] == root["node"], "left").select("shingle", "content", "k", "n", F.coalesce("root", "content").alias("root"))
+    now = store(now, "prefixes")
+    # of two contents in different components, one at least is outside the component that holds most of a shingle
+    each = now.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("held"))
+    most = each.groupBy("shingle").agg(F.max(F.struct("held", "root")).alias("most"), F.count(F.lit(1)).alias("number")).where("number > 1")
+    x = now.join(most, "shingle").where("root != most.root").select("shingle", F.col("content").alias("a"), F.col("k").alias("i"), F.col("n").alias("m"), F.col("root").alias("other"))
+    met = now.join(x, "shingle").where((F.col("root") != F.col("other")) & _may_reach(least, "k", "n", "i", "m"))
+    more = store(verified(met.select(F.least("a", "content").alias("a"), F.greatest("a", "content").alias("b")), sets, least), "links")
     return components(edges.union(more)) if more.limit(1).count() else root
 
 
+def _mixed_members(large: DataFrame, root: DataFrame) -> DataFrame:
+    """(content, root) of the buckets that hold more than one component."""
+    own = large.join(root, large["content"] == root["node"], "left").select("key", "content", F.coalesce("root", "content").alias("root"))
+    several = own.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).where("several")
+    return own.join(several, "key", "left_semi").select("content", "root").distinct()
+
+
+def _may_reach(least: float, k: str, n: str, i: str, m: str) -> Column:
+    """Whether two sets of sizes ``n`` and ``m`` whose first common shingle is their ``k``-th and ``i``-th can be similar enough."""
+    common = F.least(F.col(n) - F.col(k), F.col(m) - F.col(i)) + 1
+    return common * (1 + least) >= least * (F.col(n) + F.col(m)) - 1e-9
+
+
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(content, root, apart, shingle) of the rarest shingles of each set.
+    """(content, root, n, k, shingle) of the rarest shingles of each set, the ``k``-th of its ``n``.
 
     Two sets of similarity ``least`` or more share one of the ``n - ceil(least * n) + 1`` first of their
     shingles under any one order of all shingles; from rare to frequent, few others share those.
     """
-    each = sets.select("content", "root", "apart", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = sets.select("content", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = each.join(often, "shingle").withColumn("k", F.expr("row_number() OVER (PARTITION BY content ORDER BY often, shingle)"))
     # a little below the product, so that rounding never shortens a prefix
-    return ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("content", "root", "apart", "shingle")
+    return ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("content", "root", "n", "k", "shingle")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
