@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from panelwise.catalog.registry import edge, query
 from panelwise.catalog.relational import DIRTY_T, ENTROPY_BINS, ROBUST_COLS, ROBUST_MAD, ROBUST_MED
-from panelwise.catalog.quality import PSI1, _bins
+from panelwise.catalog.quality import PSI2
 from panelwise.catalog.sql import build, r, rs, ym
-from panelwise.operators import indices, rollup, stats
+from panelwise.operators import drift, indices, rollup, stats
 from panelwise.operators.ordered import with_row
 from panelwise.plans import bindings as b
 from panelwise.plans import jobs
@@ -158,52 +158,55 @@ def _(s, d):
     return s.read.parquet(out).select("event_id", "event_type", "cents")
 
 
-X3 = """SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type, sum(round(value*100)::BIGINT)::BIGINT AS cents, count(*)::BIGINT AS rows FROM events
- WHERE date_trunc('day',ts)+INTERVAL 1 DAY <= (SELECT max(ts) FROM events)-INTERVAL 1 HOUR GROUP BY 1,2"""
-
-
-def _rolled(s, source):
-    out, ck = scratch_path(s, "rollup-out"), scratch_path(s, "rollup-ck")
-    streams.run_to_table(streams.rollup_stream(streams.parquet_stream(s, source, EV_SCHEMA), ["event_type"], ["cents"]), out, ck)
-    return out, ck
+X3 = """SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type, sum(round(value*100)::BIGINT)::BIGINT AS cents, count(*)::BIGINT AS rows FROM events GROUP BY 1,2"""
 
 
 @query("x3_stream_rollup", X3)
 def _(s, d):
-    out, _ck = _rolled(s, _event_folder(s, d))
+    # the closing row, fed after all events, ends the last day
+    path, out, ck = scratch_path(s, "events"), scratch_path(s, "rollup-out"), scratch_path(s, "rollup-ck")
+    for rows in (_events(s, d), streams.closing_row(s, EV_SCHEMA)):
+        rows.write.mode("append").parquet(path)
+        streams.run_to_table(streams.rollup_stream(streams.parquet_stream(s, path, EV_SCHEMA), ["event_type"], ["cents"]), out, ck)
     return s.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "cents", "rows")
 
 
-X4 = """SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type, sum(round(value*100)::BIGINT)::BIGINT AS cents, count(*)::BIGINT AS rows FROM events
- WHERE event_id%10<>0 AND date_trunc('day',ts)+INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_id%10<>0)-INTERVAL 1 HOUR GROUP BY 1,2"""
+X4 = """SELECT strftime(date_trunc('day',ts),'%Y-%m-%d') AS day, event_type, event_id%10=0 AND date_trunc('day',ts)+INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_id%10<>0)-INTERVAL 1 HOUR AS late,
+ sum(round(value*100)::BIGINT)::BIGINT AS cents, count(*)::BIGINT AS rows FROM events GROUP BY 1,2,3"""
 
 
 @query("x4_stream_late_rows", X4)
 def _(s, d):
-    # a first run takes nine tenths; the rest arrives when its windows are closed
+    # a first run takes nine tenths; most of the rest arrives when its windows are closed
     path, out, ck = scratch_path(s, "late"), scratch_path(s, "late-out"), scratch_path(s, "late-ck")
     ev = _events(s, d)
     tenth = F.col("event_id") % 10 == 0
-    for rows in (ev.where(~tenth), ev.where(tenth & (F.col("ts") < F.lit("2024-01-25").cast("timestamp")))):
+    for rows in (ev.where(~tenth), ev.where(tenth)):
         rows.write.mode("append").parquet(path)
-        stream = streams.rollup_stream(streams.parquet_stream(s, path, EV_SCHEMA), ["event_type"], ["cents"])
-        streams.run_to_table(stream, out, ck)
-    closed = s.read.parquet(out)
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "cents", "rows")
+        streams.run_windows(streams.parquet_stream(s, path, EV_SCHEMA), out, ck, ["event_type"], ["cents"])
+    day = lambda time: F.date_format(time, "yyyy-MM-dd").alias("day")
+    written = streams.window_sums(s, out, ["event_type"], ["cents"]).select(day("window_start"), "event_type", F.lit(False).alias("late"), "cents", "rows")
+    late = streams.late_rows(s, out).groupBy(day("ts"), "event_type").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("rows"))
+    return written.unionByName(late.withColumn("late", F.lit(True)))
 
 
-X5_POOL = "SELECT 'cents' AS feature, round(value*100)::DOUBLE AS v, 0 AS side FROM events WHERE event_id%2=0 UNION ALL SELECT 'cents', round(value*100)::DOUBLE, 1 FROM events"
+X5_POOL = "SELECT 'balance' AS feature, s_acctbal::DOUBLE AS v, 0 AS side FROM supplier UNION ALL SELECT 'balance', c_acctbal::DOUBLE, 1 FROM customer"
 
 
 @query(
     "x5_stream_drift",
-    build("", "SELECT *, CASE WHEN psi<0.1 THEN 'stable' WHEN psi<0.25 THEN 'warning' ELSE 'critical' END AS severity FROM (" + PSI1 + ")", pool=X5_POOL, bins=_bins(10, "1e-10")),
+    build("", "SELECT *, CASE WHEN psi<0.1 THEN 'stable' WHEN psi<0.25 THEN 'warning' ELSE 'critical' END AS severity, (SELECT count(*) FROM customer)::BIGINT AS n_cur FROM (" + PSI2 + ")", pool=X5_POOL),
 )
 def _(s, d):
-    hist, ck = scratch_path(s, "drift-history"), scratch_path(s, "drift-ck")
-    base = _events(s, d).where("event_id % 2 = 0")
-    streams.run_drift(streams.parquet_stream(s, _event_folder(s, d), EV_SCHEMA), base, ["cents"], hist, ck)
-    return edge(s.read.parquet(hist).select("feature", "psi", "severity"))
+    # suppliers are the baseline, customers arrive in four files, a batch each
+    path, out, ck = scratch_path(s, "balances"), scratch_path(s, "drift-state"), scratch_path(s, "drift-ck")
+    current = b.table(s, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"))
+    current.repartition(4, "c_custkey").select("balance").write.parquet(path)
+    bins = materialize(drift.baseline_bins(b.table(s, d, "supplier").select(F.col("s_acctbal").alias("balance")), ["balance"]))
+    stream = streams.parquet_stream(s, path, T.StructType([T.StructField("balance", T.DoubleType())]), files_per_trigger=1)
+    streams.run_total_drift(stream, bins, ["balance"], out, ck)
+    last = s.read.parquet(f"{out}/history")
+    return edge(last.where(F.col("n_cur") == last.agg(F.max("n_cur")).scalar()).select("feature", "psi", "severity", "n_cur").distinct())
 
 
 # ---- jobs -----------------------------------------------------------------------------------------

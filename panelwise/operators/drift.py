@@ -22,11 +22,13 @@ KS_LIMIT, PSI_LIMIT, JS_LIMIT = 0.05, 0.1, 0.1
 
 def pooled(baseline: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Both tables as ``(side, feature, value)``; side 0 is the baseline. NaN is missing."""
-    def tall(df, side):
-        cols = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in features])
-        return cols.unpivot([], list(features), "feature", "value").withColumn("side", F.lit(side))
+    return tall(baseline, features).withColumn("side", F.lit(0)).unionByName(tall(current, features).withColumn("side", F.lit(1)))
+
 
-    return tall(baseline, 0).unionByName(tall(current, 1)).where(F.col("value").isNotNull())
+def tall(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value) of every value that is not missing."""
+    cols = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in features])
+    return cols.unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
 
 
 def _ref() -> Column:
@@ -107,6 +109,36 @@ def psi_quantile(pool: DataFrame, bins: int = 10, floor: float = 1e-10, small_ro
     return total.join(cuts.select("feature", "_k"), "feature").select("feature", F.when(F.col("_k") >= 2, F.col("psi")).alias("psi"))
 
 
+def baseline_bins(baseline: DataFrame, features: Sequence[str], bins: int = 10, small_rows: int | None = None) -> DataFrame:
+    """(feature, edges, c_ref, n_ref): inner edges at baseline quantiles and the baseline's count in each bin.
+
+    One row a feature, to be stored: counts against it merge over batches. Features without two
+    different values have no row.
+    """
+    pool = tall(baseline, features)
+    cuts = group_quantiles(pool, "value", "feature", [i / bins for i in range(bins + 1)], small_rows)
+    distinct = F.array_distinct("quantiles")
+    cuts = cuts.where(F.size(distinct) >= 2).select("feature", F.slice(distinct, 2, F.size(distinct) - 2).alias("edges"))
+    counts = bin_counts(pool, cuts).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"), F.sum("n").alias("n_ref"))
+    each = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda b: F.coalesce(F.col("found")[b], F.lit(0).cast("long")))
+    return cuts.join(counts, "feature").select("feature", "edges", each.alias("c_ref"), "n_ref")
+
+
+def bin_counts(pool: DataFrame, bins: DataFrame) -> DataFrame:
+    """(feature, bin, n) of the values of ``pool`` (feature, value) between the ``edges`` of ``bins``."""
+    placed = pool.join(bins.select("feature", "edges"), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+    return placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def psi_of_counts(bins: DataFrame, counts: DataFrame, floor: float = 1e-10) -> DataFrame:
+    """(feature, n_cur, psi) of ``bin_counts`` against ``baseline_bins``; no row for a feature without counts."""
+    cur = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"), F.sum("n").alias("n_cur"))
+    p = lambda c: F.greatest(c / F.col("n_ref"), F.lit(floor))
+    q = lambda b: F.greatest(F.coalesce(F.col("found")[b] / F.col("n_cur"), F.lit(0.0)), F.lit(floor))
+    parts = F.transform("c_ref", lambda c, b: (q(b) - p(c)) * F.ln(q(b) / p(c)))
+    return bins.join(cur, "feature").select("feature", "n_cur", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("psi"))
+
+
 def js_distance(pool: DataFrame, bins: int = 50) -> DataFrame:
     """Jensen-Shannon distance (root of the divergence, natural log) over common bins."""
     p, q = F.col("c_ref") / F.col("n_ref"), F.col("c_cur") / F.col("n_cur")

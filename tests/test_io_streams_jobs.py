@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwise.operators import drift
 from panelwise.plans import jobs
 from panelwise.session import shared_dir
 from panelwise.sources import readers, sinks
@@ -88,6 +89,50 @@ def test_late_rows_are_dropped_once_the_watermark_has_passed(spark, tmp_path):
     assert got == {1: 3, 5: 3, 9: 4}
 
 
+def test_windows_lose_no_row(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.LongType())])
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    day = lambda d, h=0: dt.datetime(2025, 1, d, h)
+    batches = [[("a", day(1), 1), ("a", day(5), 3), (None, day(5, 1), None)], [("a", day(1, 6), 100), ("a", day(5, 23), 4), ("b", None, 7)], [("a", day(2), 8), ("a", day(6), 16)], []]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        streams.run_windows(streams.parquet_stream(spark, src, schema), out, ck, ["k"], ["v"])
+    got = {(r["window_start"].day, r["k"]): (r["v"], r["rows"], r["closed"]) for r in streams.window_sums(spark, out, ["k"], ["v"]).collect()}
+    assert got == {(1, "a"): (1, 1, True), (5, "a"): (7, 2, False), (5, None): (None, 1, False), (6, "a"): (16, 1, False)}
+    assert sorted(r["v"] for r in streams.late_rows(spark, out).collect()) == [7, 8, 100]
+    # a batch that runs again replaces what it wrote
+    again = streams.window_sink(out, ["k"], ["v"])
+    again(spark.createDataFrame(batches[1], schema), 1)
+    assert streams.window_sums(spark, out, ["k"], ["v"]).agg(F.sum("rows")).first()[0] + streams.late_rows(spark, out).count() == sum(map(len, batches))
+
+
+def test_the_closing_row_ends_the_last_window(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.LongType())])
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    rows = spark.createDataFrame([("a", dt.datetime(2025, 1, d), d) for d in (1, 2, 9)], schema)
+    for batch in (rows, streams.closing_row(spark, schema)):
+        batch.coalesce(1).write.mode("append").parquet(src)
+        streams.run_to_table(streams.rollup_stream(streams.parquet_stream(spark, src, schema), ["k"], ["v"]), out, ck)
+    assert {r["window_start"].day: r["v"] for r in spark.read.parquet(out).collect()} == {1: 1, 2: 2, 9: 9}
+
+
+def test_drift_of_several_batches_equals_one(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = spark.createDataFrame([(float(x), 1.0) for x in rng.normal(size=400)], "x double, same double")
+    rows = [(float(x), None if k % 9 else 2.0) for k, x in enumerate(rng.normal(0.6, 1, size=300))] + [(float("nan"), None)]
+    cur = spark.createDataFrame(rows, "x double, same double")
+    bins = drift.baseline_bins(base, ["x", "same"])
+    assert [r["feature"] for r in bins.collect()] == ["x"]  # one value alone has no bins
+    folder = str(tmp_path / "state")
+    sink = streams.total_drift_sink(bins, ["x", "same"], folder)
+    for k, lo in enumerate((0, 40, 40, 200)):
+        sink(spark.createDataFrame(rows[lo : (40, 40, 200, 301)[k]], "x double, same double"), k)
+    sink(spark.createDataFrame(rows[200:], "x double, same double"), 3)
+    got = spark.read.parquet(f"{folder}/history").orderBy(F.desc("batch")).first()
+    want = {r["feature"]: r["psi"] for r in drift.psi_quantile(drift.pooled(base, cur, ["x", "same"])).collect()}
+    assert got["n_cur"] == 300 and got["psi"] == pytest.approx(want["x"], rel=1e-9) and want["same"] is None
+
+
 def test_stream_dedupe_across_batches(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("ts", T.TimestampType())])
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
