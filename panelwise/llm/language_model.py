@@ -7,11 +7,13 @@ Model. One attention layer with a learnt bias for each distance, a feed-forward
 of neighbouring classes predict the next id's class from the ids before it; a frequent id is a class of its own, the others share classes of about equal
 frequency, inside which the corpus frequencies decide. Ids that begin a word and others never share a class, so a word's
 probability as subwords is that of its ids times that of another beginning (or the end) after them. A word's
-probability is the mean of that and of its share of the corpus, weighted by ``UNIGRAM``: the
-words' probabilities add up to at most one, and every text has a positive one.
+probability is the mean of that and of its smoothed share of the corpus, weighted by ``UNIGRAM``. The share is that of the base score:
+one place for every known word and one for "not known", so that over these events the probabilities add up
+to at most one, and a word that the corpus lacks costs no more than the unknown one and the weight.
 
-Training. The rounds make one pass over all training documents, each on its own share of them. A round trains a copy of the
-model in every partition and averages the copies, weighted by their tokens (local stochastic gradient descent).
+Training. The rounds make one pass over all training documents, each on its own share of them. Texts lie one after another
+in windows without gaps or overlap, so that each id is a target once and no place is empty. A round trains a copy of the
+model in every task and averages the copies, weighted by their tokens (local stochastic gradient descent).
 
 Scoring. A text is cut into windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; windows of many
 texts form one batch of masked attention, and each id is scored once, in the first window that has
@@ -45,7 +47,10 @@ OWN_ROWS = 4096
 #: Rounds of one pass over the training documents.
 ROUNDS = 2
 BATCH, RATE = 64, 0.01
-UNIGRAM = 0.3
+#: Words that a training task has at least: a small table has fewer tasks, each with enough steps to learn.
+LEAST_WORDS = 1 << 17
+#: Weight of the corpus share; by a training fold left out of counts and fit, 0.4 to 0.6 are alike.
+UNIGRAM = 0.5
 SCORE_BATCH = 256
 #: Characters of text that are scored at a time, and words remembered by a worker.
 CHUNK, REMEMBERED = 1 << 21, 1 << 18
@@ -244,7 +249,7 @@ def _forward(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, on: n
     asked for: all of them, or the flat places ``on``.
     """
     b, n = rows.shape
-    x = w["embed"][rows]
+    x = np.take(w["embed"], rows, axis=0)
     qkv = x.reshape(-1, WIDTH) @ w["qkv"]
     q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(b, n, WIDTH) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
@@ -259,7 +264,7 @@ def _forward(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, on: n
     z = h + u @ w["down"]
     logits = z @ w["head"]
     logits += w["head_b"]
-    logits += w["pair"][last]
+    logits += np.take(w["pair"], last, axis=0)
     return logits, (x, q, k, v, a, o, h, u, z)
 
 
@@ -272,11 +277,11 @@ def _log_probs(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _gradient(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     b, n = rows.shape
-    logits, (x, q, k, v, a, o, h, u, z) = _forward(w, rows, last)
-    _log_probs(logits, target)
-    p = logits / logits.sum(axis=1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
-    p *= (weight / max(weight.sum(), 1.0))[:, None].astype(np.float32)
+    p, (x, q, k, v, a, o, h, u, z) = _forward(w, rows, last)
+    _exp(p)
+    weight = (weight / max(weight.sum(), 1.0)).astype(p.dtype)
+    p *= (weight / p.sum(axis=1))[:, None]
+    p[np.arange(len(target)), target] -= weight
     g = {"head": z.T @ p, "head_b": p.sum(axis=0), "pair": _summed(last, p, w["pair"])}
     dz = p @ w["head"].T
     g["down"] = u.T @ dz
@@ -314,6 +319,15 @@ def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return np.where(there | (place == 0), before, end), target, fresh, text
 
 
+def packed(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, scored) of windows over all texts laid one after another, each with its ``end``."""
+    flat = np.concatenate([np.append(s, end) for s in sequences])
+    room = -len(flat) % WINDOW
+    targets = np.append(flat, np.full(room, end)).reshape(-1, WINDOW)
+    inputs = np.append(end, targets.ravel()[:-1]).reshape(-1, WINDOW)
+    return inputs, targets, (np.arange(targets.size) < len(flat)).reshape(-1, WINDOW)
+
+
 class Trainer:
     """Adam on batches of windows."""
 
@@ -323,7 +337,7 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def learn(self, sequences: list[np.ndarray]) -> None:
-        inputs, targets, fresh, _ = windows(sequences, len(self.shape.cls) - 1)
+        inputs, targets, fresh = packed(sequences, len(self.shape.cls) - 1)
         order = np.random.default_rng(self.step).permutation(len(inputs))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
@@ -366,13 +380,12 @@ def word_logs(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray
 
 
 def mixed(own: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log-probability of words from that as subwords and their corpus shares."""
-    with np.errstate(divide="ignore"):  # a word without a share has its subwords only
-        return np.logaddexp(np.log(UNIGRAM * share), np.log(1 - UNIGRAM) + own)
+    """Log-probability of words from that as subwords and their smoothed corpus shares."""
+    return np.logaddexp(np.log(UNIGRAM * share), np.log(1 - UNIGRAM) + own)
 
 
 def text_scores(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each text; ``shares`` has the corpus share of each word and of the end."""
+    """Log10 probability of each text; ``shares`` has the smoothed corpus share of each word and of the end."""
     words = np.array([len(p) + 1 for p in pieces])
     logp = mixed(word_logs(shape, w, sequences, pieces), np.concatenate(shares))
     return np.add.reduceat(logp, np.cumsum(words) - words) / np.log(10)
@@ -454,7 +467,8 @@ def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Model:
     for k in range(rounds):
         model = spark.sparkContext.broadcast((shape, weights))
         chosen = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k)
-        copies = chosen.select("text").mapInArrow(_train(subwords, model), "at long, value double, tokens double")
+        tasks = max(1, (state["n"] or 0) // rounds // LEAST_WORDS)
+        copies = chosen.select("text").coalesce(tasks).mapInArrow(_train(subwords, model), "at long, value double, tokens double")
         got = copies.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"), F.sum("tokens").alias("tokens")).toPandas()
         if len(got):
             weights = _unpack(got.sort_values("at")["value"].to_numpy(), weights)
@@ -464,7 +478,7 @@ def fit(rows: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Model:
 
 def _score(subwords_of, fitted, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, (shape, w), (top, tokens) = _subwords(subwords_of), fitted.value, frequent.value
+        subwords, (shape, w), (top, places) = _subwords(subwords_of), fitted.value, frequent.value
         for batch, chunk in _chunks(batches):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "own", "score")}
             logs, at = word_logs(shape, w, *subwords.encode_all(chunk)), 0
@@ -483,7 +497,7 @@ def _score(subwords_of, fitted, frequent):
                 out["logs"].append(float(np.log10(counts + 1.0).sum()))
                 out["rare"].append([word_key(x) for x in rare])
                 out["own"].append(list(rare.values()))
-                out["score"].append(float(mixed(own, counts / max(tokens, 1)).sum() / np.log(10)))
+                out["score"].append(float(mixed(own, (counts + 1) / places).sum() / np.log(10)))
             kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": pa.list_(pa.int64()), "own": pa.list_(pa.list_(pa.float64())), "score": pa.float64()}
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(out[k], t) for k, t in kinds.items()]], ["id", *kinds])
 
@@ -494,23 +508,24 @@ def scored(rows: DataFrame, model: Model, top: int = TOP) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of (id, text)."""
     spark = model.spark
     frequent = {bytes(r["word"]): r["n"] for r in model.words.orderBy(F.desc("n"), "word").limit(top).collect()}
-    run = _score(model.subwords, model.fitted, spark.sparkContext.broadcast((frequent, model.tokens)))
+    places = model.tokens + model.different + 1.0
+    run = _score(model.subwords, model.fitted, spark.sparkContext.broadcast((frequent, places)))
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, logs double, rare array<long>, own array<array<double>>, score double"
     # numbered after storing, so that every later read gives a row the same number
     first = store(rows.mapInArrow(run, schema), "scores").withColumn("row", F.monotonically_increasing_id())
     rare = first.select("row", F.explode(F.arrays_zip("rare", "own")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.own").alias("own"))
     counts = model.words.select(F.xxhash64("word").alias("key"), "n")
-    share = F.log(F.lit(UNIGRAM) * F.col("n") / F.lit(float(max(model.tokens, 1))))
+    share = F.lit(UNIGRAM / places)
 
     def gain(total: Column, own: Column) -> Column:
-        """``total`` and what the corpus share adds to a word that was scored by its subwords only."""
-        alone = own + F.lit(float(np.log(1 - UNIGRAM)))
-        return total + F.greatest(share, alone) + F.log1p(F.exp(-F.abs(share - alone))) - alone
+        """``total`` and what its count adds to a word that was scored as one not known."""
+        model_part = F.exp(own) * (1 - UNIGRAM)
+        return total + F.log(share * (F.col("n") + 1) + model_part) - F.log(share + model_part)
 
     more = rare.join(counts, "key").select("row", "n", F.size("own").alias("number"), F.aggregate("own", F.lit(0.0), gain).alias("gain"))
     more = more.groupBy("row").agg(F.sum(F.col("number") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("number").alias("more_known"), F.sum("gain").alias("gain"))
     out = first.join(more, "row", "left")
-    per_token = float(np.log10(model.tokens + model.different + 1.0))
+    per_token = float(np.log10(places))
     return out.select(
         "id",
         F.coalesce(fold("id") == HELD_OUT, F.lit(False)).alias("held_out"),

@@ -64,7 +64,7 @@ def test_training_lowers_the_loss():
     shape, rng = small_shape(), np.random.default_rng(3)
     seq = [np.tile(rng.integers(0, 300, 6), 20) for _ in range(30)]
     pieces = [np.ones(len(s), int) for s in seq]
-    shares = [np.zeros(len(s) + 1) for s in seq]
+    shares = [np.full(len(s) + 1, 1e-9) for s in seq]
     trainer = lm.Trainer(shape, lm.blank(shape))
     before = lm.text_scores(shape, trainer.w, seq, pieces, shares).sum()
     for _ in range(20):
@@ -120,3 +120,71 @@ def test_empty_tables(spark, case):
     assert lm.scores(df.limit(0), PATH).count() == 0
     held = df.where("doc_id = 201")  # may be the only row, with or without a training row
     assert lm.scores(held, PATH).count() == 1
+
+
+def plain_word_logs(shape, w, seq, pieces):
+    """Log-probabilities of a text's words and end, one place at a time."""
+    w, end = {k: v.astype(np.float64) for k, v in w.items()}, len(shape.cls) - 1
+    targets, before = [*seq, end], [end, *seq]
+    log_id, log_begin = [], []
+    for t, goal in enumerate(targets):
+        start = 0 if t < lm.WINDOW else -(-(t - lm.WINDOW + 1) // lm.STRIDE) * lm.STRIDE
+        x = w["embed"][shape.row[before[start : t + 1]]]
+        q, k, v = (x @ w["qkv"][:, i * lm.WIDTH : (i + 1) * lm.WIDTH] for i in range(3))
+        a = np.exp(k @ q[-1] / np.sqrt(lm.WIDTH) + w["near"][: len(x)][::-1])
+        h = x[-1] + (a / a.sum()) @ v @ w["out"]
+        z = h + np.maximum(h @ w["up"] + w["up_b"], 0) @ w["down"]
+        p = np.exp(z @ w["head"] + w["head_b"] + w["pair"][shape.cls[before[t]]])
+        log_id.append(np.log(p[shape.cls[goal]] / p.sum()) + shape.inside[goal])
+        log_begin.append(np.log(p[shape.begins :].sum() / p.sum()))
+    out, at = [], 0
+    for n in [*pieces, 1]:
+        more = log_begin[at + n] if at + n < len(targets) else 0.0
+        out.append(sum(log_id[at : at + n]) - log_begin[at] + more)
+        at += n
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_version_from_the_weights(spark, case):
+    rows = [r for r in case[0] if r[0] is not None and r[0] != 202]
+    df = case[1].where("doc_id <> 202").selectExpr("row", "doc_id id", "text")
+    model = lm.fit(df.select("id", "text"), PATH)
+    shape, w = model.fitted.value
+    count = {bytes(r.word): r.n for r in model.words.collect()}
+    subwords, want = lm.Subwords(open(PATH, "rb").read()), []
+    for i, text, _ in rows:
+        words = lm.words_of(text)
+        ids, pieces = subwords.encode_all([words])
+        own = np.exp(plain_word_logs(shape, w, ids[0].tolist(), pieces[0].tolist()))
+        share = np.array([(count.get(x, 0) + 1) / (model.tokens + model.different + 1) for x in [*words, b""]])
+        want.append((i, float(np.log10(lm.UNIGRAM * share + (1 - lm.UNIGRAM) * own).sum())))
+    for top in (lm.TOP, 20):
+        got = sorted((r.id, r.score) for r in lm.scored(df.select("id", "text"), model, top).collect())
+        assert [i for i, _ in got] == sorted(i for i, _ in want)
+        assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4, atol=1e-3)
+
+
+def test_unseen_texts_score_above_the_word_shares(spark):
+    rng = random.Random(8)
+    parts = ["th", "on", "er", "in", "re", "an", "ti", "es", "or", "at"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(150)]
+    follow = {w: rng.choice(words) for w in words}
+
+    def text():
+        out = [rng.choice(words)]
+        while len(out) < 80:
+            new = "".join(rng.choice(parts) for _ in range(4))  # mostly a word that no other text has
+            known = follow[out[-1]] if out[-1] in follow and rng.random() < 0.8 else rng.choice(words)
+            out.append(new if rng.random() < 0.05 else known)
+        return " ".join(out)
+
+    df = spark.createDataFrame([(k, text()) for k in range(2500)], "doc_id long, text string")
+    got = lm.scores(df, PATH).where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert got[0] > got[1], got
+
+
+def test_packed_windows_hold_every_id_once():
+    seq = [np.arange(5), np.arange(0), np.arange(100, 170)]
+    inputs, targets, on = lm.packed(seq, 300)
+    flat = [*range(5), 300, 300, *range(100, 170), 300]
+    assert targets[on].tolist() == flat and inputs[on].tolist() == [300, *flat[:-1]] and (~on).sum() < lm.WINDOW
