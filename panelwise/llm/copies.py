@@ -1,7 +1,7 @@
-"""Near copies of whole documents: MinHash banding, exact five-word Jaccard verification, components.
+"""Near copies of whole documents: wide SimHash prints, chains on their ring, exact five-word Jaccard verification, components.
 
-A document is one paragraph of ``paragraphs``: the same bands find candidates of similarity
-``SIMILARITY`` or more with probability 0.983 at least, and the same exact verification keeps clean documents apart. Documents
+The print of a document is voted by its set of five-word shingles; chains of ``simhash`` find candidates of similarity
+``SIMILARITY`` or more with probability 0.99 at least, and the exact verification of ``paragraphs`` keeps clean documents apart. Documents
 of equal words are one content; those of fewer than ``SHINGLE`` words have no other near copies.
 """
 
@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import fresh_names, pick, release, store
-from panelwise.llm.paragraphs import SHINGLE, SIMILARITY, Cut, linked
+from panelwise.llm.paragraphs import SHINGLE, SIMILARITY, Cut, joined
+from panelwise.llm.simhash import wide_buckets, wide_print
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, print, content, keys, shingles) of every document; keys and shingles once for a content in the same batch."""
+    """(id, print, content, size, wide, shingles) of every document; the last three once for a content in the same batch."""
     for batch in batches:
-        contents, keys, sets = [], [], []
+        contents, sizes, wide, sets = [], [], [], []
         seen: set[int] = set()  # repeats of other batches are dropped later
         for text in batch.column("text"):
             cut = Cut(text.as_py())
@@ -29,16 +30,16 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut.starts, cut.ends = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n)
             content = int(cut.contents().view(np.int64)[0]) if n else 0
             contents.append(content)
-            if n < SHINGLE or content in seen:
-                keys.append(None)
-                sets.append(None)
-                continue
-            seen.add(content)
-            s = cut.shingles()
-            keys.append(cut.bands(s)[0].view(np.int64))
-            sets.append(np.unique((s[: n - SHINGLE + 1] >> np.uint64(32)).astype("<u4")).tobytes())
-        arrays = [batch.column("id"), batch.column("print"), pa.array(contents, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "print", "content", "keys", "shingles"])
+            fresh = n >= SHINGLE and content not in seen
+            own = np.unique((cut.shingles()[: n - SHINGLE + 1] >> np.uint64(32)).astype("<u4")) if fresh else None
+            if fresh:
+                seen.add(content)
+            sizes.append(len(own) if fresh else None)
+            wide.append(wide_print(own) if fresh else None)
+            sets.append(own.tobytes() if fresh else None)
+        kinds = {"content": pa.int64(), "size": pa.int32(), "wide": pa.binary(), "shingles": pa.binary()}
+        arrays = [pa.array(a, t) for a, t in zip((contents, sizes, wide, sets), kinds.values())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), *arrays], ["id", "print", *kinds])
     release()
 
 
@@ -48,9 +49,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     Null and empty texts are one class. Columns are returned as they came.
     """
     rows = pick(df, id=id_col, text=text_col).withColumn("print", F.xxhash64("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, print long, content long, keys array<long>, shingles binary"
+    schema = f"id {dict(rows.dtypes)['id']}, print long, content long, size int, wide binary, shingles binary"
     prints = store(rows.select("id", "print", "text").mapInArrow(_documents, schema), "documents")
-    root = linked(prints, least)
+    different = prints.where("wide IS NOT NULL").select(F.col("content").alias("node"), "size", F.col("wide").alias("print")).dropDuplicates(["node"])
+    root = joined(wide_buckets(different, least), prints, least)
     first = prints.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "print")).alias("least"))
     rooted = first.join(root, first["content"] == root["node"], "left").select("least", F.coalesce("root", "content").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least"))

@@ -193,8 +193,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def linked(parts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, root) of all contents of ``paragraphs`` that are linked to another one."""
+    return joined(parts.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "content"), parts, least)
+
+
+def joined(keyed: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the contents that are linked to another one with which they share a key of (key, content)."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = parts.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "content").repartition(n, "key").dropDuplicates(["key", "content"])
+    keyed = keyed.repartition(n, "key").dropDuplicates(["key", "content"])
     ranked = keyed.withColumn("lead", F.expr("min(content) OVER (PARTITION BY key)")).withColumn("size", F.expr("count(1) OVER (PARTITION BY key)"))
     buckets = store(ranked.where("size > 1"), "buckets")
     sets = shingle_sets(parts, store(buckets.select("content").distinct(), "contents"))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from panelwise.llm import copies, simhash
 
 
 def jaccard(a, b):
@@ -28,3 +29,13 @@ def test_the_stage_drops_edited_copies_and_keeps_clean_documents(spark):
     assert len(copies) > 300 and len(ids) - len(clean) <= 0.03 * len(copies)
     assert sorted(r.doc_id for r in kept if (r.doc_id or 0) >= 9000) == [9000, 9002]
     assert sum(r.doc_id is None for r in kept) == 2
+
+
+def test_candidates_come_from_simhash_prints(spark, monkeypatch):
+    """Without buckets of prints nothing but equal words is a copy."""
+    text = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "more"])), (3, "  ".join(text))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in copies.keep_one(df).collect()] == [1]
+    monkeypatch.setattr(copies, "wide_buckets", lambda prints, least: simhash.wide_buckets(prints.limit(0), least))
+    assert sorted(r.doc_id for r in copies.keep_one(df).collect()) == [1, 2]

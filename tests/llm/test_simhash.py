@@ -98,3 +98,57 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)} | {500: 500, 501: 500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def similar_sets(rng, size, number, similarity=0.8):
+    """Pairs of sets of ``size`` hashes of that similarity or a little more."""
+    common = -int(-2 * size * similarity // (1 + similarity))
+    drawn = [rng.integers(0, 1 << 32, 2 * size - common, dtype=np.uint64) for _ in range(number)]
+    return [(d[:size], d[size - common :]) for d in drawn]
+
+
+def as_bytes(sets):
+    return np.frombuffer(b"".join(map(simhash.wide_print, sets)), np.uint8).reshape(len(sets), -1)
+
+
+def test_chains_of_wide_prints_find_similar_sets_and_few_others():
+    rng = np.random.default_rng(4)
+    for size in (12, 80, 300):
+        a, b = (simhash.chains(as_bytes(x)) for x in zip(*similar_sets(rng, size, 600)))
+
+        def met(x, y):
+            near = np.bitwise_count(x[1] ^ y[1]).astype(int)
+            far = np.bitwise_count(x[2] ^ y[2])
+            return ((x[0] == y[0]) & (near <= simhash.NEAR) & (near + far <= simhash.FAR)).any(0)
+
+        assert met(a, b).mean() >= 0.98
+        assert met(a, [np.roll(part, 1, 1) for part in b]).sum() == 0
+
+
+def test_wide_buckets_hold_all_pairs_whose_chains_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 1 << 32, 200, dtype=np.uint64)
+    crowd = [np.concatenate([core, rng.integers(0, 1 << 32, rng.integers(1, 8), dtype=np.uint64)]) for _ in range(60)]
+    sets = [s for pair in similar_sets(rng, 60, 40) for s in pair] + crowd + [rng.integers(0, 1 << 32, 40, dtype=np.uint64) for _ in range(40)]
+    prints = as_bytes(sets)
+    rows = spark.createDataFrame([(k, len(s), bytes(p)) for k, (s, p) in enumerate(zip(sets, prints.copy()))], "node long, size int, print binary")
+    held = {}
+    for r in simhash.wide_buckets(rows, 0.8).collect():
+        held.setdefault(r.key, set()).add(r.content)
+    key, near, far = simhash.chains(prints)
+    for a, b in combinations(range(len(sets)), 2):
+        near_bits = np.bitwise_count(near[:, a] ^ near[:, b]).astype(int)
+        ok = (key[:, a] == key[:, b]) & (near_bits <= simhash.NEAR) & (near_bits + np.bitwise_count(far[:, a] ^ far[:, b]) <= simhash.FAR)
+        if ok.any() and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])):
+            assert any({a, b} <= b_ for b_ in held.values())
+    assert {0, 1} <= set().union(*held.values()) and len(held) < len(sets)
+
+    # links contracted on the way give the same rows, a crowded bucket goes on whole
+    one = np.flatnonzero(key[0] == np.bincount(key[0]).argmax())
+    one = one[np.argsort([len(sets[k]) for k in one], kind="stable")]
+    args = key[0][one], np.array([len(sets[k]) for k in one]), near[0][one], far[0][one], 0.8
+    roots = simhash._chain_roots(*args)
+    monkeypatch.setattr(simhash, "HELD", 1)
+    assert (simhash._chain_roots(*args) == roots).all()
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    assert (simhash._chain_roots(*args) == 0).all()
