@@ -42,29 +42,43 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The different values of ``a``, ascending; sorts ``a`` in place (quicker on a few values than NumPy's own)."""
+    a.sort()
+    keep = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=keep[1:])
+    return a[keep]
+
+
 class RankQueue:
     """Buckets of positions by rank; the lowest occupied rank comes first."""
 
     def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
         self.leaves: dict[int, int] = {}
         self.nodes: dict[int, int] = {}
         self.top = 0
 
-    def file(self, ranks: list[int], positions: list[int]) -> None:
+    def file(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """File ``positions``, which ascend."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        bounds = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()]
         buckets = self.buckets
-        for rank, at in zip(ranks, positions):
+        for rank, lo, hi in zip(ranks[bounds].tolist(), bounds, [*bounds[1:], len(ranks)]):
             if rank in buckets:
-                buckets[rank].append(at)
+                buckets[rank].append(positions[lo:hi])
             else:
-                buckets[rank] = [at]
+                buckets[rank] = [positions[lo:hi]]
                 leaf, node = rank >> 6, rank >> 12
                 self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 63)
                 self.nodes[node] = self.nodes.get(node, 0) | 1 << (leaf & 63)
                 self.top |= 1 << node
 
-    def take(self) -> tuple[int, list[int]]:
-        """The lowest rank and its whole bucket."""
+    def take(self) -> tuple[int, np.ndarray]:
+        """The lowest rank and its whole bucket, each position once and from left to right."""
         node = (self.top & -self.top).bit_length() - 1
         word = self.nodes[node]
         leaf = node << 6 | (word & -word).bit_length() - 1
@@ -75,7 +89,8 @@ class RankQueue:
             self.nodes[node] &= self.nodes[node] - 1
             if not self.nodes[node]:
                 self.top &= self.top - 1
-        return rank, self.buckets.pop(rank)
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else distinct(np.concatenate(bucket))
 
 
 class Merges:
@@ -105,7 +120,7 @@ class Merges:
         """Rank of each pair of ids, -1 where they don't merge; -1 as an id pairs with nothing."""
         if not len(self.keys):
             return np.full(len(left), -1)
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.results[at], -1)
 
@@ -126,22 +141,24 @@ class Merges:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"\0".join(pieces), np.uint8)
         n = len(raw) + 2  # a separator before, between and after
+        place = np.int32 if n < 1 << 31 else np.int64
         first = 1 + np.concatenate([[0], np.cumsum(sizes + 1)])
-        token = np.full(n, -1, np.int64)
+        token = np.full(n, -1, place)
         token[1:-1] = self.of_byte[raw]
         token[first[1:] - 1] = -1
-        owner = np.repeat(np.arange(len(pieces) + 1), np.append(sizes + 1, n - 1 - (sizes + 1).sum()))
-        owner = np.concatenate([[0], owner])
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        spread = np.append(sizes + 1, n - 1 - (sizes + 1).sum())
+        spread[0] += 1  # the separator before
+        owner = np.repeat(np.arange(len(pieces) + 1, dtype=place), spread)
+        after, before = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
         after[-1] = n - 1
-        filed = np.append(self.rank_of(token[:-1], token[1:]), -1)
+        filed = np.full(n, -1, place)
+        filed[:-1] = self.rank_of(token[:-1], token[1:])
         alive = token >= 0
         queue = RankQueue()
-        start = np.flatnonzero(filed >= 0)
-        queue.file(filed[start].tolist(), start.tolist())
+        start = np.flatnonzero(filed >= 0).astype(place)
+        queue.file(filed[start], start)
         while queue.top:
-            rank, bucket = queue.take()
-            at = np.unique(np.array(bucket))
+            rank, at = queue.take()
             at = at[filed[at] == rank]  # the rest is stale
             if not len(at):
                 continue
@@ -151,7 +168,7 @@ class Merges:
                 keep = (step - np.maximum.accumulate(np.where(fresh, step, 0))) % 2 == 0
                 if self.lowers[rank]:
                     keep, again = self._leftmost(rank, at, keep, token, after, before, owner)
-                    queue.file([rank] * len(again), again.tolist())
+                    queue.file(np.full(len(again), rank), again)
                 at = at[keep]
             gone = after[at]
             beyond = after[gone]
@@ -160,12 +177,12 @@ class Merges:
             before[beyond] = at
             filed[gone] = -1
             alive[gone] = False
-            touched = np.concatenate([at, before[at]])
+            touched = distinct(np.concatenate([at, before[at]]))
             touched = touched[token[touched] >= 0]
             new = self.rank_of(token[touched], token[after[touched]])
             filed[touched] = new
             some = new >= 0
-            queue.file(new[some].tolist(), touched[some].tolist())
+            queue.file(new[some], touched[some])
         counts = np.concatenate([[0], np.cumsum(alive)])
         return token[alive], counts[np.append(first[:-1], n - 1)]
 
@@ -272,17 +289,25 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return Codec(raw, pattern)
 
 
-def _in_chunks(codec: Codec, texts: pa.Array) -> Iterator[bytes]:
+def _in_chunks(codec: Codec, texts: pa.Array) -> Iterator[list[bytes]]:
+    """Packed ids of the texts, a list for each chunk: a worker holds the results of one chunk, not of a whole batch."""
     chunk: list[str] = []
     size = 0
     for t in texts:
         chunk.append(t.as_py() or "")
         size += len(chunk[-1])
         if size >= CHUNK:
-            yield from codec.encode_all(chunk)
+            yield codec.encode_all(chunk)
             chunk, size = [], 0
     if chunk:
-        yield from codec.encode_all(chunk)
+        yield codec.encode_all(chunk)
+
+
+def _both(codec: Codec, texts: pa.Array) -> Iterator[pa.Array]:
+    """Packed ids and what they decode to, an array for each chunk of the texts."""
+    for ids in _in_chunks(codec, texts):
+        decoded = pa.array(map(codec.decode, ids), pa.binary())
+        yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
 
 
 BOTH = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
@@ -305,7 +330,8 @@ class Tokenizer:
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = _codec(raw.value, pattern)
             for part in texts:
-                yield pa.array(_in_chunks(codec, part), pa.binary())
+                for ids in _in_chunks(codec, part):
+                    yield pa.array(ids, pa.binary())
             release()
 
         @F.arrow_udf(T.BinaryType())
@@ -319,9 +345,7 @@ class Tokenizer:
         def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = _codec(raw.value, pattern)
             for part in texts:
-                ids = pa.array(_in_chunks(codec, part), pa.binary())
-                decoded = pa.array((codec.decode(i.as_py()) for i in ids), pa.binary())
-                yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+                yield from _both(codec, part)
             release()
 
         self._encode, self._decode, self._both = encode, decode, both

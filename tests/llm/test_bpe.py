@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -76,3 +78,34 @@ def test_query_digests_and_null_texts(spark, data_dir, reference):
     ids = rows.select("doc_id", tokenizer.encode("text").alias("ids")).select("doc_id", bpe.n_tokens("ids").alias("n"), bpe.unpack("ids").alias("a"))
     assert sorted((r.doc_id, r.n, len(r.a)) for r in ids.collect()) == [(1, 0, 0), (2, 0, 0), (2, 2, 2), (2, 2, 2)]
     assert rows.limit(0).select(tokenizer.encode(F.col("text"))).count() == 0
+
+
+def test_merging_holds_few_bytes_a_byte(codec, reference):
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(20_000)]
+    raw = [p.encode() for p in pieces]
+    tracemalloc.start()
+    ids, bounds = codec.merges.merge(raw)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 80 * sum(map(len, raw))  # 112 with 64-bit places and lists of Python numbers
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:200], bounds[1:201])] == [reference._encode_single_piece(p) for p in raw[:200]]
+
+
+def test_a_worker_holds_the_results_of_one_chunk(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    texts = ["one two three " * k for k in range(9)] + [None, "", "four"]
+    parts = list(bpe._both(codec, pa.array(texts)))
+    assert len(parts) > 3 and max(map(len, parts)) < len(texts)
+    want = [packed(reference.encode_ordinary(t or "")) for t in texts]
+    assert [x["ids"] for part in parts for x in part.to_pylist()] == want
+    assert [x["decoded"] for part in parts for x in part.to_pylist()] == [(t or "").encode() for t in texts]
+    assert list(bpe._both(codec, pa.array([], pa.string()))) == []
+
+
+def test_round_trip_keeps_every_row(spark, reference):
+    rows = [(k, None if k % 7 == 0 else f"text {k} " * (k % 11)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = df.select("doc_id", vocabulary(spark).round_trip("text").alias("both")).selectExpr("doc_id", "both.*").collect()
+    want = {k: (packed(reference.encode_ordinary(t or "")), (t or "").encode()) for k, t in rows}
+    assert {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in got} == want
