@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ BATCH, RATE = 64, 0.01
 LEAST_WORDS = 1 << 17
 #: Weight of the corpus share; by a training fold left out of counts and fit, 0.4 to 0.6 are alike.
 UNIGRAM = 0.5
-SCORE_BATCH = 256
+#: Windows scored at a time; their logits should fit a core's cache (the scores are the same for any number).
+SCORE_BATCH = 64
 #: Characters of text that are scored at a time, and words remembered by a worker.
 CHUNK, REMEMBERED = 1 << 21, 1 << 18
 #: Words below this many bytes are merged in lockstep.
@@ -234,10 +236,19 @@ def _exp(a: np.ndarray) -> None:
     np.exp(a, out=a)
 
 
+def _grouped(index: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal values (below ``limit``) together, the values found, and where each begins."""
+    index = index.astype(np.uint16 if limit <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    return order, index[first], first
+
+
 def _summed(index: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
     """Rows of ``values`` added up by ``index``."""
-    out, order = np.zeros_like(like), np.argsort(index, kind="stable")
-    found, first = np.unique(index[order], return_index=True)
+    out = np.zeros_like(like)
+    order, found, first = _grouped(index, len(like))
     out[found] = np.add.reduceat(values[order], first, axis=0)
     return out
 
@@ -251,9 +262,9 @@ def _forward(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, on: n
     b, n = rows.shape
     x = np.take(w["embed"], rows, axis=0)
     qkv = x.reshape(-1, WIDTH) @ w["qkv"]
+    qkv[:, :WIDTH] *= np.float32(WIDTH**-0.5)
     q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(b, n, WIDTH) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
     a += (w["near"][np.maximum(_GAP, 0)] + _LATER)[None, :n, :n]
     _exp(a)
     a /= a.sum(axis=2, keepdims=True)
@@ -263,8 +274,7 @@ def _forward(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, on: n
     u = np.maximum(h @ w["up"] + w["up_b"], 0)
     z = h + u @ w["down"]
     logits = z @ w["head"]
-    logits += w["head_b"]
-    logits += np.take(w["pair"], last, axis=0)
+    logits += np.take(w["pair"] + w["head_b"], last, axis=0)
     return logits, (x, q, k, v, a, o, h, u, z)
 
 
@@ -277,25 +287,32 @@ def _log_probs(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _gradient(w: dict[str, np.ndarray], rows: np.ndarray, last: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     b, n = rows.shape
-    p, (x, q, k, v, a, o, h, u, z) = _forward(w, rows, last)
+    order, found, first = _grouped(last, len(w["pair"]))
+    p, (x, q, k, v, a, o, h, u, z) = _forward(w, rows, last[order], order)
     _exp(p)
-    weight = (weight / max(weight.sum(), 1.0)).astype(p.dtype)
-    p *= (weight / p.sum(axis=1))[:, None]
-    p[np.arange(len(target)), target] -= weight
-    g = {"head": z.T @ p, "head_b": p.sum(axis=0), "pair": _summed(last, p, w["pair"])}
+    total = p @ np.ones(p.shape[1], p.dtype)
+    p[np.arange(len(order)), target[order]] -= total
+    # the places' weights are left to the factors of p, which is by far the largest array
+    weight = (weight[order] / max(weight.sum(), 1.0) / total).astype(p.dtype)
+    pair = np.zeros_like(w["pair"])
+    for c, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        np.dot(weight[lo:hi], p[lo:hi], out=pair[c])
+    g = {"head": (z * weight[:, None]).T @ p, "head_b": pair.sum(axis=0), "pair": pair}
     dz = p @ w["head"].T
+    dz *= weight[:, None]
     g["down"] = u.T @ dz
     du = (dz @ w["down"].T) * (u > 0)
     g["up"], g["up_b"] = h.T @ du, du.sum(axis=0)
-    dh = dz + du @ w["up"].T
+    dh = np.empty_like(dz)
+    dh[order] = dz + du @ w["up"].T
     g["out"] = o.T @ dh
     do = (dh @ w["out"].T).reshape(b, n, WIDTH)
     dv = a.transpose(0, 2, 1) @ do
     da = do @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-    ds *= np.float32(WIDTH**-0.5)
     dqkv = np.concatenate([(ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], 1)
+    dqkv[:, :WIDTH] *= np.float32(WIDTH**-0.5)
     g["qkv"] = x.reshape(-1, WIDTH).T @ dqkv
     dx = dh + dqkv @ w["qkv"].T
     g["embed"] = _summed(rows.ravel(), dx, w["embed"])
@@ -332,9 +349,11 @@ class Trainer:
     """Adam on batches of windows."""
 
     def __init__(self, shape: Shape, weights: dict[str, np.ndarray]):
-        self.shape, self.w, self.step, self.tokens = shape, {k: v.copy() for k, v in weights.items()}, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.shape, self.step, self.tokens = shape, 0, 0
+        self.flat = _pack(weights)  # all weights in one array; the named ones are views of it
+        self.w = _views(self.flat, weights)
+        self.m, self.v, self.d, self.room = (np.zeros_like(self.flat) for _ in range(4))
+        self.g = _views(self.d, weights)
 
     def learn(self, sequences: list[np.ndarray]) -> None:
         inputs, targets, fresh = packed(sequences, len(self.shape.cls) - 1)
@@ -344,12 +363,25 @@ class Trainer:
             g = _gradient(self.w, self.shape.row[inputs[own]], self.shape.cls[inputs[own]].ravel(), self.shape.cls[targets[own]].ravel(), fresh[own].ravel().astype(np.float32))
             self.step += 1
             self.tokens += int(fresh[own].sum())
-            rate = RATE * min(1.0, self.step / 20) / (1 + self.step / 400)
             for name, d in g.items():
-                self.m[name] += 0.1 * (d - self.m[name])
-                self.v[name] += 0.02 * (d * d - self.v[name])
-                unbiased = self.m[name] / (1 - 0.9**self.step), self.v[name] / (1 - 0.98**self.step)
-                self.w[name] -= np.float32(rate) * unbiased[0] / (np.sqrt(unbiased[1]) + 1e-8)
+                self.g[name][...] = d
+            self.adam(RATE * min(1.0, self.step / 20) / (1 + self.step / 400))
+
+    def adam(self, rate: float) -> None:
+        """One step against the gradient ``d``, without new arrays."""
+        room, unbias = self.room, (1 - 0.98**self.step) ** 0.5
+        np.subtract(self.d, self.m, out=room)
+        room *= 0.1
+        self.m += room
+        np.multiply(self.d, self.d, out=room)
+        room -= self.v
+        room *= 0.02
+        self.v += room
+        np.sqrt(self.v, out=room)
+        room += 1e-8 * unbias
+        np.divide(self.m, room, out=room)
+        room *= rate * unbias / (1 - 0.9**self.step)
+        self.flat -= room
 
 
 def word_logs(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray], pieces: list[np.ndarray]) -> np.ndarray:
@@ -360,15 +392,19 @@ def word_logs(shape: Shape, w: dict[str, np.ndarray], sequences: list[np.ndarray
     lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     inputs, targets, fresh, text = windows(sequences, len(shape.cls) - 1)
     log_id, log_begin = np.zeros(lengths.sum()), np.zeros(lengths.sum() + 1)
+    masses = np.ones((len(shape.bias), 2), np.float32)  # of all classes, and of those that begin a word
+    masses[: shape.begins, 1] = 0
     done = 0  # fresh places come in the order of the texts
     for lo in range(0, len(inputs), SCORE_BATCH):
         part = slice(lo, lo + SCORE_BATCH)
         on = np.flatnonzero(fresh[part].ravel())
         logits, _ = _forward(w, shape.row[inputs[part]], shape.cls[inputs[part].ravel()[on]], on)
         t = targets[part].ravel()[on]
-        log_id[done : done + len(on)] = _log_probs(logits, shape.cls[t]) + shape.inside[t]
-        begin = logits[:, shape.begins :].sum(axis=1) / logits.sum(axis=1)
-        log_begin[done : done + len(on)] = np.log(np.maximum(begin, 1e-30))
+        _exp(logits)
+        total, begin = (logits @ masses).T.astype(np.float64)
+        at = logits[np.arange(len(on)), shape.cls[t]].astype(np.float64)
+        log_id[done : done + len(on)] = np.log(np.maximum(at, 1e-37) / total) + shape.inside[t]
+        log_begin[done : done + len(on)] = np.log(np.maximum(begin / total, 1e-30))
         done += len(on)
     ids = np.concatenate([np.append(p, 1) for p in pieces])
     first = np.cumsum(ids) - ids
@@ -398,14 +434,18 @@ def _pack(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
-def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].astype(np.float32).reshape(like[k].shape)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return _views(flat.astype(np.float32), like)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches with about CHUNK characters of text, and their words."""
     for batch in batches:
@@ -480,24 +520,24 @@ def _score(subwords_of, fitted, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, (shape, w), (top, places) = _subwords(subwords_of), fitted.value, frequent.value
         for batch, chunk in _chunks(batches):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "logs", "rare", "own", "score")}
-            logs, at = word_logs(shape, w, *subwords.encode_all(chunk)), 0
-            for words in chunk:
-                found = [*map(top.get, words), top.get(END)]
-                counts = np.array([c or 0 for c in found], np.float64)
-                own = logs[at : at + len(found)]
-                at += len(found)
-                rare: dict[bytes, list[float]] = {}
-                if None in found:
-                    for x, c, log in zip([*words, END], found, own.tolist()):
-                        if c is None:
-                            rare.setdefault(x, []).append(log)
-                out["n_tokens"].append(len(found))
-                out["known"].append(int(np.count_nonzero(counts)))
-                out["logs"].append(float(np.log10(counts + 1.0).sum()))
-                out["rare"].append([word_key(x) for x in rare])
-                out["own"].append(list(rare.values()))
-                out["score"].append(float(mixed(own, (counts + 1) / places).sum() / np.log(10)))
+            flat = [x for words in chunk for x in (*words, END)]
+            counts = np.fromiter(map(top.get, flat, repeat(0)), np.int64, len(flat))
+            n_tokens = np.array([len(words) + 1 for words in chunk])
+            first = np.cumsum(n_tokens) - n_tokens
+            own = word_logs(shape, w, *subwords.encode_all(chunk))
+            rare: list[dict[bytes, list[float]]] = [{} for _ in chunk]
+            at = np.flatnonzero(counts == 0)
+            text = np.searchsorted(first, at, "right") - 1
+            for k, t, log in zip(at.tolist(), text.tolist(), own[at].tolist()):
+                rare[t].setdefault(flat[k], []).append(log)
+            out = {
+                "n_tokens": n_tokens,
+                "known": np.add.reduceat((counts > 0).astype(np.int64), first),
+                "logs": np.add.reduceat(np.log10(counts + 1.0), first),
+                "rare": [list(map(word_key, r)) for r in rare],
+                "own": [list(r.values()) for r in rare],
+                "score": np.add.reduceat(mixed(own, (counts + 1) / places), first) / np.log(10),
+            }
             kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": pa.list_(pa.int64()), "own": pa.list_(pa.list_(pa.float64())), "score": pa.float64()}
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(out[k], t) for k, t in kinds.items()]], ["id", *kinds])
 

@@ -188,3 +188,39 @@ def test_packed_windows_hold_every_id_once():
     inputs, targets, on = lm.packed(seq, 300)
     flat = [*range(5), 300, 300, *range(100, 170), 300]
     assert targets[on].tolist() == flat and inputs[on].tolist() == [300, *flat[:-1]] and (~on).sum() < lm.WINDOW
+
+
+def test_a_step_equals_plain_adam_and_makes_no_new_weights():
+    shape, rng = small_shape(), np.random.default_rng(4)
+    start = lm.blank(shape)
+    trainer = lm.Trainer(shape, start)
+    want = {k: v.astype(np.float64) for k, v in start.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in want.items()} for _ in range(2))
+    for step in range(1, 4):
+        seq = [rng.integers(0, 300, n) for n in (0, 70, 300)]  # fewer windows than a batch holds
+        inputs, targets, on = lm.packed(seq, 300)
+        rate = lm.RATE * min(1.0, step / 20) / (1 + step / 400)
+        g = lm._gradient(want, shape.row[inputs], shape.cls[inputs].ravel(), shape.cls[targets].ravel(), on.ravel().astype(float))
+        for k, d in g.items():
+            m[k] = 0.9 * m[k] + 0.1 * d
+            v[k] = 0.98 * v[k] + 0.02 * d * d
+            want[k] = want[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-8)
+        trainer.learn(seq)
+        assert all(np.shares_memory(x, trainer.flat) for x in trainer.w.values())
+    for k in want:
+        far = np.abs(trainer.w[k] - want[k])
+        assert np.mean(far < 1e-4) > 0.99, k  # where a gradient is about 0, Adam keeps only the sign of its rounding
+
+
+@pytest.mark.parametrize("batch", [1, 7, 256])
+def test_scores_are_the_same_for_any_batch(monkeypatch, batch):
+    shape, rng = small_shape(), np.random.default_rng(5)
+    w = lm.blank(shape)
+    w["pair"] += rng.standard_normal(w["pair"].shape).astype(np.float32)
+    seq = [rng.integers(0, 300, n) for n in (0, 1, 40, 500)]
+    pieces = [np.ones(len(s), int) for s in seq]
+    before = lm.word_logs(shape, w, seq, pieces)
+    monkeypatch.setattr(lm, "SCORE_BATCH", batch)
+    assert np.allclose(lm.word_logs(shape, w, seq, pieces), before, atol=1e-4)
+    plain = np.concatenate([plain_word_logs(shape, w, s.tolist(), p) for s, p in zip(seq, pieces)])
+    assert np.allclose(before, plain, atol=1e-4)
