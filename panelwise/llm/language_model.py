@@ -27,7 +27,7 @@ mixes in their shares.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -69,12 +69,12 @@ def fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def word_key(word: bytes) -> int:
-    """The signed 64-bit hash by which words are joined (XXH64, as Spark's xxhash64)."""
+def word_keys(words: Iterable[bytes]) -> list[int]:
+    """The signed 64-bit hashes by which words are joined (XXH64, as Spark's xxhash64)."""
     from xxhash import xxh64_intdigest
 
-    h = xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+    hashes = (xxh64_intdigest(word, 42) for word in words)
+    return [h - (1 << 64) if h >> 63 else h for h in hashes]
 
 
 # ---- corpus counts -------------------------------------------------------------------------
@@ -534,7 +534,7 @@ def _score(subwords_of, fitted, frequent):
                 "n_tokens": n_tokens,
                 "known": np.add.reduceat((counts > 0).astype(np.int64), first),
                 "logs": np.add.reduceat(np.log10(counts + 1.0), first),
-                "rare": [list(map(word_key, r)) for r in rare],
+                "rare": [word_keys(r) for r in rare],
                 "own": [list(r.values()) for r in rare],
                 "score": np.add.reduceat(mixed(own, (counts + 1) / places), first) / np.log(10),
             }

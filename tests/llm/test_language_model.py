@@ -192,9 +192,8 @@ def test_packed_windows_hold_every_id_once():
 
 def test_a_step_equals_plain_adam_and_makes_no_new_weights():
     shape, rng = small_shape(), np.random.default_rng(4)
-    start = lm.blank(shape)
-    trainer = lm.Trainer(shape, start)
-    want = {k: v.astype(np.float64) for k, v in start.items()}
+    want = {k: v.astype(np.float64) for k, v in lm.blank(shape).items()}  # in single precision Adam magnifies rounding
+    trainer = lm.Trainer(shape, want)
     m, v = ({k: np.zeros_like(x) for k, x in want.items()} for _ in range(2))
     for step in range(1, 4):
         seq = [rng.integers(0, 300, n) for n in (0, 70, 300)]  # fewer windows than a batch holds
@@ -208,8 +207,7 @@ def test_a_step_equals_plain_adam_and_makes_no_new_weights():
         trainer.learn(seq)
         assert all(np.shares_memory(x, trainer.flat) for x in trainer.w.values())
     for k in want:
-        far = np.abs(trainer.w[k] - want[k])
-        assert np.mean(far < 1e-4) > 0.99, k  # where a gradient is about 0, Adam keeps only the sign of its rounding
+        assert np.allclose(trainer.w[k], want[k], atol=1e-5), k
 
 
 @pytest.mark.parametrize("batch", [1, 7, 256])
